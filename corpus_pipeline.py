@@ -9,16 +9,37 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from attnmaps.llm import packing, simhash
+from attnmaps.llm import decontam, langid, linededup, packing, simhash
 from attnmaps.llm.common import new_folder
 
 TOKENIZER = "byte_bpe_50k.json"
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter or with too narrow a margin go."""
+    dictionaries = langid.train(docs.where(~langid.held_out()))
+    return langid.keep_identified(docs.select(COLUMNS), dictionaries)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines with an earlier near copy go from the texts; every document stays."""
+    rows = linededup.dedup_lines(docs.select(COLUMNS))
+    n_chars = F.when(F.col("_n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text")).cast("long")
+    return rows.withColumn("n_chars", n_chars).select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays, the one with the smallest id."""
-    return simhash.keep_first(docs)
+    return simhash.keep_first(docs.select(COLUMNS))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with a test item go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontam.keep_clean(docs.select(COLUMNS), benchmark)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,10 +47,16 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), end_id=0)
 
 
-STAGES = [("near_dedup", near_dedup), ("pack", pack)]
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontaminate),
+    ("packing", pack),
+]
 
-#: Compression, tokenizing and packing have no SQL form; tests hold the stages
-#: against brute force.
+#: Compression, fingerprints and tokenizing have no SQL form; a test holds the
+#: whole pipeline against brute force.
 ORACLE_SQL = None
 
 
