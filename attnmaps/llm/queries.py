@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attnmaps.llm import chat, decontam, langid, linededup, packing, quality, simhash, token_store, urlfilter
+from attnmaps.llm import chat, decontam, langid, linededup, packing, pii, quality, simhash, token_store, urlfilter
 from attnmaps.llm.common import new_folder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -176,6 +176,16 @@ def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: the base rules' spans and those that trees add."""
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.train(docs))
+    return found.select(
+        F.col("id").alias("doc_id"), *[f"n_{k}" for k in pii.BASE],
+        F.sha2(pii.span_text("base").cast("binary"), 256).alias("base_sha256"), pii.span_text("spans").alias("spans"),
+    )
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that overlap with test items, with the number of items and the worst."""
     found = decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -191,6 +201,7 @@ QUERIES = {
     "op6_simhash_groups": op6_simhash_groups,
     "op7_compression_bands": op7_compression_bands,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_personal_data": op9_personal_data,
     "op10_decontamination": op10_decontamination,
 }
 
