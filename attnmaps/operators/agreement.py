@@ -3,7 +3,8 @@
 The unit of work is an image: its clicks are grouped once, and a numpy helper rasterises
 them, draws the halves and scores them. Means, blur and rescaling are linear, so each map
 is transformed once and an iteration is a row of weights. Draws are seeded by
-(seed, image, iteration) from submissions in file order, so partitioning changes nothing.
+(seed, image, iteration) from submissions in file order, so partitioning changes nothing. A
+score that isn't defined (an empty half, a constant map) is null.
 """
 
 from __future__ import annotations
