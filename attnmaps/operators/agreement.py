@@ -109,7 +109,7 @@ def floor(subs: DataFrame, p: Agreement) -> DataFrame:
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return _rows("", "floor", []).astype({"image_key": str, "kind": str, "score": float})
+            return pd.DataFrame(columns=["image_key", "kind", "iteration", "score"], dtype=object)
         key, partner = left["image_key"].iloc[0], right["other"].iloc[0]
         a, b = blurred_stack(left, p), blurred_stack(right, p)
         values = []
@@ -163,7 +163,7 @@ def _constancy(subs: DataFrame, pairs: DataFrame, meta: DataFrame | None, axis:
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"image_key": [], "axis": [], "diff": [], "kind": [], "iteration": [], "score": []})
+            return pd.DataFrame(columns=["image_key", "axis", "diff", "kind", "iteration", "score"], dtype=object)
         kind, diff = key[1], int(left["diff"].iloc[0])
         own, other = left["image_key"].iloc[0], right["image_key"].iloc[0]
         left, right = left.sort_values(["ord", "sub_id"]), right.sort_values(["ord", "sub_id"])

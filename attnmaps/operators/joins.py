@@ -69,7 +69,7 @@ def nearest_reference(queries: DataFrame, refs: DataFrame, id_col: str = "id", v
                 out["id"] += part["id"].tolist()
                 out["d"] += exact[row, pick].tolist()
                 out["ref_id"] += ids[few[row, pick]].tolist()
-        return pd.DataFrame(out)
+        return pd.DataFrame(out, dtype=None if out["id"] else object)
 
     spread = packed.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deal_count - 1).cast("long"))))
     found = deals.groupBy("block", "deal").cogroup(spread.groupBy("block", "deal")).applyInPandas(best, "id long, d double, ref_id long")

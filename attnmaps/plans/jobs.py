@@ -73,11 +73,10 @@ def heatmaps(cleaned: DataFrame, p: Prepare) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         stack = dense.stack_of(pdf["xs"], pdf["ys"], h, w)
         stack = stack[stack.sum(axis=(1, 2)) >= p.min_clicks]
-        out = {"image_key": [], "level": [], "h": [], "w": [], "data": []}
-        if len(stack) and (not p.recheck or len(stack) >= p.min_subjects):
-            data = dense.blur(stack.mean(axis=0, dtype=np.float64), size).ravel().astype(np.float32)
-            out = {"image_key": [pdf["image_key"].iloc[0]], "level": [0], "h": [h], "w": [w], "data": [data]}
-        return pd.DataFrame(out)
+        if not len(stack) or p.recheck and len(stack) < p.min_subjects:
+            return pd.DataFrame(columns=["image_key", "level", "h", "w", "data"], dtype=object)
+        data = dense.blur(stack.mean(axis=0, dtype=np.float64), size).ravel().astype(np.float32)
+        return pd.DataFrame({"image_key": [pdf["image_key"].iloc[0]], "level": [0], "h": [h], "w": [w], "data": [data]})
 
     rows = cleaned.select("image_key", F.col("clicks.x").alias("xs"), F.col("clicks.y").alias("ys"))
     return rows.groupBy("image_key").applyInPandas(run, raster.HEATMAP)

@@ -132,7 +132,7 @@ def ras11_blur_dense(t):
     return maps.where("v > 1e-4").select("image_key", "y", "x", F.round("v", 5).alias("v"))
 
 
-@query("SELECT image_key, CAST(CASE WHEN width IS NULL THEN 5 WHEN r % 2 = 0 THEN r + 1 ELSE r END AS INT) AS size, true AS mass FROM (SELECT i.image_key, width, CAST(round_even(5.0 * least(width, height) / 32, 0) AS INT) AS r FROM images i LEFT JOIN dims USING (image_key))", "images", "dims")
+@query("SELECT image_key, CAST(CASE WHEN width IS NULL THEN 5 WHEN r % 2 = 0 THEN r + 1 ELSE r END AS INT) AS size, true AS mass FROM (SELECT i.image_key, width, CAST(round_even(5.0 * least(width, height) / 32, 0) AS INT) AS r FROM images i LEFT JOIN dims USING (image_key)) WHERE image_key IN (SELECT image_key FROM mm)", *BOTH, "images", "dims", extra=CLEAN)
 def ras12_blur_adaptive(t):
     """Every image's kernel size, and whether its blurred map keeps no more than its mass."""
     maps = means(t).withColumns({"h": F.lit(SIDE), "w": F.lit(SIDE)})
