@@ -31,3 +31,10 @@ def settle(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and go on from there (lineage ends)."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def settle_table(df: DataFrame, name: str) -> DataFrame:
+    """The same for larger tables: Parquet in the shared folder, read by columns."""
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

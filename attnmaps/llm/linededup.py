@@ -7,9 +7,10 @@ earliest of every such pair thus stays. Built-in DataFrame functions only.
 
 Two lines are within one edit if and only if they are equal, or equal after deletion of one
 word at the same place of each, or one is the other after a deletion. So every
-line emits its deletion variants as hashed keys, and the earliest line of each key is
-the partner of all others there: groups are reduced to minima and no pairs within a group
-are formed. Before that, lines are left out that can have no partner: one edit leaves the
+line emits its deletion variants as hashed keys, made of the hashes of what stands before
+and after a place, and the earliest line of each key is the partner of all others
+there: groups are reduced to minima and no pairs within a group are formed. The edit
+distance of a line and its partner is then verified word by word. Before that, lines are left out that can have no partner: one edit leaves the
 first or the second half of a line as it is, and a line whose halves occur nowhere else
 is alone.
 """
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attnmaps.llm.common import settle
+from attnmaps.llm.common import settle_table
 
 #: Lines of fewer words are never touched; they are too short to tell of copying.
 MIN_WORDS = 3
@@ -31,9 +32,15 @@ BROADCAST_ROWS = 400_000
 _NULL_ID = "9223372036854775808"
 
 
-def words_of(line: Column) -> Column:
-    """Words between ASCII white space."""
-    return F.array_remove(F.split(line, r"[\x09-\x0D\x20]+"), "")
+def normal_line(line: Column) -> Column:
+    """The line with its words one space apart; most lines are so already."""
+    words = F.array_remove(F.split(line, r"[\x09-\x0D\x20]+"), "")
+    odd = line.startswith(" ") | line.endswith(" ") | line.contains("  ") | line.rlike(r"[\x09-\x0D]")
+    return F.when(odd, F.array_join(words, " ")).otherwise(line)
+
+
+def _word_count(line: Column) -> Column:
+    return F.when(line == "", 0).otherwise(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
 
 
 def _position(doc_id: Column, line_no: Column) -> Column:
@@ -43,23 +50,23 @@ def _position(doc_id: Column, line_no: Column) -> Column:
 
 
 def corpus_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(id, version, line_no, pos, words, h1, h2) of every line that takes part.
+    """(id, version, line_no, pos, line, n, h1, h2) of every line that takes part.
 
-    ``version`` tells rows apart that share an id; (h1, h2) is a 128-bit hash of the words.
+    ``version`` tells rows apart that share an id; ``line`` is normal, ``n`` its number of
+    words and (h1, h2) its 128-bit hash.
     """
-    lines = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("version"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
-    rows = lines.select("id", "version", "line_no", words_of(F.col("line")).alias("words")).where(F.size("words") >= min_words)
-    return rows.select(
-        "id", "version", "line_no", _position(F.col("id"), F.col("line_no")).alias("pos"), "words",
-        F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"),
-    )
+    lines = F.transform(F.split(text_col, "\n"), normal_line)
+    counted = F.transform(lines, lambda x: F.struct(x.alias("line"), _word_count(x).alias("n")))
+    # all once for each document; the outer form keeps Spark from computing the array for a filter too
+    whole = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("version"), counted.alias("lines"))
+    rows = whole.select("id", "version", F.posexplode_outer("lines").alias("line_no", "x")).select("id", "version", "line_no", "x.line", "x.n").where(F.col("n") >= min_words)
+    return rows.select("id", "version", "line_no", _position(F.col("id"), F.col("line_no")).alias("pos"), "line", "n", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def _half_keys(words: Column) -> list[Column]:
+def _half_keys(line: Column, n: Column) -> list[Column]:
     """Keys of the halves that a line shares with any line within one edit of it."""
-    n = F.size(words)
-    front = lambda c: F.xxhash64(F.lit(0), c, F.slice(words, F.lit(1), c))
-    back = lambda c: F.xxhash64(F.lit(1), c, F.slice(words, n - c + 1, c))
+    front = lambda c: F.xxhash64(F.lit(0), c, F.call_function("substring_index", line, F.lit(" "), c))
+    back = lambda c: F.xxhash64(F.lit(1), c, F.call_function("substring_index", line, F.lit(" "), -c))
     half, less = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
     # halves for partners of n words and more, then of n - 1 words; two of the four are equal
     return [front(half), back(n - half), F.when(n % 2 == 0, front(less)).otherwise(back(n - 1 - less))]
@@ -79,40 +86,63 @@ def _within_one_edit(a: Column, b: Column) -> Column:
     return run(a, b) + run(F.reverse(a), F.reverse(b)) >= F.greatest(F.size(a), F.size(b)) - 1
 
 
-def near_partners(distinct: DataFrame, lines: DataFrame, fuzzy_words: int) -> DataFrame:
+def _chain(hashes: Column) -> Column:
+    """Hashes of the first 0, 1, 2, ... words, each made of the one before."""
+    start = F.array(F.lit(0).cast("long"))
+    return F.aggregate(hashes, start, lambda acc, h: F.concat(acc, F.array(F.xxhash64(F.element_at(acc, -1), h))))
+
+
+def variants(texts: DataFrame) -> DataFrame:
+    """(h1, h2, pos, key, gap): hashed keys of every deletion variant of a line.
+
+    A key is made of a place and of the words before and after it. Rows with ``gap`` false
+    leave out the word at that place; rows with ``gap`` true stand for the line itself
+    as some longer line's variant there, and come from lines with partners of other lengths.
+    """
+    hashes = F.transform(F.split("line", " "), lambda w: F.xxhash64(w))
+    chains = texts.select("h1", "h2", "pos", "n", "mixed", hashes.alias("w"))
+    chains = chains.select("h1", "h2", "pos", "n", "mixed", _chain(F.col("w")).alias("before"), _chain(F.reverse("w")).alias("after"))
+    key = lambda i, rest: F.xxhash64(i, F.get("before", i), F.get("after", rest))
+    deleted = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(key(i, F.col("n") - 1 - i).alias("key"), F.lit(False).alias("gap")))
+    gaps = F.transform(F.sequence(F.lit(0), F.col("n")), lambda i: F.struct(key(i, F.col("n") - i).alias("key"), F.lit(True).alias("gap")))
+    keys = F.when(F.col("mixed"), F.concat(deleted, gaps)).otherwise(deleted)
+    return chains.select("h1", "h2", "pos", F.inline_outer(keys))
+
+
+def near_partners(distinct: DataFrame, lines: DataFrame) -> DataFrame:
     """(h1, h2, best): position of the earliest line within one edit, where it is earlier."""
-    keys = distinct.where("k1 is not null").select(F.explode(F.array("k1", "k2", "k3")).alias("key"), "h1", "h2", "pos")
-    shared = settle(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
-    alive = settle(_with_small(keys, shared, ["key"], "left_semi").select("h1", "h2", "pos").distinct())
-    texts = settle(_with_small(lines.select("h1", "h2", "pos", "words"), alive, ["h1", "h2", "pos"], "left_semi").dropDuplicates(["h1", "h2"]))
-
-    without = lambda i: F.concat(F.slice("words", F.lit(1), i), F.slice("words", i + 2, F.size("words")))
-    keyed = F.transform(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.struct(F.xxhash64(without(i)).alias("v"), i.alias("at")))
-    whole = F.array(F.struct(F.col("h1").alias("v"), F.lit(-1).alias("at")))
-    variants = texts.select("h1", "h2", "pos", F.explode(F.concat(whole, keyed)).alias("x")).select("h1", "h2", "pos", "x.v", "x.at")
-    groups = variants.groupBy("v", "at").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n"))
-    nested = groups.groupBy("v").agg(F.min(F.when(F.col("at") < 0, F.col("first"))).alias("whole"), F.min(F.when(F.col("at") >= 0, F.col("first"))).alias("longer"), F.max("n").alias("n"))
-    # only keys of more than one line
-    equal = settle(groups.where("at >= 0 and n > 1").select("v", "at", "first"))
-    nested = settle(nested.where("whole is not null and longer is not null").select("v", "whole", "longer"))
-    replaced = _with_small(variants.where("at >= 0"), equal, ["v", "at"]).select("h1", "h2", "pos", F.col("first").alias("best"))
-    edited = _with_small(variants, nested, ["v"]).select("h1", "h2", "pos", F.when(F.col("at") < 0, F.col("longer")).otherwise(F.col("whole")).alias("best"))
-    pairs = settle(replaced.unionAll(edited).where("best < pos").distinct())
-
-    theirs = texts.select(F.col("pos").alias("best"), F.col("words").alias("their_words"))
-    checked = pairs.join(texts.select("h1", "h2", "words"), ["h1", "h2"]).join(theirs, "best")
-    return checked.where(_within_one_edit(F.col("words"), F.col("their_words"))).groupBy("h1", "h2").agg(F.min("best").alias("best"))
+    keys = distinct.where("k1 is not null").select(F.explode(F.array("k1", "k2", "k3")).alias("key"), "h1", "h2", "pos", "n")
+    counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("lines"), F.min("n").alias("low"), F.max("n").alias("high"))
+    shared = settle_table(counts.where("lines > 1").select("key", (F.col("low") < F.col("high")).alias("mixed")), "line-keys")
+    alive = _with_small(keys, shared, ["key"]).groupBy("h1", "h2", "pos").agg(F.max("mixed").alias("mixed"))
+    alive = settle_table(alive, "line-alive")
+    found = _with_small(lines.select("h1", "h2", "pos", "line", "n"), alive, ["h1", "h2", "pos"])
+    # rows that repeat a document repeat a line's first place
+    texts = settle_table(found, "line-texts").dropDuplicates(["h1", "h2"])
+
+    rows = variants(texts)
+    first = lambda gap: F.min(F.when(F.col("gap") == gap, F.col("pos")))
+    groups = rows.groupBy("key").agg(first(False).alias("deleted"), first(True).alias("whole"), F.count(F.lit(1)).alias("lines"))
+    groups = settle_table(groups.where("lines > 1 and deleted is not null").drop("lines"), "line-groups")
+    best = F.when(F.col("gap"), F.col("deleted")).otherwise(F.least("deleted", "whole"))
+    pairs = settle_table(_with_small(rows, groups, ["key"]).select("h1", "h2", "pos", best.alias("best")).where("best < pos").distinct(), "line-pairs")
+
+    theirs = texts.select(F.col("pos").alias("best"), F.col("line").alias("their_line"))
+    checked = pairs.join(texts.select("h1", "h2", "line"), ["h1", "h2"]).join(theirs, "best")
+    near = _within_one_edit(F.split("line", " "), F.split("their_line", " "))
+    return checked.where(near).groupBy("h1", "h2").agg(F.min("best").alias("best"))
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
     """(id, version, lines): numbers of the lines to drop from each document that has any."""
     lines = corpus_lines(docs, id_col, text_col, min_words)
-    halves = [F.when(F.size("words") >= fuzzy_words, k).alias(f"k{i + 1}") for i, k in enumerate(_half_keys(F.col("words")))]
-    rows = lines.select("h1", "h2", "pos", *halves)
-    distinct = settle(rows.groupBy("h1", "h2").agg(F.min("pos").alias("pos"), F.max("pos").alias("last"), *[F.min(f"k{i}").alias(f"k{i}") for i in (1, 2, 3)]))
-    near = near_partners(distinct, lines, fuzzy_words)
+    halves = [F.when(F.col("n") >= fuzzy_words, k).alias(f"k{i + 1}") for i, k in enumerate(_half_keys(F.col("line"), F.col("n")))]
+    rows = lines.select("h1", "h2", "pos", "n", *halves)
+    firsts = [F.min(f"k{i}").alias(f"k{i}") for i in (1, 2, 3)]
+    distinct = settle_table(rows.groupBy("h1", "h2").agg(F.min("pos").alias("pos"), F.max("pos").alias("last"), F.min("n").alias("n"), *firsts), "lines")
+    near = near_partners(distinct, lines)
     copied = distinct.where("last > pos").select("h1", "h2", F.col("pos").alias("best"))
-    hits = settle(copied.unionAll(near).groupBy("h1", "h2").agg(F.min("best").alias("best")))
+    hits = settle_table(copied.unionAll(near).groupBy("h1", "h2").agg(F.min("best").alias("best")), "line-hits")
     found = _with_small(lines.select("id", "version", "line_no", "pos", "h1", "h2"), hits, ["h1", "h2"]).where("pos > best")
     return found.groupBy("id", "version").agg(F.collect_set("line_no").alias("lines"))
 
