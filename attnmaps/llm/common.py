@@ -27,6 +27,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def fresh(name: str) -> str:
+    """A column name that no table of the caller has."""
+    return f"_{name}_{uuid.uuid4().hex[:12]}"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and go on from there (lineage ends)."""
     shared_folder(df.sparkSession)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attnmaps.llm.common import settle_table
+from attnmaps.llm.common import fresh, settle_table
 
 #: Lines of fewer words are never touched; they are too short to tell of copying.
 MIN_WORDS = 3
@@ -29,6 +29,9 @@ FUZZY_WORDS = 8
 #: A side of a join is broadcast up to so many rows (of at most 48 bytes), else shuffled.
 BROADCAST_ROWS = 400_000
 
+#: Columns that the result adds; columns of these names are replaced.
+COUNTS = ("_n_lines", "_n_dropped")
+
 _NULL_ID = "9223372036854775808"
 
 
@@ -155,14 +158,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hold their lines at the same positions, of which none is earlier, so they don't drop
     each other's. Documents with null ids count as the last ones. Blank lines stay.
     """
-    dropped = dropped_lines(docs, id_col, text_col, min_words, fuzzy_words).withColumnsRenamed({"id": "_id", "version": "_version", "lines": "_lines"})
-    own = docs.withColumn("_text_hash", F.xxhash64(text_col))
-    same = F.col("_text_hash").eqNullSafe(F.col("_version")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id"))
-    rows = own.join(dropped, same, "left")
+    known = {name: fresh(name) for name in ("id", "version", "lines")}
+    dropped = dropped_lines(docs, id_col, text_col, min_words, fuzzy_words).withColumnsRenamed(known)
+    gone, own = F.col(known["lines"]), fresh("text_hash")
+    same = F.col(own).eqNullSafe(F.col(known["version"])) & F.col(id_col).cast("long").eqNullSafe(F.col(known["id"]))
+    rows = docs.withColumn(own, F.xxhash64(text_col)).join(dropped, same, "left")
     lines = F.split(text_col, "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_lines"))
-    text = F.when(F.col("_lines").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    text = F.when(gone.isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
     return rows.select(
-        *[text.alias(text_col) if c == text_col else F.col(c) for c in docs.columns],
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("_n_lines"), F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("_n_dropped"),
+        *[text.alias(text_col) if c == text_col else F.col(c) for c in docs.columns if c not in COUNTS],
+        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long").alias(COUNTS[0]), F.when(gone.isNull(), 0).otherwise(F.size(gone)).cast("long").alias(COUNTS[1]),
     )

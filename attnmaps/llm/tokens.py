@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterable
 
 import numpy as np
 
@@ -112,10 +111,3 @@ def encoder(path: str) -> PieceEncoder:
     if path not in _encoders:
         _encoders[path] = PieceEncoder(path)
     return _encoders[path]
-
-
-def encode_all(path: str, texts: Iterable[str | None], end_id: int) -> Iterable[bytes]:
-    """Ids of each text and the end id, one text at a time."""
-    own, end = encoder(path), np.array([end_id], dtype=ID_TYPE).tobytes()
-    for text in texts:
-        yield own.encode(text) + end
