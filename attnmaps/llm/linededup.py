@@ -67,7 +67,11 @@ def corpus_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) ->
 
 
 def _half_keys(line: Column, n: Column) -> list[Column]:
-    """Keys of the halves that a line shares with any line within one edit of it."""
+    """Keys of the halves that a line shares with any line within one edit of it.
+
+    The first is of a front half, the second of a back half, the third of a front half for
+    even numbers of words and of a back half for odd ones.
+    """
     front = lambda c: F.xxhash64(F.lit(0), c, F.call_function("substring_index", line, F.lit(" "), c))
     back = lambda c: F.xxhash64(F.lit(1), c, F.call_function("substring_index", line, F.lit(" "), -c))
     half, less = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
@@ -103,21 +107,26 @@ def variants(texts: DataFrame) -> DataFrame:
     as some longer line's variant there, and come from lines with partners of other lengths.
     """
     hashes = F.transform(F.split("line", " "), lambda w: F.xxhash64(w))
-    chains = texts.select("h1", "h2", "pos", "n", "mixed", hashes.alias("w"))
-    chains = chains.select("h1", "h2", "pos", "n", "mixed", _chain(F.col("w")).alias("before"), _chain(F.reverse("w")).alias("after"))
+    # an edit in the front half leaves the back half shared, and the other way round
+    first = F.when(F.col("back"), 0).otherwise(F.floor((F.col("n") - 1) / 2)).cast("int")
+    last = F.when(F.col("front"), F.col("n")).otherwise(F.floor(F.col("n") / 2)).cast("int")
+    chains = texts.select("h1", "h2", "pos", "n", "mixed", first.alias("first"), last.alias("last"), hashes.alias("w"))
+    chains = chains.select("h1", "h2", "pos", "n", "mixed", "first", "last", _chain(F.col("w")).alias("before"), _chain(F.reverse("w")).alias("after"))
     key = lambda i, rest: F.xxhash64(i, F.get("before", i), F.get("after", rest))
-    deleted = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(key(i, F.col("n") - 1 - i).alias("key"), F.lit(False).alias("gap")))
-    gaps = F.transform(F.sequence(F.lit(0), F.col("n")), lambda i: F.struct(key(i, F.col("n") - i).alias("key"), F.lit(True).alias("gap")))
+    places = F.sequence(F.col("first"), F.least(F.col("last"), F.col("n") - 1))
+    deleted = F.transform(places, lambda i: F.struct(key(i, F.col("n") - 1 - i).alias("key"), F.lit(False).alias("gap")))
+    gaps = F.transform(F.sequence("first", "last"), lambda i: F.struct(key(i, F.col("n") - i).alias("key"), F.lit(True).alias("gap")))
     keys = F.when(F.col("mixed"), F.concat(deleted, gaps)).otherwise(deleted)
     return chains.select("h1", "h2", "pos", F.inline_outer(keys))
 
 
 def near_partners(distinct: DataFrame, lines: DataFrame) -> DataFrame:
     """(h1, h2, best): position of the earliest line within one edit, where it is earlier."""
-    keys = distinct.where("k1 is not null").select(F.explode(F.array("k1", "k2", "k3")).alias("key"), "h1", "h2", "pos", "n")
+    sides = [F.struct(F.col(f"k{i}").alias("key"), front.alias("front")) for i, front in ((1, F.lit(True)), (2, F.lit(False)), (3, F.col("n") % 2 == 0))]
+    keys = distinct.where("k1 is not null").select(F.inline(F.array(*sides)), "h1", "h2", "pos", "n")
     counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("lines"), F.min("n").alias("low"), F.max("n").alias("high"))
     shared = settle_table(counts.where("lines > 1").select("key", (F.col("low") < F.col("high")).alias("mixed")), "line-keys")
-    alive = _with_small(keys, shared, ["key"]).groupBy("h1", "h2", "pos").agg(F.max("mixed").alias("mixed"))
+    alive = _with_small(keys, shared, ["key"]).groupBy("h1", "h2", "pos").agg(F.max("mixed").alias("mixed"), F.max("front").alias("front"), F.max(~F.col("front")).alias("back"))
     alive = settle_table(alive, "line-alive")
     found = _with_small(lines.select("h1", "h2", "pos", "line", "n"), alive, ["h1", "h2", "pos"])
     # rows that repeat a document repeat a line's first place
@@ -140,13 +149,14 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, version, lines): numbers of the lines to drop from each document that has any."""
     lines = corpus_lines(docs, id_col, text_col, min_words)
     halves = [F.when(F.col("n") >= fuzzy_words, k).alias(f"k{i + 1}") for i, k in enumerate(_half_keys(F.col("line"), F.col("n")))]
-    rows = lines.select("h1", "h2", "pos", "n", *halves)
+    places = settle_table(lines.select("id", "version", "line_no", "n", "h1", "h2", *halves), "line-places")
+    places = places.withColumn("pos", _position(F.col("id"), F.col("line_no")))
     firsts = [F.min(f"k{i}").alias(f"k{i}") for i in (1, 2, 3)]
-    distinct = settle_table(rows.groupBy("h1", "h2").agg(F.min("pos").alias("pos"), F.max("pos").alias("last"), F.min("n").alias("n"), *firsts), "lines")
+    distinct = settle_table(places.groupBy("h1", "h2").agg(F.min("pos").alias("pos"), F.max("pos").alias("last"), F.min("n").alias("n"), *firsts), "lines")
     near = near_partners(distinct, lines)
     copied = distinct.where("last > pos").select("h1", "h2", F.col("pos").alias("best"))
     hits = settle_table(copied.unionAll(near).groupBy("h1", "h2").agg(F.min("best").alias("best")), "line-hits")
-    found = _with_small(lines.select("id", "version", "line_no", "pos", "h1", "h2"), hits, ["h1", "h2"]).where("pos > best")
+    found = _with_small(places.select("id", "version", "line_no", "pos", "h1", "h2"), hits, ["h1", "h2"]).where("pos > best")
     return found.groupBy("id", "version").agg(F.collect_set("line_no").alias("lines"))
 
 
@@ -162,7 +172,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dropped = dropped_lines(docs, id_col, text_col, min_words, fuzzy_words).withColumnsRenamed(known)
     gone, own = F.col(known["lines"]), fresh("text_hash")
     same = F.col(own).eqNullSafe(F.col(known["version"])) & F.col(id_col).cast("long").eqNullSafe(F.col(known["id"]))
-    rows = docs.withColumn(own, F.xxhash64(text_col)).join(dropped, same, "left")
+    rows = docs.withColumn(own, F.xxhash64(text_col)).join(dropped.hint("shuffle_hash"), same, "left")  # texts needn't be sorted
     lines = F.split(text_col, "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
     text = F.when(gone.isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
