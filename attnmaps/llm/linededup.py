@@ -173,7 +173,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone, own = F.col(known["lines"]), fresh("text_hash")
     same = F.col(own).eqNullSafe(F.col(known["version"])) & F.col(id_col).cast("long").eqNullSafe(F.col(known["id"]))
     rows = docs.withColumn(own, F.xxhash64(text_col)).join(dropped.hint("shuffle_hash"), same, "left")  # texts needn't be sorted
-    lines = F.split(text_col, "\n")
+    # a column of its own, so that texts are split once and not for every line
+    held = fresh("split")
+    rows, lines = rows.withColumn(held, F.split(text_col, "\n")), F.col(held)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
     text = F.when(gone.isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
     return rows.select(
