@@ -128,3 +128,26 @@ def test_heatmaps_have_one_exchange_by_image(spark):
 def test_image_key(spark):
     df = spark.createDataFrame([("a/b/c.png",), ("c.png",), ("b/c.png",)], "p string")
     assert [r[0] for r in df.select(image_key(F.col("p"))).collect()] == ["b/c.png", "c.png", "b/c.png"]
+
+
+def test_filters_and_columns_reach_the_scan(spark, tmp_path):
+    from attnmaps.sources.readers import ARCHIVE, read_submissions_archive
+
+    rows = [("d/c0/a.png", [1, 2], [3], 7, 0.99, [True], 0), ("d/c0/b.png", [1], [3], 8, 0.5, [], 1)]
+    spark.createDataFrame(rows, ARCHIVE).write.parquet(f"{tmp_path}/archive")
+    plan = filters.filter_catch(read_submissions_archive(spark, f"{tmp_path}/archive")).select("user_id")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(user_catch_trial,0.95)" in text and "ReadSchema: struct<user_id:bigint,user_catch_trial:double>" in text
+    assert [r.user_id for r in plan.collect()] == [7]
+
+
+def test_top_k_needs_no_full_sort(spark):
+    scores = spark.range(100).select(F.col("id").cast("string").alias("image_key"), (F.col("id") % 7).cast("double").alias("score"))
+    plan = stats.top_bottom(scores, 3)
+    assert plan._jdf.queryExecution().executedPlan().toString().count("TakeOrderedAndProject") == 2
+    assert {(r.side, r.score) for r in plan.collect()} == {("top", 6.0), ("bottom", 0.0)}
+
+
+def test_running_total_stops_with_ties(spark):
+    counts = spark.createDataFrame([("a", 30), ("b", 20), ("c", 20), ("d", 5)], "image_key string, n long")
+    assert sorted(r.image_key for r in stats.most_clicked_until(counts, 40).collect()) == ["a", "b", "c"]
