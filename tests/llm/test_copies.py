@@ -43,7 +43,9 @@ def brute_lines(rows):
     return {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in rows}
 
 
-def test_line_dedup_against_brute_force(spark):
+@pytest.mark.parametrize("broadcast_rows", [linededup.BROADCAST_ROWS, 0])
+def test_line_dedup_against_brute_force(spark, broadcast_rows, monkeypatch):
+    monkeypatch.setattr(linededup, "BROADCAST_ROWS", broadcast_rows)
     rng = np.random.default_rng(1)
     base = [list(rng.choice(WORDS, n)) for n in (2, 3, 7, 8, 9, 12, 20, 21)]
     rows = []
