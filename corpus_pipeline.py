@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attnmaps.llm import decontam, langid, linededup, packing, simhash
+from attnmaps.llm import decontam, langid, linededup, nearcopies, packing
 from attnmaps.llm.common import new_folder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -32,8 +32,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, the one with the smallest id."""
-    return simhash.keep_first(docs.select(COLUMNS))
+    """One document of each group of near copies stays, the one with the smallest id."""
+    return nearcopies.keep_first(docs.select(COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
