@@ -1,24 +1,25 @@
-"""Benchmark decontamination by spaced-seed hashing.
+"""Benchmark decontamination by seed hashing.
 
 Tokens are lower-cased runs of letters, digits and other characters that aren't ASCII
 punctuation or white space. A mask names the positions of a window of tokens that count;
 the others may differ. Windows of test items and of documents that agree under
-a mask are hits, and around a hit the item is laid along the document: the longest
-stretch whose substitutions stay within the bound is the overlap.
+a mask are hits, and around a hit the item is laid along the document: of the
+stretches whose substitutions stay within the bound the one with most equal tokens is the
+overlap. An item's mask follows from its length and the rule: the run of equal tokens that
+no overlap of that item lacks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from fractions import Fraction
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed masks, "1" for positions that count. Ten tokens in a row with one substitution,
-#: fifteen with two and twenty with three match under one of them wherever those are.
-MASKS = ("11101011", "11011101", "10111110", "01111011")
 #: An overlap counts with so many equal tokens, or with this share of a shorter item, and
 #: so many of its tokens equal.
 MIN_EQUAL = 13
@@ -53,34 +54,59 @@ def seeds(hashes: np.ndarray, mask: str, number: int) -> np.ndarray:
     return total ^ (total >> np.uint64(29))
 
 
-def overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int]:
+def overlap(doc: np.ndarray, item: np.ndarray, shift: int, min_identity: float = MIN_IDENTITY) -> tuple[int, int, int]:
     """(equal tokens, start, end in the document) of the best stretch along a diagonal.
 
-    Token i of the item lies on token i + shift of the document. A stretch gains one
-    for an equal token and loses four for another, so that it keeps four equal ones to
-    every substitution.
+    Token i of the item lies on token i + shift of the document. Of all stretches with the
+    share of equal tokens the one with most of these is best, then the shortest and first.
     """
     a, b = max(0, -shift), min(len(item), len(doc) - shift)
     same = doc[a + shift : b + shift] == item[a:b]
-    gains = np.concatenate([[0], np.cumsum(np.where(same, 1, -4))])
-    low = np.minimum.accumulate(gains)
-    end = int(np.argmax(gains - low))
-    start = int(np.argmax(gains[: end + 1] == low[end]))
-    return int(same[start:end].sum()), a + shift + start, a + shift + end
+    if not same.any():
+        return 0, a + shift, a + shift
+    share = Fraction(str(min_identity))
+    # a stretch has the share where the gains' sum isn't negative; each end goes with its earliest start
+    gains = np.concatenate([[0], np.cumsum(np.where(same, share.denominator - share.numerator, -share.numerator))])
+    starts = np.searchsorted(-np.minimum.accumulate(gains), -gains)
+    count = np.concatenate([[0], np.cumsum(same)])
+    places = np.flatnonzero(same)
+    equal = count - count[starts]
+    ends = np.flatnonzero(equal == equal.max())
+    # other tokens at either side go
+    firsts, lasts = places[count[starts[ends]]], places[count[ends] - 1] + 1
+    k = int(np.argmin(lasts - firsts))
+    return int(equal.max()), a + shift + int(firsts[k]), a + shift + int(lasts[k])
 
 
 def _counts(equal: int, length: int, item: int, min_equal: int, min_share: float, min_identity: float) -> bool:
     return length > 0 and equal >= min(min_equal, min_share * item) and equal >= min_identity * length
 
 
+@cache
+def seed_mask(n: int, min_equal: int = MIN_EQUAL, min_share: float = MIN_SHARE, min_identity: float = MIN_IDENTITY) -> str:
+    """Mask of the longest run of equal tokens that every overlap with an item of n tokens has.
+
+    E equal tokens and S others make a run of E / (S + 1) equal ones, rounded up.
+    """
+    share = Fraction(str(min_identity))
+    least = max(1, -int(-min(min_equal, Fraction(str(min_share)) * n) // 1))
+    others = lambda e: min(n - e, int(e * (1 - share) / share)) if share else n - e
+    return "1" * min((-(-e // (others(e) + 1)) for e in range(least, n + 1)), default=1)
+
+
+def _by_mask(tokens: np.ndarray, masks: tuple[str, ...] | None, rule: tuple) -> tuple[str, ...]:
+    return masks or (seed_mask(len(tokens), *rule),)
+
+
 class SeedIndex:
     """Seeds of the test items, sorted, behind a bit filter."""
 
-    def __init__(self, items: list[tuple[int, str]], masks: tuple[str, ...]):
-        self.masks = masks
+    def __init__(self, items: list[tuple[int, str]], masks: tuple[str, ...] | None, rule: tuple):
         self.ids = [x for x, _ in items]
         self.tokens = [token_hashes(x) for _, x in items]
-        found = [(seeds(t, m, k), i) for i, t in enumerate(self.tokens) for k, m in enumerate(masks)]
+        own = [_by_mask(t, masks, rule) for t in self.tokens]
+        self.masks = sorted(set().union(*own))
+        found = [(seeds(t, m, self.masks.index(m)), i) for i, (t, ms) in enumerate(zip(self.tokens, own, strict=True)) for m in ms]
         hashes = np.concatenate([s for s, _ in found]) if found else np.zeros(0, dtype=np.uint64)
         owner = np.concatenate([np.full(len(s), i) for s, i in found]) if found else np.zeros(0, dtype=int)
         place = np.concatenate([np.arange(len(s)) for s, _ in found]) if found else np.zeros(0, dtype=int)
@@ -102,17 +128,17 @@ class SeedIndex:
                 diagonals.update((int(self.owner[j]), int(at - self.place[j])) for j in range(a, b))
         best: dict[int, tuple[int, int, int]] = {}
         for i, shift in sorted(diagonals):
-            equal, start, end = overlap(doc, self.tokens[i], shift)
+            equal, start, end = overlap(doc, self.tokens[i], shift, rule[2])
             if _counts(equal, end - start, len(self.tokens[i]), *rule) and equal > best.get(i, (0,))[0]:
                 best[i] = (equal, start, end)
         return [(self.ids[i], *x) for i, x in sorted(best.items())]
 
 
-def _by_broadcast(docs: DataFrame, items: list[tuple[int, str]], masks: tuple[str, ...], rule: tuple) -> DataFrame:
+def _by_broadcast(docs: DataFrame, items: list[tuple[int, str]], masks: tuple[str, ...] | None, rule: tuple) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = SeedIndex(shared.value, masks)
+        index = SeedIndex(shared.value, masks, rule)
         for batch in batches:
             rows = [(doc_id, *hit) for doc_id, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for hit in index.search(token_hashes(x.as_py()), rule)]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
@@ -121,14 +147,23 @@ def _by_broadcast(docs: DataFrame, items: list[tuple[int, str]], masks: tuple[st
     return docs.mapInArrow(run, "id long, item_id long, n_equal long, start long, end long")
 
 
-def _by_shuffle(docs: DataFrame, items: DataFrame, masks: tuple[str, ...], rule: tuple) -> DataFrame:
+def _by_shuffle(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] | None, rule: tuple) -> DataFrame:
     """The same for test sets of any size: an equi-join of the seeds, then of the texts."""
 
-    def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lengths(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(token_hashes(x.as_py())) for x in batch.column(0)], pa.int64())], names=["n"])
+
+    sizes = [] if masks else items.select("text").mapInArrow(lengths, "n long").distinct().collect()  # at most a row for each length
+    every = masks or sorted({seed_mask(r["n"], *rule) for r in sizes})
+
+    def emit(batches: Iterable[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for own, text in zip(batch.column(0), batch.column(1), strict=True):
                 tokens = token_hashes(text.as_py())
-                found = [seeds(tokens, m, k) for k, m in enumerate(masks)]
+                found = [seeds(tokens, m, every.index(m)) for m in (every if whole else _by_mask(tokens, masks, rule))]
+                if not found:
+                    continue
                 hashes = np.concatenate(found).astype(np.int64)
                 place = np.concatenate([np.arange(len(x)) for x in found])
                 for at in range(0, len(hashes), 50_000):
@@ -141,15 +176,15 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, masks: tuple[str, ...], rule:
             for r in batch.to_pylist():
                 doc, item = token_hashes(r["text"]), token_hashes(r["item"])
                 for shift in r["shifts"]:
-                    equal, start, end = overlap(doc, item, shift)
+                    equal, start, end = overlap(doc, item, shift, rule[2])
                     if _counts(equal, end - start, len(item), *rule):
                         rows.append((r["id"], r["item_id"], equal, start, end))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "item_id", "n_equal", "start", "end"])
 
     schema = "row long, seed long, place long"
-    theirs = items.select("item_id", "text").mapInArrow(emit, schema).withColumnsRenamed({"row": "item_id", "place": "j"})
-    ours = docs.select("id", "text").mapInArrow(emit, schema).withColumnsRenamed({"row": "id"})
+    theirs = items.select("item_id", "text").mapInArrow(partial(emit, whole=False), schema).withColumnsRenamed({"row": "item_id", "place": "j"})
+    ours = docs.select("id", "text").mapInArrow(partial(emit, whole=True), schema).withColumnsRenamed({"row": "id"})
     diagonals = ours.join(theirs, "seed").select("id", "item_id", (F.col("place") - F.col("j")).alias("shift")).distinct()
     pairs = diagonals.groupBy("id", "item_id").agg(F.array_sort(F.collect_set("shift")).alias("shifts"))
     texts = pairs.join(docs.select("id", "text"), "id").join(items.select("item_id", F.col("text").alias("item")), "item_id")
@@ -162,7 +197,7 @@ def overlaps(
     benchmark: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    masks: tuple[str, ...] = MASKS,
+    masks: tuple[str, ...] | None = None,
     min_equal: int = MIN_EQUAL,
     min_share: float = MIN_SHARE,
     min_identity: float = MIN_IDENTITY,
@@ -171,7 +206,8 @@ def overlaps(
     """(id, item_id, n_equal, start, end): every document and test item that overlap.
 
     ``start`` and ``end`` count the document's tokens. Null or empty texts and items
-    overlap with nothing, items shorter than a mask neither. Null ids can't be reported
+    overlap with nothing. Without ``masks`` every overlap under the rule is found; given ones
+    find what agrees under them, and nothing of items shorter than these. Null ids can't be reported
     or removed: such documents give no row; items without an id take part as item -1.
     Repeated rows of a document repeat its overlaps in the broadcast form.
     """
@@ -179,7 +215,7 @@ def overlaps(
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     items = benchmark.where("text is not null").select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), "text")
     size = items.agg(F.sum(F.size(F.split("text", r"\W+"))).alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
-    if (size["n"] or 0) * len(masks) <= broadcast_seeds and (size["b"] or 0) <= BROADCAST_BYTES:
+    if (size["n"] or 0) * len(masks or "1") <= broadcast_seeds and (size["b"] or 0) <= BROADCAST_BYTES:
         return _by_broadcast(rows, [tuple(r) for r in items.orderBy("item_id", "text").collect()], masks, rule)
     return _by_shuffle(rows, items, masks, rule)
 
