@@ -3,7 +3,8 @@
 The ratio of a text's bytes to its zstandard bytes is high where the text repeats itself
 and near one where it is noise. It also grows with length, so every length band has
 limits of its own. The whole document must lie within its band, and so must most of its
-fixed chunks, which shows a repetitive or noisy part of an otherwise normal text.
+fixed chunks, which shows a repetitive or noisy part of an otherwise normal text. What
+is left after the last full chunk is judged within a window that ends with the text.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ BANDS = (
     (8192, 1.5, 3.8),
     (32768, 1.6, 4.5),
 )
-#: Share of a document's full chunks that may lie outside the band of their length.
+#: Share of a document's chunks, the last window among them, that may lie outside the band of their length.
 BAD_CHUNKS = 0.3
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -77,16 +78,21 @@ class Compression:
         self.bands, self.chunk, self.bad_chunks = bands, chunk, bad_chunks
 
     def judge(self, text: bytes) -> tuple[float, int, int, bool]:
-        """(ratio of the whole, full chunks, those outside their band, verdict)."""
+        """(ratio of the whole, chunks, those outside their band, verdict).
+
+        A text of a chunk's size or less is judged as a whole only.
+        """
         ratio = len(text) / len(self.compress(text))
         low, high = band(len(text), self.bands)
-        full = len(text) // self.chunk
+        starts = list(range(0, len(text) - self.chunk + 1, self.chunk))
+        if starts and len(text) % self.chunk:
+            starts.append(len(text) - self.chunk)
         least, most = band(self.chunk, self.bands)
         bad = 0
-        for k in range(full if full > 1 else 0):
-            own = self.chunk / len(self.compress(text[k * self.chunk : (k + 1) * self.chunk]))
+        for at in starts if len(starts) > 1 else []:
+            own = self.chunk / len(self.compress(text[at : at + self.chunk]))
             bad += not least <= own <= most
-        return ratio, full, bad, low <= ratio <= high and bad <= self.bad_chunks * full
+        return ratio, len(starts), bad, low <= ratio <= high and bad <= self.bad_chunks * len(starts)
 
 
 def quality(
@@ -106,9 +112,9 @@ def quality(
             for x in batch.column(1):
                 text = x.as_py() or b""
                 n, chars, symbols, dups, repeated = text_stats(text)
-                ratio, full, bad, fine = own.judge(text)
+                ratio, chunks, bad, fine = own.judge(text)
                 failed = n < min_words or 100 * repeated > max_repeat * n
-                rows.append((n, chars, symbols, dups, repeated, failed, fine and not failed, ratio, full, bad))
+                rows.append((n, chars, symbols, dups, repeated, failed, fine and not failed, ratio, chunks, bad))
             columns = [list(c) for c in zip(*rows, strict=True)]
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64(), pa.int64(), pa.int64()]
             names = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept ratio n_chunks n_bad_chunks".split()
