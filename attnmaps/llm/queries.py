@@ -19,12 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all documents' ids to packed files and read them back."""
     folder = new_folder(spark, "token-files")
-    written = token_store.write_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(TOKENIZER), end_id=2)
-    schema = written.schema
-    files = spark.createDataFrame(written.collect(), schema)  # a row for each file of up to 4 million ids
-    if files.isEmpty():
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return token_store.read_tokens(spark, folder, files)
+    files = token_store.write_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(TOKENIZER), end_id=2)
+    return token_store.read_tokens(folder, files)
 
 
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -127,13 +127,18 @@ def write_bytes(uri: str, data: bytes) -> None:
     store.move(part, path)
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+FILES = "file string, part int, first_id long, n_docs long, n_tokens long"
+
+
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """Encode every whole text, append ``end_id`` and write the files of ``folder``.
 
     Ids ascend over the files as named, null ids first; rows that repeat an id are
     ordered by their texts' hashes. Null texts are empty ones: the end id alone. The rows
-    are dealt by ranges of ids, so that any number of tasks write without a common
-    counter. Returns the list of files: (file, first_id, n_docs, n_tokens).
+    are dealt by ranges of ids and hashes, so that any number of tasks write without a common
+    counter, and rows of one id (or none) need not meet in one task; ``parts`` is the number of
+    ranges, by default that of the session's shuffles. Returns the list of files, which is
+    a table in the folder itself.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,10 +154,11 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
             nonlocal total, files
             name = f"tokens-{part:07d}-{files:05d}.bin"
             write_bytes(f"{folder}/{name}", file_bytes(doc_ids, ids, bits))
-            row = {"file": [name], "first_id": [doc_ids[0]], "n_docs": [len(doc_ids)], "n_tokens": [total]}
+            row = [[name], [part], [doc_ids[0]], [len(doc_ids)], [total]]
             doc_ids.clear(), ids.clear()
             total, files = 0, files + 1
-            return pa.RecordBatch.from_pydict(row, schema=pa.schema([("file", pa.string()), ("first_id", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+            kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in FILES.split(", ")])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -164,35 +170,57 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
         if doc_ids:
             yield close()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, F.col("id").asc_nulls_first())
-    ordered = dealt.sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
-    return ordered.mapInArrow(run, "file string, first_id long, n_docs long, n_tokens long")
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
+    order = [F.col("id").asc_nulls_first(), F.col("hash")]
+    dealt = rows.repartitionByRange(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
+    ordered = dealt.sortWithinPartitions(*order).select("id", "text")
+    ordered.mapInArrow(run, FILES).write.parquet(f"{folder}/files")
+    return spark.read.schema(FILES).parquet(f"{folder}/files")
+
+
+def file_starts(files: DataFrame) -> DataFrame:
+    """(file, base): number of ids in all files before, by name.
+
+    Sums by part of the writing job run over as many rows as it had tasks; within a
+    part the files' own totals add up. No task sees the list of all files.
+    """
+    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a writing task
+    begins = parts.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("begin"))
+    within = Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    own = files.withColumn("own", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
+    return own.join(begins, "part").select("file", (F.col("own") + F.col("begin")).alias("base"))
+
+
+def read_bytes(uri: str) -> bytes:
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    with store.open_input_stream(path) as file:
+        return file.read()
 
 
-def read_tokens(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
+def read_tokens(folder: str, files: DataFrame) -> DataFrame:
     """Read files back: (doc_id, start, n_tokens, ids_crc32) of every document.
 
-    ``start`` counts the ids of all documents before, over all files by name; the files'
-    own totals, a row for each, give where each begins.
+    ``start`` counts the ids of all documents before, over all files by name. The list of
+    files is dealt to the tasks, each of which opens its own files in the shared folder.
     """
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "tokens-*.bin").load(folder)
-    rows = raw.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").join(F.broadcast(starts), "file").select("base", "content")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for base, content in zip(*batch.columns, strict=True):
-                file = TokenFile(content.as_py())
+            for name, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                file = TokenFile(read_bytes(f"{folder}/{name}"))
                 ends = file.ends
                 begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 flat = file.tokens_at(0, file.tokens)
                 crc = [zlib.crc32(flat[s:e].tobytes()) for s, e in zip(begins, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(file.doc_ids, pa.int64()), pa.array(begins + base.as_py()), pa.array(ends - begins), pa.array(crc, pa.int64())],
+                    [pa.array(file.doc_ids, pa.int64()), pa.array(begins + base), pa.array(ends - begins), pa.array(crc, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    starts = file_starts(files)
+    dealt = starts.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file")
+    return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -14,7 +14,7 @@ import numpy as np
 #: Ids leave the encoder in this form.
 ID_TYPE = np.dtype("<u4")
 #: Entries after which a worker's cache starts anew (about 200 bytes each).
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 400_000
 
 
 def _byte_letters() -> list[str]:
@@ -30,8 +30,9 @@ class PieceEncoder(dict):
     As a dict it maps what follows a space, up to the next space, to its ids. A
     space that a non-space follows always starts a new piece, so that these parts
     are encoded independently; a part that doesn't begin with a non-space sends the
-    whole text through the splitting pattern. The special strings of the vocabulary
-    are ordinary text. Tokenizers of another kind encode text by text.
+    whole text through the splitting pattern. Texts that hold a string of the added
+    tokens go to the tokenizer itself, which knows how such strings are cut out, and so do all
+    texts if the tokenizer is of another kind.
     """
 
     def __init__(self, path: str):
@@ -41,7 +42,6 @@ class PieceEncoder(dict):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         pre = spec.get("pre_tokenizer") or {}
@@ -53,6 +53,7 @@ class PieceEncoder(dict):
             and pre.get("use_regex", True)
             and not pre.get("add_prefix_space")
         )
+        self.added = [x["content"] for x in spec.get("added_tokens") or []]
         self.model = self.tokenizer.model
         self.letters = {b: c for b, c in enumerate(_byte_letters())}
         self.split = regex.compile(public_tokenizers.PATTERN).findall
@@ -92,7 +93,7 @@ class PieceEncoder(dict):
         """Ids of a whole text; a null text is an empty one."""
         if not text:
             return b""
-        if not self.by_piece:
+        if not self.by_piece or any(x in text for x in self.added):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return np.array(ids, dtype=ID_TYPE).tobytes()
         first, *parts = text.split(" ")

@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from attnmaps.llm import packing, queries, token_store
@@ -16,7 +17,6 @@ from attnmaps.llm.tokens import ID_TYPE, PieceEncoder
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 PLAIN = Tokenizer.from_file(PATH)
-PLAIN.encode_special_tokens = True
 OWN = PieceEncoder(PATH)
 DOC = "doc_id long, text string, n int"
 
@@ -31,7 +31,7 @@ def test_pieces_equal_the_whole(text):
     assert OWN.encode(text) == plain(text).tobytes()
 
 
-@pytest.mark.parametrize("text", ["", " ", "  a", "a  b ", "don't we'll", "x<|endoftext|>y", "a\n b\n\n c", "é" * 3000, "1234 5,6", "　 a", "end "])
+@pytest.mark.parametrize("text", ["", " ", "  a", "a  b ", "don't we'll", "x<|endoftext|>y", "<|endoftext|><|endoftext|> a", "a\n b\n\n c", "é" * 3000, "1234 5,6", "　 a", "end "])
 def test_hard_texts(text):
     assert OWN.encode(text) == plain(text).tobytes()
 
@@ -39,7 +39,6 @@ def test_hard_texts(text):
 def test_another_kind_of_tokenizer():
     path = public_tokenizers.path("word_bpe_49k.json")
     other = Tokenizer.from_file(path)
-    other.encode_special_tokens = True
     assert PieceEncoder(path).encode("Some Text") == np.array(other.encode("Some Text", add_special_tokens=False).ids, dtype=ID_TYPE).tobytes()
 
 
@@ -80,11 +79,25 @@ def test_token_files_edges(spark, tmp_path, monkeypatch):
     rows = [(4, "b", 0), (None, "x", 0), (2, None, 0), (4, "a", 0), (3, "", 0), (9, "long " * 20000, 0)]
     folder = f"file://{tmp_path}/tokens"
     written = token_store.write_tokens(spark.createDataFrame(rows, DOC), folder, PATH, 2)
-    found = token_store.read_tokens(spark, folder, spark.createDataFrame(written.collect(), written.schema)).orderBy("start").collect()
+    assert written.agg({"n_docs": "sum"}).first()[0] == len(rows)
+    found = token_store.read_tokens(folder, written).orderBy("start").collect()
     assert [r.doc_id for r in found] == [None, 2, 3, 4, 4, 9] and [r.n_tokens for r in found[1:3]] == [1, 1]
     assert [r.start for r in found] == np.cumsum([0, *[r.n_tokens for r in found[:-1]]]).tolist()
 
 
+def test_token_files_of_one_id_and_of_no_rows(spark, tmp_path):
+    """Rows of one id are spread over many ranges, and still follow each other."""
+    rows = spark.createDataFrame([(None if k % 2 else 7, f"text {k} <|endoftext|>", k) for k in range(400)], DOC).withColumn("hash", F.lit(1))
+    folder = f"file://{tmp_path}/tokens"
+    found = token_store.read_tokens(folder, token_store.write_tokens(rows, folder, PATH, 2, parts=8)).orderBy("start").collect()
+    assert len({r.file for r in spark.read.parquet(f"{folder}/files").collect()}) > 4
+    assert [r.doc_id for r in found] == [None] * 200 + [7] * 200
+    assert [r.start for r in found] == np.cumsum([0, *[r.n_tokens for r in found[:-1]]]).tolist()
+    assert found[0].n_tokens == len(plain("text 1 <|endoftext|>")) + 1
+    empty = f"file://{tmp_path}/empty"
+    assert token_store.read_tokens(empty, token_store.write_tokens(rows.limit(0), empty, PATH, 2)).count() == 0
+
+
 def check_packed(rows, ids, end):
     parts, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
