@@ -53,6 +53,43 @@ def test_language_edges(spark):
     assert langid.classify(asked.limit(0), model).count() == 0
 
 
+def plain_language(text, dictionaries):
+    """Predictions by a second, direct use of the compressor."""
+    if not any(c.isalpha() for c in text or ""):
+        return "und", True
+    data, sizes = text.lower().encode(), {}
+    for lang, own in dictionaries.items():
+        shared = zstandard.ZstdCompressionDict(own, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        parameters = zstandard.ZstdCompressionParameters.from_level(langid.LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False)
+        sizes[lang] = sum(len(zstandard.ZstdCompressor(dict_data=shared, compression_params=parameters).compress(data[k : k + 8192])) for k in range(0, len(data), 8192))
+    (best, lang), (second, _) = sorted((n, k) for k, n in sizes.items())[:2]
+    return lang, not (second > best and second - best >= 0.01 * best)
+
+
+def test_language_against_plain_compression(spark):
+    docs = queries.table(spark, SF, "documents")
+    model = langid.train(docs.where(~langid.held_out()))
+    own = texts(spark)
+    found = {r.doc_id: (r.lang_pred, r.rejected) for r in queries.op3_language_id(spark, SF).collect()}
+    agree = sum(found[i] == plain_language(t, model) for i, t in own.items())
+    assert agree >= 0.98 * len(own)  # compressors with and without a prepared dictionary may differ by a byte
+
+
+def test_few_texts_copied_often_stay_a_language(spark):
+    fr, en = [f"la petite maison numéro {k} est près de la grande forêt " * 3 for k in range(5)], "the little house number {} stands by the old forest "
+    rows = [(k, fr[k % 5], "fr") for k in range(6000)] + [(10_000 + k, en.format(k) * 3, "en") for k in range(300)] + [(20_000, "una casa", "es")]
+    model = langid.train(spark.createDataFrame(rows, DOC))
+    assert sorted(model) == ["en", "es", "fr"]
+
+
+def test_texts_of_no_known_language_are_mostly_rejected(spark):
+    docs = queries.table(spark, "/root/testdata/sf0.01", "documents").where("lang is not null")
+    model = langid.train(docs.where("lang <> 'de'").where(~langid.held_out()))
+    found = langid.classify(docs.where("lang = 'de'"), model).groupBy().agg(F.avg(F.col("rejected").cast("int"))).first()[0]
+    kept = langid.classify(docs.where("lang <> 'de'"), model).groupBy().agg(F.avg(F.col("rejected").cast("int"))).first()[0]
+    assert found > 0.7 and kept < 0.02
+
+
 # --- quality rules ------------------------------------------------------------------------
 
 
