@@ -1,30 +1,42 @@
-"""Benchmark decontamination by seed hashing.
+"""Benchmark decontamination by spaced-seed hashing.
 
 Tokens are lower-cased runs of letters, digits and other characters that aren't ASCII
 punctuation or white space. A mask names the positions of a window of tokens that count;
 the others may differ. Windows of test items and of documents that agree under
 a mask are hits, and around a hit the item is laid along the document: of the
 stretches whose substitutions stay within the bound the one with most equal tokens is the
-overlap. An item's mask follows from its length and the rule: the run of equal tokens that
-no overlap of that item lacks.
+overlap.
+
+The fixed masks miss no overlap of an item of 12 tokens or more. An overlap has S other tokens, S at most
+a fourth of its E equal ones, which form S + 1 runs. Unless a run has five tokens (first mask), the
+runs lack 4 (S + 1) - E tokens of four each: 4 at most, and with E = 13, S = 3 or fewer tokens
+3 at most. Then two neighbouring runs lack at most two between them, and one of the other
+masks lies on these. Shorter items have no such pair; their mask is the run of equal tokens
+that none of their overlaps lacks, as it is under a rule of other numbers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from fractions import Fraction
-from functools import cache, partial
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attnmaps.llm.common import fresh
+
 #: An overlap counts with so many equal tokens, or with this share of a shorter item, and
 #: so many of its tokens equal.
 MIN_EQUAL = 13
 MIN_SHARE = 0.8
 MIN_IDENTITY = 0.8
+#: Fixed masks, one for a long run and three for neighbouring runs that are cut by one token.
+SPACED = ("11111", "1101111", "1110111", "1111011")
+#: Items of so many tokens or more are found by the fixed masks under the rule above.
+SPACED_TOKENS = 12
 #: The test items' seeds are broadcast up to this number; more are joined by a shuffle.
 BROADCAST_SEEDS = 2_000_000
 BROADCAST_BYTES = 64 << 20
@@ -94,17 +106,46 @@ def seed_mask(n: int, min_equal: int = MIN_EQUAL, min_share: float = MIN_SHARE,
     return "1" * min((-(-e // (others(e) + 1)) for e in range(least, n + 1)), default=1)
 
 
-def _by_mask(tokens: np.ndarray, masks: tuple[str, ...] | None, rule: tuple) -> tuple[str, ...]:
-    return masks or (seed_mask(len(tokens), *rule),)
+def item_masks(n: int, masks: tuple[str, ...] | None, rule: tuple) -> tuple[str, ...]:
+    """The masks for an item of n tokens: given ones, the fixed ones, or a run."""
+    if masks:
+        return masks
+    return SPACED if n >= SPACED_TOKENS and rule == (MIN_EQUAL, MIN_SHARE, MIN_IDENTITY) else (seed_mask(n, *rule),)
+
+
+def best_overlap(doc: np.ndarray, item: np.ndarray, shifts: np.ndarray, rule: tuple) -> tuple[int, int, int] | None:
+    """(equal tokens, start, end) of the best overlap along the ascending shifts, if any counts.
+
+    Most equal tokens come first, then the least shift. Equal tokens of all shifts are counted
+    at once; a shift that can't be better is not looked at further.
+    """
+    n, least = len(item), min(rule[0], rule[1] * len(item))
+    found: list[tuple[int, int]] = []
+    beside = np.full(n, np.bitwise_xor.reduce(np.unique(item)) ^ np.uint64(0x9E3779B97F4A7C15), dtype=np.uint64)
+    padded = np.concatenate([beside, doc, beside])
+    windows = np.lib.stride_tricks.sliding_window_view(padded, n)
+    step = max(1, (1 << 20) // n)
+    for at in range(0, len(shifts), step):
+        part = shifts[at : at + step]
+        equal = (windows[part + n] == item).sum(axis=1)
+        able = equal >= least
+        found += zip((-equal[able]).tolist(), part[able].tolist(), strict=True)
+    best = None
+    for most, shift in sorted(found):
+        if best and (-most < best[0] or -most == best[0] and shift > best[1]):
+            continue
+        equal, start, end = overlap(doc, item, shift, rule[2])
+        if _counts(equal, end - start, n, *rule) and (best is None or (-equal, shift) < (-best[0], best[1])):
+            best = (equal, shift, start, end)
+    return best and (best[0], best[2], best[3])
 
 
 class SeedIndex:
     """Seeds of the test items, sorted, behind a bit filter."""
 
-    def __init__(self, items: list[tuple[int, str]], masks: tuple[str, ...] | None, rule: tuple):
-        self.ids = [x for x, _ in items]
-        self.tokens = [token_hashes(x) for _, x in items]
-        own = [_by_mask(t, masks, rule) for t in self.tokens]
+    def __init__(self, items: list[str], masks: tuple[str, ...] | None, rule: tuple):
+        self.rule, self.tokens = rule, [token_hashes(x) for x in items]
+        own = [item_masks(len(t), masks, rule) for t in self.tokens]
         self.masks = sorted(set().union(*own))
         found = [(seeds(t, m, self.masks.index(m)), i) for i, (t, ms) in enumerate(zip(self.tokens, own, strict=True)) for m in ms]
         hashes = np.concatenate([s for s, _ in found]) if found else np.zeros(0, dtype=np.uint64)
@@ -115,81 +156,130 @@ class SeedIndex:
         self.filter = np.zeros(1 << _FILTER_BITS, dtype=bool)
         self.filter[(self.hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
 
-    def search(self, doc: np.ndarray, rule: tuple) -> list[tuple[int, int, int, int]]:
-        """(item id, equal tokens, start, end) of every item that overlaps, best stretch each."""
-        diagonals: set[tuple[int, int]] = set()
+    def shifts(self, doc: np.ndarray) -> dict[int, np.ndarray]:
+        """Ascending shifts of every item that a seed of the document hits.
+
+        Places of one seed are taken together, so text that repeats costs a step for
+        each place in an item and not for each pair of places.
+        """
+        found: dict[int, list[np.ndarray]] = {}
         for k, mask in enumerate(self.masks):
             own = seeds(doc, mask, k)
             hits = np.flatnonzero(self.filter[(own >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
             if not len(hits):
                 continue
-            first, last = (np.searchsorted(self.hashes, own[hits], side=s) for s in ("left", "right"))
-            for at, a, b in zip(hits[first < last], first[first < last], last[first < last], strict=True):
-                diagonals.update((int(self.owner[j]), int(at - self.place[j])) for j in range(a, b))
-        best: dict[int, tuple[int, int, int]] = {}
-        for i, shift in sorted(diagonals):
-            equal, start, end = overlap(doc, self.tokens[i], shift, rule[2])
-            if _counts(equal, end - start, len(self.tokens[i]), *rule) and equal > best.get(i, (0,))[0]:
-                best[i] = (equal, start, end)
-        return [(self.ids[i], *x) for i, x in sorted(best.items())]
+            order = hits[np.argsort(own[hits], kind="stable")]
+            values, starts = np.unique(own[order], return_index=True)
+            first, last = (np.searchsorted(self.hashes, values, side=x) for x in ("left", "right"))
+            ends = np.append(starts[1:], len(order))
+            for v in np.flatnonzero(first < last):
+                places = order[starts[v] : ends[v]]
+                for j in range(first[v], last[v]):
+                    found.setdefault(int(self.owner[j]), []).append(places - self.place[j])
+        return {i: _distinct(x) for i, x in found.items()}
 
+    def search(self, doc: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(number of the item, equal tokens, start, end) of every item that overlaps."""
+        best = ((i, best_overlap(doc, self.tokens[i], shifts, self.rule)) for i, shifts in sorted(self.shifts(doc).items()))
+        return [(i, *x) for i, x in best if x]
 
-def _by_broadcast(docs: DataFrame, items: list[tuple[int, str]], masks: tuple[str, ...] | None, rule: tuple) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = SeedIndex(shared.value, masks, rule)
-        for batch in batches:
-            rows = [(doc_id, *hit) for doc_id, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for hit in index.search(token_hashes(x.as_py()), rule)]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "item_id", "n_equal", "start", "end"])
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    """Distinct values of many arrays, by marks, since each may hold most of them."""
+    if len(parts) == 1:
+        return np.unique(parts[0])
+    least = min(int(x.min()) for x in parts)
+    marks = np.zeros(max(int(x.max()) for x in parts) - least + 1, dtype=bool)
+    for x in parts:
+        marks[x - least] = True
+    return np.flatnonzero(marks) + least
+
+
+_FOUND = "item_id long, n_equal long, start long, end long"
+
+
+def _record(rows: list[tuple], own: pa.DataType, name: str) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+    kinds = [own, *[pa.int64()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[name, "item_id", "n_equal", "start", "end"])
+
+
+def _by_item(hits: list[tuple[int, int, int, int]], ids: list[int | None]) -> list[tuple]:
+    """(item id, equal, start, end): the best of the texts that share an item's id."""
+    best: dict[int | None, tuple[int, int, int]] = {}
+    for i, equal, start, end in hits:
+        if ids[i] not in best or (-equal, start, end) < (-best[ids[i]][0], *best[ids[i]][1:]):
+            best[ids[i]] = (equal, start, end)
+    return [(k, *x) for k, x in best.items()]
+
+
+class _Searcher:
+    """The items on every executor: an index made once a task."""
+
+    def __init__(self, docs: DataFrame, items: DataFrame, masks: tuple[str, ...] | None, rule: tuple):
+        rows = [tuple(r) for r in items.orderBy("item_id", "text").collect()]
+        self.shared, self.masks, self.rule = docs.sparkSession.sparkContext.broadcast(rows), masks, rule
+
+    def open(self):
+        ids, index = [i for i, _ in self.shared.value], SeedIndex([t for _, t in self.shared.value], self.masks, self.rule)
+        return lambda text: _by_item(index.search(token_hashes(text)), ids)
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+
 
-    return docs.mapInArrow(run, "id long, item_id long, n_equal long, start long, end long")
+def _fit_broadcast(items: DataFrame, masks: tuple[str, ...] | None, most: int) -> bool:
+    """Whether the items' seeds are few enough for every executor; the results don't depend on it."""
+    size = items.agg(F.sum(F.size(F.split("text", r"\W+"))).alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
+    return (size["n"] or 0) * len(masks or SPACED) <= most and (size["b"] or 0) <= BROADCAST_BYTES
+
+
+def _text_key(text):
+    return F.md5(text.cast("binary"))
 
 
 def _by_shuffle(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] | None, rule: tuple) -> DataFrame:
-    """The same for test sets of any size: an equi-join of the seeds, then of the texts."""
+    """(key, item_id, n_equal, start, end) by text, for test sets of any size.
+
+    Distinct seeds of the texts and of the items are joined; every pair of a text and
+    an item that share one is laid along once, by the code of the broadcast form.
+    """
 
     def lengths(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([len(token_hashes(x.as_py())) for x in batch.column(0)], pa.int64())], names=["n"])
 
     sizes = [] if masks else items.select("text").mapInArrow(lengths, "n long").distinct().collect()  # at most a row for each length
-    every = masks or sorted({seed_mask(r["n"], *rule) for r in sizes})
+    every = sorted(set(masks or ()).union(*[item_masks(r["n"], masks, rule) for r in sizes]))
 
-    def emit(batches: Iterable[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for own, text in zip(batch.column(0), batch.column(1), strict=True):
-                tokens = token_hashes(text.as_py())
-                found = [seeds(tokens, m, every.index(m)) for m in (every if whole else _by_mask(tokens, masks, rule))]
-                if not found:
-                    continue
-                hashes = np.concatenate(found).astype(np.int64)
-                place = np.concatenate([np.arange(len(x)) for x in found])
-                for at in range(0, len(hashes), 50_000):
-                    n = len(hashes[at : at + 50_000])
-                    yield pa.RecordBatch.from_arrays([pa.array([own.as_py()] * n, pa.int64()), pa.array(hashes[at : at + n]), pa.array(place[at : at + n])], names=["row", "seed", "place"])
+    def emit(whole: bool):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for own, text in zip(batch.column(0), batch.column(1), strict=True):
+                    tokens = token_hashes(text.as_py())
+                    found = [seeds(tokens, m, every.index(m)) for m in (every if whole else item_masks(len(tokens), masks, rule))]
+                    hashes = np.unique(np.concatenate(found)).astype(np.int64) if found else np.zeros(0, dtype=np.int64)
+                    for at in range(0, len(hashes), 50_000):
+                        part = hashes[at : at + 50_000]
+                        yield pa.RecordBatch.from_arrays([pa.array([own.as_py()] * len(part), pa.string()), pa.array(part)], names=["key", "seed"])
+
+        return run
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for r in batch.to_pylist():
-                doc, item = token_hashes(r["text"]), token_hashes(r["item"])
-                for shift in r["shifts"]:
-                    equal, start, end = overlap(doc, item, shift, rule[2])
-                    if _counts(equal, end - start, len(item), *rule):
-                        rows.append((r["id"], r["item_id"], equal, start, end))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "item_id", "n_equal", "start", "end"])
-
-    schema = "row long, seed long, place long"
-    theirs = items.select("item_id", "text").mapInArrow(partial(emit, whole=False), schema).withColumnsRenamed({"row": "item_id", "place": "j"})
-    ours = docs.select("id", "text").mapInArrow(partial(emit, whole=True), schema).withColumnsRenamed({"row": "id"})
-    diagonals = ours.join(theirs, "seed").select("id", "item_id", (F.col("place") - F.col("j")).alias("shift")).distinct()
-    pairs = diagonals.groupBy("id", "item_id").agg(F.array_sort(F.collect_set("shift")).alias("shifts"))
-    texts = pairs.join(docs.select("id", "text"), "id").join(items.select("item_id", F.col("text").alias("item")), "item_id")
-    found = texts.mapInArrow(verify, "id long, item_id long, n_equal long, start long, end long")
-    return found.groupBy("id", "item_id").agg(F.max(F.struct("n_equal", (-F.col("start")).alias("s"), "end")).alias("x")).select("id", "item_id", "x.n_equal", (-F.col("x.s")).alias("start"), "x.end")
+            for key, text, item_id, item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows += [(key, item_id, *hit[1:]) for hit in SeedIndex([item], masks, rule).search(token_hashes(text))]
+            yield _record(rows, pa.string(), "key")
+
+    texts = docs.select(_text_key(F.col("text")).alias("key"), "text").dropDuplicates(["key"])
+    tests = items.select(_text_key(F.concat_ws("\n", "item_id", "text")).alias("item_key"), "item_id", F.col("text").alias("item"))
+    theirs = tests.select("item_key", "item").mapInArrow(emit(False), "key string, seed long").withColumnRenamed("key", "item_key")
+    pairs = texts.mapInArrow(emit(True), "key string, seed long").join(theirs, "seed").select("key", "item_key").distinct()
+    laid = pairs.join(texts, "key").join(tests, "item_key").select("key", "text", "item_id", "item").mapInArrow(verify, f"key string, {_FOUND}")
+    best = F.min(F.struct((-F.col("n_equal")).alias("n"), "start", "end")).alias("x")
+    return laid.groupBy("key", "item_id").agg(best).select("key", "item_id", (-F.col("x.n")).alias("n_equal"), "x.start", "x.end")
 
 
 def overlaps(
@@ -203,31 +293,58 @@ def overlaps(
     min_identity: float = MIN_IDENTITY,
     broadcast_seeds: int = BROADCAST_SEEDS,
 ) -> DataFrame:
-    """(id, item_id, n_equal, start, end): every document and test item that overlap.
+    """(id, item_id, n_equal, start, end): every row of docs and test item that overlap.
 
     ``start`` and ``end`` count the document's tokens. Null or empty texts and items
     overlap with nothing. Without ``masks`` every overlap under the rule is found; given ones
-    find what agrees under them, and nothing of items shorter than these. Null ids can't be reported
-    or removed: such documents give no row; items without an id take part as item -1.
-    Repeated rows of a document repeat its overlaps in the broadcast form.
+    find what agrees under them, and nothing of items shorter than these. Rows that repeat an
+    id or have none are judged by their own texts, a row of the result each. Items that
+    share an id, or have none, are one item, of which the best overlap counts.
     """
     rule = (min_equal, min_share, min_identity)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    items = benchmark.where("text is not null").select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), "text")
-    size = items.agg(F.sum(F.size(F.split("text", r"\W+"))).alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
-    if (size["n"] or 0) * len(masks or "1") <= broadcast_seeds and (size["b"] or 0) <= BROADCAST_BYTES:
-        return _by_broadcast(rows, [tuple(r) for r in items.orderBy("item_id", "text").collect()], masks, rule)
-    return _by_shuffle(rows, items, masks, rule)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    items = _items(benchmark)
+    if not _fit_broadcast(items, masks, broadcast_seeds):
+        found = _by_shuffle(rows, items, masks, rule)
+        return rows.select("id", _text_key(F.col("text")).alias("key")).join(found, "key").select("id", "item_id", "n_equal", "start", "end")
+    searcher = _Searcher(docs, items, masks, rule)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = searcher.open()
+        for batch in batches:
+            hits = [(i, *hit) for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for hit in search(x.as_py())]
+            yield _record(hits, pa.int64(), "id")
+
+    return rows.mapInArrow(run, f"id long, {_FOUND}")
 
 
 def contamination(found: DataFrame) -> DataFrame:
-    """(id, n_items, item_id, n_equal): each overlapping document, its items and the worst."""
+    """(id, n_items, item_id, n_equal): each overlapping document, its items and the worst.
+
+    Rows that share an id, or have none, are one document here.
+    """
+    rows = found.groupBy("id", "item_id").agg(F.max("n_equal").alias("n_equal"))
     worst = F.max(F.struct("n_equal", (-F.col("item_id")).alias("i"))).alias("worst")
-    rows = found.groupBy("id").agg(F.countDistinct("item_id").alias("n_items"), worst)
+    rows = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n_items"), worst)
     return rows.select("id", "n_items", (-F.col("worst.i")).alias("item_id"), F.col("worst.n_equal").alias("n_equal"))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that overlap with no test item, with their own columns."""
-    bad = overlaps(docs, benchmark, id_col, text_col).select(F.col("id").alias("_id")).distinct()
-    return docs.join(bad, docs[id_col] == bad["_id"], "left_anti")
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+    """The rows of docs that overlap with no test item, with their own columns.
+
+    Every row is judged by its own text, whatever its id, in the pass that keeps it;
+    beyond the broadcast bound the texts that overlap are joined by their hash.
+    """
+    rule, items = (MIN_EQUAL, MIN_SHARE, MIN_IDENTITY), _items(benchmark)
+    if not _fit_broadcast(items, None, broadcast_seeds):
+        bad = _by_shuffle(docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text")), items, None, rule)
+        own = fresh("key")
+        return docs.join(bad.select(F.col("key").alias(own)).distinct(), _text_key(F.col(text_col)) == F.col(own), "left_anti")
+    searcher, at = _Searcher(docs, items, None, rule), docs.columns.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = searcher.open()
+        for batch in batches:
+            yield batch.filter(pa.array([not search(x.as_py()) for x in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 from oracle import compare, connect
+from test_overlap_rule import plain_leaks, plain_tokens
 
 from attnmaps.llm import decontam, linededup, queries, simhash
 from attnmaps.llm.components import connected_components
@@ -182,7 +183,7 @@ def test_decontamination_tolerates_substitutions(spark, limit):
     )
     items = bench(spark, (1, " ".join(ITEM)), (2, None), (3, ""), (4, "too short"))
     found = decontam.overlaps(rows, items, broadcast_seeds=limit)
-    assert {(r.id, r.item_id, r.n_equal) for r in found.collect()} == {(1, 1, 19), (2, 1, 18), (3, 1, 15), (9, 1, 19)} or {(r.id, r.item_id) for r in found.collect()} == {(1, 1), (2, 1), (3, 1), (9, 1)}
+    assert {(r.id, r.item_id, r.n_equal) for r in found.collect()} == {(1, 1, 19), (2, 1, 18), (3, 1, 17), (9, 1, 19), (None, 1, 19)}
     assert decontam.overlaps(rows.limit(0), items, broadcast_seeds=limit).count() == 0
     assert decontam.overlaps(rows, items.limit(0), broadcast_seeds=limit).count() == 0
 
@@ -190,7 +191,7 @@ def test_decontamination_tolerates_substitutions(spark, limit):
 def test_clean_documents_stay(spark):
     rows = docs(spark, (1, "so " + " ".join(ITEM)), (2, "nothing here"), (None, " ".join(ITEM)), (3, None), extra=True)
     kept = decontam.keep_clean(rows, bench(spark, (1, " ".join(ITEM))))
-    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 2, 3] and kept.columns == rows.columns
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == [2, 3] and kept.columns == rows.columns
 
 
 def test_seeds_ignore_their_free_places():
@@ -203,18 +204,6 @@ def test_seeds_ignore_their_free_places():
 def test_decontamination_query_against_brute_force(spark):
     """All aligned stretches of every pair, without seeds."""
     rows = queries.table(spark, SF, "documents").select("doc_id", "text").collect()
-    items = queries.table(spark, SF, "benchmark").collect()
-    hit = set()
-    tokens = {r.item_id: decontam.token_hashes(r.text) for r in items}
-    for doc_id, text in rows:
-        doc = decontam.token_hashes(text)
-        for item in tokens.values():
-            shared = np.isin(item, doc)
-            if shared.sum() < min(13, 0.8 * len(item)):
-                continue
-            for shift in range(-len(item) + 1, len(doc)):
-                equal, s, e = decontam.overlap(doc, item, shift)
-                if decontam._counts(equal, e - s, len(item), 13, 0.8, 0.8):
-                    hit.add(doc_id)
-                    break
+    items = [plain_tokens(r.text) for r in queries.table(spark, SF, "benchmark").collect()]
+    hit = {r[0] for r in rows if plain_leaks(r[1], items)}
     assert {r.doc_id for r in queries.op10_decontamination(spark, SF).collect()} == hit and hit
