@@ -1,7 +1,8 @@
 """Near-duplicate lines over a whole corpus, by a deletion-neighbourhood join.
 
 A line is its sequence of words. Lines of ``FUZZY_WORDS`` words or more have an edit bound of
-one word (inserted, deleted or substituted), shorter ones must be equal. A line is
+one word (inserted, deleted or substituted), shorter ones must be equal, down to lines of
+one word, which may be a whole sentence where no spaces are written. A line is
 dropped if an earlier line, by document id and line number, lies within the bound; the
 earliest of every such pair thus stays. Built-in DataFrame functions only.
 
@@ -12,7 +13,7 @@ and after a place, and the earliest line of each key is the partner of all other
 there: groups are reduced to minima and no pairs within a group are formed. The edit
 distance of a line and its partner is then verified word by word. Before that, lines are left out that can have no partner: one edit leaves the
 first or the second half of a line as it is, and a line whose halves occur nowhere else
-is alone.
+is alone. Work is linear in a line's length.
 """
 
 from __future__ import annotations
@@ -22,15 +23,17 @@ from pyspark.sql import functions as F
 
 from attnmaps.llm.common import fresh, settle_table
 
-#: Lines of fewer words are never touched; they are too short to tell of copying.
-MIN_WORDS = 3
-#: Lines of so many words or more may differ by one word.
-FUZZY_WORDS = 8
+#: Lines of fewer words are never touched; blank lines are none.
+MIN_WORDS = 1
+#: Lines of so many words or more may differ by one word, a fifth of them at most.
+FUZZY_WORDS = 5
 #: A side of a join is broadcast up to so many rows (of at most 48 bytes), else shuffled.
 BROADCAST_ROWS = 400_000
 
-#: Columns that the result adds; columns of these names are replaced.
+#: Columns that the result adds, with more underscores in front where the caller has such columns.
 COUNTS = ("_n_lines", "_n_dropped")
+#: Words of a block and blocks of a large one, in hashes of a line's beginnings.
+BLOCK, LARGE = 16, 64
 
 _NULL_ID = "9223372036854775808"
 
@@ -93,10 +96,37 @@ def _within_one_edit(a: Column, b: Column) -> Column:
     return run(a, b) + run(F.reverse(a), F.reverse(b)) >= F.greatest(F.size(a), F.size(b)) - 1
 
 
-def _chain(hashes: Column) -> Column:
-    """Hashes of the first 0, 1, 2, ... words, each made of the one before."""
-    start = F.array(F.lit(0).cast("long"))
-    return F.aggregate(hashes, start, lambda acc, h: F.concat(acc, F.array(F.xxhash64(F.element_at(acc, -1), h))))
+def _bound(value: Column, body) -> Column:
+    """body(value), where the value is computed once however often the body looks at it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _prefixes(words: Column) -> Column:
+    """Hashes of the first 0, 1, 2, ... of an array of word hashes.
+
+    A beginning is whole large blocks, whole blocks and single words, so each hash is
+    made of few others however long the line is. Spark's slices copy the array that they
+    cut; here these are small as well.
+    """
+
+    def cut(of: Column, size: int, most: int | None = None) -> Column:
+        last = F.floor(F.size(of) / size).cast("int")
+        return F.transform(F.sequence(F.lit(0), last if most is None else F.least(last, F.lit(most))), lambda k: F.slice(of, k * size + 1, size))
+
+    def all_of(blocks: Column, inner: Column, outer: Column) -> Column:
+        upto = lambda b, k, d, j: F.xxhash64(F.slice(outer, 1, b), F.slice(F.get(inner, b), 1, k), F.slice(d, 1, j))
+        in_block = lambda b, d, k: F.transform(F.sequence(F.lit(0), F.least(F.size(d), F.lit(BLOCK - 1))), lambda j: upto(b, k, d, j))
+        return F.flatten(F.transform(blocks, lambda c, b: F.flatten(F.transform(c, lambda d, k: in_block(b, d, k)))))
+
+    in_blocks = lambda large: F.transform(large, lambda c: cut(c, BLOCK, LARGE - 1))
+    hashed = lambda nested: F.transform(nested, lambda c: F.transform(c, lambda d: F.xxhash64(d)))
+    return _bound(
+        cut(words, BLOCK * LARGE),
+        lambda large: _bound(
+            F.struct(in_blocks(large).alias("blocks"), F.transform(large, lambda c: F.xxhash64(c)).alias("outer")),
+            lambda x: _bound(hashed(x["blocks"]), lambda inner: all_of(x["blocks"], inner, x["outer"])),
+        ),
+    )
 
 
 def variants(texts: DataFrame) -> DataFrame:
@@ -110,14 +140,17 @@ def variants(texts: DataFrame) -> DataFrame:
     # an edit in the front half leaves the back half shared, and the other way round
     first = F.when(F.col("back"), 0).otherwise(F.floor((F.col("n") - 1) / 2)).cast("int")
     last = F.when(F.col("front"), F.col("n")).otherwise(F.floor(F.col("n") / 2)).cast("int")
-    chains = texts.select("h1", "h2", "pos", "n", "mixed", first.alias("first"), last.alias("last"), hashes.alias("w"))
-    chains = chains.select("h1", "h2", "pos", "n", "mixed", "first", "last", _chain(F.col("w")).alias("before"), _chain(F.reverse("w")).alias("after"))
-    key = lambda i, rest: F.xxhash64(i, F.get("before", i), F.get("after", rest))
-    places = F.sequence(F.col("first"), F.least(F.col("last"), F.col("n") - 1))
-    deleted = F.transform(places, lambda i: F.struct(key(i, F.col("n") - 1 - i).alias("key"), F.lit(False).alias("gap")))
-    gaps = F.transform(F.sequence("first", "last"), lambda i: F.struct(key(i, F.col("n") - i).alias("key"), F.lit(True).alias("gap")))
-    keys = F.when(F.col("mixed"), F.concat(deleted, gaps)).otherwise(deleted)
-    return chains.select("h1", "h2", "pos", F.inline_outer(keys))
+
+    def keys(before: Column, after: Column) -> Column:
+        key = lambda i, rest: F.xxhash64(i, F.get(before, i), F.get(after, rest))
+        places = F.sequence(first, F.least(last, F.col("n") - 1))
+        deleted = F.transform(places, lambda i: F.struct(key(i, F.col("n") - 1 - i).alias("key"), F.lit(False).alias("gap")))
+        gaps = F.transform(F.sequence(first, last), lambda i: F.struct(key(i, F.col("n") - i).alias("key"), F.lit(True).alias("gap")))
+        return F.when(F.col("mixed"), F.concat(deleted, gaps)).otherwise(deleted)
+
+    both = lambda w: F.struct(_prefixes(w).alias("before"), _prefixes(F.reverse(w)).alias("after"))
+    found = _bound(hashes, lambda w: _bound(both(w), lambda x: keys(x["before"], x["after"])))
+    return texts.select("h1", "h2", "pos", F.inline_outer(found))
 
 
 def near_partners(distinct: DataFrame, lines: DataFrame) -> DataFrame:
@@ -132,7 +165,7 @@ def near_partners(distinct: DataFrame, lines: DataFrame) -> DataFrame:
     # rows that repeat a document repeat a line's first place
     texts = settle_table(found, "line-texts").dropDuplicates(["h1", "h2"])
 
-    rows = variants(texts)
+    rows = settle_table(variants(texts), "line-variants")
     first = lambda gap: F.min(F.when(F.col("gap") == gap, F.col("pos")))
     groups = rows.groupBy("key").agg(first(False).alias("deleted"), first(True).alias("whole"), F.count(F.lit(1)).alias("lines"))
     groups = settle_table(groups.where("lines > 1 and deleted is not null").drop("lines"), "line-groups")
@@ -160,10 +193,20 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.groupBy("id", "version").agg(F.collect_set("line_no").alias("lines"))
 
 
+def count_names(columns: list[str]) -> list[str]:
+    """Names of the two counts that none of the columns has."""
+    names = []
+    for name in COUNTS:
+        while name in columns:
+            name = "_" + name
+        names.append(name)
+    return names
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
     """docs with its own columns, the text without its dropped lines, and two counts.
 
-    Added are ``_n_lines`` and ``_n_dropped``. All rows stay, in any number of columns:
+    Added are ``_n_lines`` and ``_n_dropped`` (see ``COUNTS``). All rows stay, in any number of columns:
     null texts stay null with no lines, and a text may end up empty. Rows that repeat an id
     hold their lines at the same positions, of which none is earlier, so they don't drop
     each other's. Documents with null ids count as the last ones. Blank lines stay.
@@ -178,7 +221,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows, lines = rows.withColumn(held, F.split(text_col, "\n")), F.col(held)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
     text = F.when(gone.isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    return rows.select(
-        *[text.alias(text_col) if c == text_col else F.col(c) for c in docs.columns if c not in COUNTS],
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long").alias(COUNTS[0]), F.when(gone.isNull(), 0).otherwise(F.size(gone)).cast("long").alias(COUNTS[1]),
-    )
+    counts = [F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)), F.when(gone.isNull(), 0).otherwise(F.size(gone))]
+    names = count_names(docs.columns)
+    return rows.select(*[text.alias(text_col) if c == text_col else F.col(c) for c in docs.columns], *[c.cast("long").alias(x) for c, x in zip(counts, names, strict=True)])

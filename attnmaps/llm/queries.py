@@ -146,17 +146,17 @@ WITH l AS (
   FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)),
 w AS (SELECT doc_id, line_no, line, list_filter(regexp_split_to_array(line, '[\x09-\x0D\x20]+'), lambda x: x <> '') AS words FROM l),
 o AS (SELECT *, len(words) AS n, array_to_string(words, ' ') AS body, CAST(doc_id AS HUGEINT) * 4294967296 + line_no AS pos FROM w),
-d AS (SELECT body, any_value(words) AS words, any_value(n) AS n, min(pos) AS pos FROM o WHERE n >= 3 GROUP BY body),
+d AS (SELECT body, any_value(words) AS words, any_value(n) AS n, min(pos) AS pos FROM o WHERE n >= 1 GROUP BY body),
 x AS (
   SELECT body, pos, i, array_to_string(list_concat(words[1:i - 1], words[i + 1:]), ' ') AS v
-  FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM d WHERE n >= 8)),
+  FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM d WHERE n >= 5)),
 p AS (
   SELECT x.body, g.first AS best FROM x JOIN (SELECT v, i, min(pos) AS first FROM x GROUP BY v, i) g USING (v, i)
-  UNION ALL SELECT x.body, d.pos FROM x JOIN d ON d.body = x.v AND d.n >= 8
-  UNION ALL SELECT d.body, x.pos FROM x JOIN d ON d.body = x.v AND d.n >= 8
+  UNION ALL SELECT x.body, d.pos FROM x JOIN d ON d.body = x.v AND d.n >= 5
+  UNION ALL SELECT d.body, x.pos FROM x JOIN d ON d.body = x.v AND d.n >= 5
   UNION ALL SELECT body, pos FROM d),
 b AS (SELECT body, min(best) AS best FROM p GROUP BY body),
-f AS (SELECT o.doc_id, o.line_no, o.line, coalesce(o.n >= 3 AND o.pos > b.best, false) AS gone FROM o LEFT JOIN b ON b.body = o.body),
+f AS (SELECT o.doc_id, o.line_no, o.line, coalesce(o.n >= 1 AND o.pos > b.best, false) AS gone FROM o LEFT JOIN b ON b.body = o.body),
 t AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
     coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT gone), '') AS text

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 from oracle import compare, connect
+from pyspark.sql import functions as F
 from test_overlap_rule import plain_leaks, plain_tokens
 
 from attnmaps.llm import decontam, linededup, queries, simhash
@@ -38,8 +39,8 @@ def brute_lines(rows):
     lines = [(i, k, re.findall(r"[^\x20\x09-\x0D]+", x)) for i, t in rows if t is not None for k, x in enumerate(t.split("\n"))]
     gone = set()
     for (i, k, a), (j, m, b) in itertools.permutations(lines, 2):
-        near = a == b or (len(a) >= 8 and len(b) >= 8 and word_edits(a, b) <= 1)
-        if len(a) >= 3 and len(b) >= 3 and near and (j, m) < (i, k):
+        near = a == b or (len(a) >= 5 and len(b) >= 5 and word_edits(a, b) <= 1)
+        if a and b and near and (j, m) < (i, k):
             gone.add((i, k))
     return {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in rows}
 
@@ -48,7 +49,7 @@ def brute_lines(rows):
 def test_line_dedup_against_brute_force(spark, broadcast_rows, monkeypatch):
     monkeypatch.setattr(linededup, "BROADCAST_ROWS", broadcast_rows)
     rng = np.random.default_rng(1)
-    base = [list(rng.choice(WORDS, n)) for n in (2, 3, 7, 8, 9, 12, 20, 21)]
+    base = [list(rng.choice(WORDS, n)) for n in (1, 2, 4, 5, 6, 8, 12, 20, 21, 40, 70)]
     rows = []
     for i in range(40):
         lines = []
@@ -75,12 +76,21 @@ def test_line_dedup_edges(spark):
     out = linededup.dedup_lines(docs(spark, *rows))
     found = {r["doc_id"]: (r["text"], r["_n_lines"], r["_n_dropped"]) for r in out.collect()}
     assert found[1][0] == rows[0][1] and found[2] == (None, 0, 0) and found[3] == ("", 1, 0)
-    assert found[4] == ("a b", 2, 1) and found[5] == ("\n", 2, 0) and found[None] == ("", 1, 1)
+    assert found[4] == ("", 2, 2) and found[5] == ("\n", 2, 0) and found[None] == ("", 1, 1)
     same = linededup.dedup_lines(docs(spark, (1, long), (1, long))).collect()
     assert [r["text"] for r in same] == [long, long]
     assert linededup.dedup_lines(docs(spark, (1, "x")).limit(0)).count() == 0
 
 
+def test_very_long_lines_and_clashing_counts(spark):
+    words = [f"w{k}" for k in range(100_000)]
+    other = [*words[:70_000], "other", *words[70_001:]]
+    rows = docs(spark, (1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:50_000] + words[50_001:])), (4, "same " * 60_000), (5, "same " * 60_001), (6, "x" * 200_000), (7, "x" * 200_000))
+    out = linededup.dedup_lines(rows.withColumn("_n_lines", F.lit("own")))
+    assert out.columns == [*rows.columns, "_n_lines", "__n_lines", "_n_dropped"]
+    assert {r["doc_id"]: (r["_n_lines"], r["__n_lines"], r["_n_dropped"]) for r in out.collect()} == {k: ("own", 1, int(k not in (1, 4, 6))) for k in range(1, 8)}
+
+
 def test_line_dedup_query_against_sql(spark):
     compare(spark, connect(SF), SF, queries.QUERIES["op1_line_dedup"], queries.ORACLES["op1_line_dedup"])
 
