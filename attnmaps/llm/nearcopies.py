@@ -1,14 +1,19 @@
-"""Near copies by shingle similarity: MinHash bands as candidates, true Jaccard as verdict.
+"""SimHash near-dedup at a similarity: pigeonring links first, MinHash bands for what lies beyond.
 
 A text is the set of its shingles of five words. Two texts are near if their sets' Jaccard
-similarity is 0.8 or more, and groups are the components of these links. Bands of a MinHash sketch
-are equi-join keys; the texts that are joined by shared keys form candidate groups, each text
-goes to its candidate group once, and there every pair with a key in common that could
-still join two classes is compared by its shingles themselves.
-
-The bands miss a pair of similarity s with probability (1 - s ** ROWS) ** BANDS, 7e-5 at 0.8
-and less beyond; whatever is linked is verified. 64-bit fingerprints would not do: texts of
-similarity 0.8 lie about 10 bits apart, often 15, and bounds that wide hold unlike texts too.
+similarity is 0.8 or more, and groups are the components of these links. Every link is
+verified on the shingles themselves. Candidates come in three rounds, and a round only looks at
+texts that the ones before left apart:
+
+1. texts whose SimHash fingerprints lie within three bits, by the pigeonring keys of
+   :mod:`attnmaps.llm.simhash`;
+2. texts that share a band of a MinHash sketch, each against the band's first text;
+3. where these links leave a band's texts in several classes, all texts outside the largest class
+   against all of the band's, in blocks.
+
+Fingerprints alone would not do: texts of similarity 0.8 lie about 10 of 64 bits apart, often
+15, and keys for bounds that wide hold unlike texts too. The bands miss a pair of similarity s
+with probability (1 - s ** ROWS) ** BANDS, 7e-5 at 0.8 and less beyond.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attnmaps.llm import simhash
 from attnmaps.llm.common import fresh, settle, settle_table
 from attnmaps.llm.components import connected_components
 
@@ -27,7 +33,7 @@ SHINGLE_WORDS = 5
 MIN_SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 SEED = 42
-#: Texts, and bytes of text, of a candidate group that are compared in one task; larger groups are cut in blocks.
+#: Texts, and bytes of text, that are held at once in the third round; more are cut in blocks.
 BLOCK = 2048
 BLOCK_BYTES = 8 << 20
 _STEP = 2048
@@ -75,84 +81,159 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return keys ^ (keys >> np.uint64(29))
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a set of shingles as a signed number; zero if it is empty."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at : at + (1 << 16)].astype(">u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
+
+
 def sketches(texts: DataFrame) -> DataFrame:
-    """(fp, keys) of rows (fp, text)."""
+    """(fp, keys, print) of rows (fp, text): band keys and SimHash of the text's shingles."""
 
     def run(batches):
         for batch in batches:
-            found = [band_keys(shingles(x.as_py() or b"")) for x in batch.column(1)]
+            sets = [shingles(x.as_py() or b"") for x in batch.column(1)]
+            found = [band_keys(x) for x in sets]
             values = np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
             keys = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * BANDS, pa.array(values.astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), keys], names=["fp", "keys"])
-
-    return texts.select("fp", F.col("text").cast("binary")).mapInArrow(run, "fp long, keys array<long>")
-
-
-def spanning_links(sets: list[np.ndarray], keys: np.ndarray, least: float = MIN_SIMILARITY) -> list[tuple[int, int]]:
-    """Links (by place) that join every class of near texts among these."""
-    left, links = np.arange(len(sets)), []
-    sizes = np.array([len(x) for x in sets])
-    while len(left) > 1:
-        frontier, left = [left[0]], left[1:]
-        while frontier and len(left):
-            at = frontier.pop()
-            able = (keys[left] == keys[at]).any(axis=1)
-            able &= np.minimum(sizes[left], sizes[at]) >= least * np.maximum(sizes[left], sizes[at])
-            near = np.zeros(len(left), dtype=bool)
-            for k in np.flatnonzero(able):
-                near[k] = similarity(sets[at], sets[left[k]]) >= least
-            if near.any():
-                links += [(int(at), int(x)) for x in left[near]]
-                frontier.extend(left[near])
-                left = left[~near]
-    return links
-
-
-def near_links(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """(u, v): links that join all near texts, from rows (fp, text) and distinct (fp, keys).
-
-    Rows of one ``fp`` hold the same text. Candidate groups over a block are cut, and
-    every pair of their blocks is a task's work.
-    """
-    keyed = found.select("fp", F.posexplode("keys").alias("band", "key"))
-    least = keyed.groupBy("band", "key").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    stars = keyed.join(least, ["band", "key"]).select(F.col("fp").alias("u"), "v").where("u <> v").distinct()
-    groups = connected_components(stars).withColumnRenamed("node", "fp")
-    rows = texts.join(groups, "fp").groupBy("fp", "root").agg(F.first("text").alias("text"))
-    rows = settle_table(rows.join(found, "fp"), "near-texts")
-    sizes = rows.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
-    blocks = F.expr(f"cast(ceil(greatest(n / {BLOCK}, bytes / {BLOCK_BYTES})) as int)")
-    cut = (
-        rows.join(sizes.select("root", F.greatest(blocks, F.lit(1)).alias("blocks")), "root")
-        .withColumn("own", F.expr("cast(pmod(xxhash64(fp), blocks) as int)"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("root", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp", "keys", F.col("text").cast("binary"))
-    )
+            yield pa.RecordBatch.from_arrays([batch.column(0), keys, pa.array([fingerprint(x) for x in sets], pa.int64())], names=["fp", "keys", "print"])
+
+    return texts.select("fp", F.col("text").cast("binary")).mapInArrow(run, "fp long, keys array<long>, print long")
+
+
+def close_pairs(found: DataFrame) -> DataFrame:
+    """(u, v): texts of one fingerprint with their first, and the firsts of fingerprints within three bits."""
+    firsts = settle(found.groupBy("print").agg(F.min("fp").alias("first")))
+    same = found.join(firsts, "print").select(F.col("fp").alias("u"), F.col("first").alias("v")).where("u <> v")
+    links = simhash.near_links(firsts.select(F.col("print").alias("fp")))
+    ends = [firsts.select(F.col("print").alias(x), F.col("first").alias(f"first_{x}")) for x in "uv"]
+    return same.unionAll(links.join(ends[0], "u").join(ends[1], "v").select(F.col("first_u").alias("u"), F.col("first_v").alias("v"))).distinct()
+
+
+def band_pairs(found: DataFrame) -> DataFrame:
+    """(u, v): every text with the first text of each of its bands."""
+    keyed = found.select("fp", F.explode("keys").alias("key"))
+    least = keyed.groupBy("key").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return keyed.join(least, "key").select(F.col("fp").alias("u"), "v").where("u <> v").distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
+    """The pairs (u, v) of similar texts."""
 
     def run(batches):
-        held, held_key = [], None
+        last, theirs = None, None
+        for batch in batches:
+            links = []
+            for u, v, a, b in zip(*(batch.column(i) for i in range(4)), strict=True):
+                if v.as_py() != last:
+                    last, theirs = v.as_py(), shingles(b.as_py())
+                own = shingles(a.as_py())
+                if min(len(own), len(theirs)) >= least * max(len(own), len(theirs)) and similarity(own, theirs) >= least:
+                    links.append((u.as_py(), last))
+            us, vs = zip(*links, strict=True) if links else ([], [])
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    ends = [texts.select(F.col("fp").alias(x), F.col("text").cast("binary").alias(f"text_{x}")) for x in "uv"]
+    return pairs.join(ends[0], "u").join(ends[1], "v").select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
+
 
-        def close():
-            fps, keys, sets = zip(*held, strict=True)
-            links = spanning_links(list(sets), np.array(keys))
-            us, vs = ([fps[link[k]] for link in links] for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+def classes_of(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) of every node, from links (u, v) between nodes or roots (u, v)."""
+    roots = connected_components(links).select(F.col("node").alias("root"), F.col("root").alias("joined"))
+    return settle(nodes.join(roots, "root", "left").select("node", F.coalesce("joined", "root").alias("root")))
+
+
+def apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(u, v, root_u, root_v) of the pairs that lie in two classes."""
+    ends = [classes.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "uv"]
+    return pairs.join(ends[0], "u").join(ends[1], "v").where("root_u <> root_v").select("u", "v", "root_u", "root_v")
+
+
+def rest_links(left: DataFrame, classes: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v): links between classes that ``left``, band pairs still apart, put together.
+
+    In every such group the texts outside its largest class are held, a block in each
+    task, and all texts of the group pass by in blocks of their own.
+    """
+    groups = connected_components(left.select(F.col("root_u").alias("u"), F.col("root_v").alias("v"))).select(F.col("node").alias("class"), F.col("root").alias("group"))
+    rows = classes.select(F.col("node").alias("fp"), F.col("root").alias("class")).join(groups, "class").join(texts, "fp").join(found.select("fp", "keys"), "fp")
+    rows = settle_table(rows.select("group", "class", "fp", "keys", F.col("text").cast("binary").alias("text")), "near-rest")
+    sizes = rows.groupBy("group", "class").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES))).cast("int")
+    top = sizes.groupBy("group").agg(F.max(F.struct("n", "bytes", "class")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    plan = top.select("group", F.col("top.class").alias("largest"), blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("held"), blocks(F.col("n"), F.col("bytes")).alias("passing"))
+    rows = rows.join(plan, "group")
+    own = lambda n: F.expr(f"cast(pmod(xxhash64(fp), {n}) as int)")
+    every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
+    held = rows.where("class <> largest").select("group", own("held").alias("a"), every("passing").alias("b"), F.lit(0).alias("side"), "class", "fp", "keys", "text")
+    passing = rows.select("group", every("held").alias("a"), own("passing").alias("b"), F.lit(1).alias("side"), "class", "fp", "keys", "text")
+
+    def run(batches):
+        task, asked, links = None, [], []
+        roots: dict[int, int] = {}
+
+        def top_of(x: int) -> int:
+            while roots.get(x, x) != x:
+                x = roots[x]
+            return x
+
+        def meet(own: int, fp: int, key: np.ndarray, text: bytes) -> None:
+            classes, fps, keys, sets = asked
+            mine = None
+            for k in np.flatnonzero((keys == key).any(axis=1)):
+                a, b = top_of(own), top_of(classes[k])
+                if a == b:
+                    continue
+                mine = shingles(text) if mine is None else mine
+                if similarity(mine, sets[k]) >= MIN_SIMILARITY:
+                    links.append((fp, fps[k]))
+                    roots[max(a, b)] = min(a, b)
 
         for batch in batches:
-            for root, a, b, fp, keys, text in zip(*(batch.column(i) for i in range(6)), strict=True):
-                this = (root.as_py(), a.as_py(), b.as_py())
-                if this != held_key:
-                    if held:
-                        yield close()
-                    held, held_key = [], this
-                held.append((fp.as_py(), keys.values.to_numpy(), shingles(text.as_py() or b"")))
-        if held:
-            yield close()
-
-    dealt = cut.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b")
+            columns = [batch.column(i) for i in range(8)]
+            for group, a, b, side, own, fp, keys, text in zip(*columns, strict=True):
+                this = (group.as_py(), a.as_py(), b.as_py())
+                if this != task:
+                    task, asked, roots = this, [[], [], [], []], {}
+                values = keys.values.to_numpy()
+                if side.as_py() == 0:
+                    for held, x in zip(asked, (own.as_py(), fp.as_py(), values, shingles(text.as_py())), strict=True):
+                        held.append(x)
+                elif asked[0]:
+                    if isinstance(asked[2], list):
+                        asked[2] = np.stack(asked[2])
+                    meet(own.as_py(), fp.as_py(), values, text.as_py())
+            us, vs = zip(*links, strict=True) if links else ([], [])
+            links.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    dealt = held.unionAll(passing).repartition("group", "a", "b").sortWithinPartitions("group", "a", "b", "side")
     return dealt.mapInArrow(run, "u long, v long")
 
 
+def near_classes(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, root): the class of every text that has a candidate, from rows (fp, text) and (fp, keys, print).
+
+    Rows of one ``fp`` hold the same text.
+    """
+    close, bands = settle(close_pairs(found)), settle(band_pairs(found))
+    nodes = close.unionAll(bands).select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    known = settle_table(texts.groupBy("fp").agg(F.first("text").alias("text")).join(nodes, "fp"), "near-texts")
+    classes = settle(known.select(F.col("fp").alias("node"), F.col("fp").alias("root")))
+    classes = classes_of(classes, verified(close, known))
+    left = settle(apart(bands, classes))
+    for round_links in (lambda x: verified(x.select("u", "v"), known), lambda x: rest_links(x, classes, found, known)):
+        if left.isEmpty():
+            break
+        links = apart(round_links(left), classes).select(F.col("root_u").alias("u"), F.col("root_v").alias("v"))
+        classes = classes_of(classes, links)
+        left = settle(apart(left.select("u", "v"), classes))
+    return classes
+
+
 def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(fp, component): every distinct text's hash and its group's smallest id.
 
@@ -163,7 +244,7 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = rows.withColumn("fp", F.xxhash64("text"))
     firsts = rows.groupBy("fp").agg(F.min("id").alias("first"))
     found = settle_table(sketches(rows).dropDuplicates(["fp"]), "near-sketches")
-    classes = connected_components(near_links(rows.select("fp", "text"), found))
+    classes = near_classes(rows.select("fp", "text"), found)
     named = firsts.join(classes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("first").alias("component"))
     return named.join(least, "root").select("fp", "first", "component")
@@ -177,7 +258,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     groups = settle(near_copy_groups(docs, id_col, text_col))
     own = fresh("first")
-    kept = docs.join(groups.where("first = component").select(F.col("first").alias(own)).distinct(), F.col(id_col).cast("long") == F.col(own), "left_semi")
+    firsts = groups.where("first = component").select(F.col("first").alias(own)).distinct()
+    kept = docs.join(firsts, F.col(id_col).cast("long") == F.col(own), "left_semi")
     nameless = groups.where("component is null").select(F.col("fp").alias(own))
     if nameless.isEmpty():
         return kept

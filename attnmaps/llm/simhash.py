@@ -16,9 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from attnmaps.llm.components import connected_components
-from attnmaps.llm.common import settle
+from attnmaps.llm.common import fresh, settle
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -177,17 +178,29 @@ def fingerprint_hex(fp="fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def with_fingerprint(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
+    """docs with one column more, the fingerprint of the row's text."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(at).cast(pa.binary()).to_pylist()
+            values = np.frombuffer(b"".join(fingerprint_bytes(x or b"") for x in texts), dtype=">i8").astype(np.int64)
+            yield batch.append_column(name, pa.array(values))
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents of which each is the smallest id of its group.
 
-    All rows of that id stay. A group with null ids only is kept whole, since no
-    row of it can be told from the others.
+    All rows of that id stay; rows without an id go if their group has one with an id. A group
+    with null ids only is kept whole, since no row of it can be told from the others.
     """
-    groups = near_duplicate_groups(docs, id_col, text_col)
-    firsts = groups.where(F.col("id") == F.col("component")).select(F.col("id").alias("_first")).distinct()
-    nameless = groups.where(F.col("component").isNull()).select(F.col("fp").alias("_fp")).distinct()
-    kept = docs.join(firsts, docs[id_col] == firsts["_first"], "left_semi")
-    if nameless.isEmpty():
-        return kept
-    unnamed = docs.where(F.col(id_col).isNull())
+    groups = settle(near_duplicate_groups(docs, id_col, text_col))
+    first, own = fresh("first"), fresh("fp")
+    firsts = groups.where(F.col("id") == F.col("component")).select(F.col("id").alias(first)).distinct()
+    nameless = groups.where(F.col("component").isNull()).select(F.col("fp").alias(own)).distinct()
+    kept = docs.join(firsts, F.col(id_col).cast("long") == F.col(first), "left_semi")
+    unnamed = with_fingerprint(docs.where(F.col(id_col).isNull()), own, text_col).join(nameless, own, "left_semi").drop(own)
     return kept.unionByName(unnamed)

@@ -162,6 +162,9 @@ def test_simhash_edges(spark):
     kept = simhash.keep_first(rows)
     assert sorted(r.doc_id for r in kept.collect()) == [3, 7, 10] and kept.columns == rows.columns
     assert simhash.near_duplicate_groups(rows.limit(0)).count() == 0
+    other = "eight nine ten eleven twelve thirteen fourteen"
+    mixed = simhash.keep_first(docs(spark, (1, text), (None, text), (None, other), (None, other))).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in mixed) == [(-1, other), (-1, other), (1, text)]
 
 
 def test_components_of_chains_and_stars(spark):

@@ -3,12 +3,12 @@
 import itertools
 import re
 
-import numpy as np
-from test_copies import brute_fingerprint, brute_groups
+from test_nearcopies import plain_groups
+from test_overlap_rule import plain_leaks, plain_tokens
 from test_tokens import check_packed, plain
 
 import corpus_pipeline
-from attnmaps.llm import decontam, langid, queries
+from attnmaps.llm import langid, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,10 +24,10 @@ def one_edit(a, b):
 
 def without_copied_lines(rows):
     lines = [(i, k, re.findall(r"[^\x20\x09-\x0D]+", x)) for i, t in rows for k, x in enumerate(t.split("\n"))]
-    lines = sorted(x for x in lines if len(x[2]) >= 3)
+    lines = sorted(x for x in lines if x[2])
     gone = set()
     for (i, k, a), (j, m, b) in itertools.combinations(lines, 2):
-        if a == b or (len(a) >= 8 and len(b) >= 8 and one_edit(a, b)):
+        if a == b or (len(a) >= 5 and len(b) >= 5 and one_edit(a, b)):
             gone.add((j, m))
     return [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)) for i, t in rows]
 
@@ -37,22 +37,11 @@ def test_pipeline_against_plain_stages(spark):
     model = langid.Classifier(langid.train(table.where(~langid.held_out())))
     rows = [(r.doc_id, r.text) for r in table.orderBy("doc_id").collect()]
     judged = [(i, t, model.predict(t)) for i, t in rows]
-    rows = without_copied_lines([(i, t) for i, t, (lang, _, margin) in judged if lang != "und" and margin >= langid.MIN_MARGIN])
-    groups = brute_groups([i for i, _ in rows], [brute_fingerprint(t) for _, t in rows])
+    rows = without_copied_lines([(i, t) for i, t, (lang, _, margin, share) in judged if lang != "und" and margin and share >= 0.01])
+    groups = plain_groups(rows)
     rows = [(i, t) for i, t in rows if groups[i] == i]
-    items = [decontam.token_hashes(r.text) for r in queries.table(spark, SF, "benchmark").collect()]
-
-    def leaks(text):
-        doc = decontam.token_hashes(text)
-        for item in items:
-            if np.isin(item, doc).sum() >= min(13, 0.8 * len(item)):
-                for shift in range(-len(item) + 1, len(doc)):
-                    equal, s, e = decontam.overlap(doc, item, shift)
-                    if decontam._counts(equal, e - s, len(item), 13, 0.8, 0.8):
-                        return True
-        return False
-
-    rows = [(i, t) for i, t in rows if not leaks(t)]
+    items = [plain_tokens(r.text) for r in queries.table(spark, SF, "benchmark").collect()]
+    rows = [(i, t) for i, t in rows if not plain_leaks(t, items)]
     out = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in out} == {i for i, _ in rows}
     check_packed(out, {i: plain(t) for i, t in rows}, 0)
@@ -67,7 +56,17 @@ def test_stages_keep_the_columns_of_documents(spark):
 
 def test_stages_on_nulls_and_no_rows(spark):
     docs = queries.table(spark, SF, "documents")
-    odd = spark.createDataFrame([(None, None, None, None, None), (1, None, "en", "s", 0), (None, "the text of no one at all", None, "s", 3), (2, "", None, None, None)], docs.schema)
-    for rows in (odd, docs.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
-            assert stage(spark, rows, SF).count() <= 4
+    line = "the text of no one at all, and of no great length either"
+    rows = [(None, None, None, None, None), (1, None, "en", "s", 0), (None, line, None, "s", 3), (2, "", None, None, None), (3, line, "fr", "", 9), (3, line, "fr", "", 9)]
+    odd = spark.createDataFrame(rows, docs.schema)
+    language, lines, near, clean, pack = (stage for _, stage in corpus_pipeline.STAGES)
+    both = spark.createDataFrame([*rows[:1], *[(10 + k, f"{w} " * 90, lang, "s", 1) for k, (w, lang) in enumerate([("the house", "en"), ("la maison", "fr")])]], docs.schema)
+    assert sorted(r.doc_id for r in language(spark, both, SF).collect()) == [10, 11]
+    assert language(spark, odd, SF).where("text is null or text = ''").count() == 0
+    texts = sorted((r.doc_id or -1, r.text) for r in lines(spark, odd, SF).where("text is not null").collect())
+    assert texts == [(-1, ""), (2, ""), (3, line), (3, line)] and lines(spark, odd, SF).count() == 6
+    assert sorted((r.doc_id, r.text) for r in near(spark, odd, SF).collect()) == [(1, None), (3, line), (3, line)]
+    assert clean(spark, odd, SF).count() == 6
+    assert sorted((r.doc_id or -1, r.length) for r in pack(spark, odd, SF).collect())[:2] == [(-1, 1), (-1, 15)] and pack(spark, odd, SF).count() == 6
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
