@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Elements of a block and blocks of a large one, in running folds.
+BLOCK, LARGE = 16, 64
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -44,3 +49,37 @@ def settle_table(df: DataFrame, name: str) -> DataFrame:
     folder = new_folder(df.sparkSession, name)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where the value is computed once however often the body looks at it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def running(values: Column, fold: Callable[..., Column]) -> Column:
+    """Array of the folds of the first 0, 1, 2, ... values of an array.
+
+    ``fold`` takes arrays that are to be put together and folds all their elements. A
+    beginning is the folds of whole large blocks and whole blocks, and single values, so
+    each element is made of few others however long the array is. Spark's slices copy the
+    array that they cut; here these are small as well.
+    """
+
+    def cut(of: Column, size: int, most: int | None = None) -> Column:
+        last = F.floor(F.size(of) / size).cast("int")
+        return F.transform(F.sequence(F.lit(0), last if most is None else F.least(last, F.lit(most))), lambda k: F.slice(of, k * size + 1, size))
+
+    def all_of(blocks: Column, inner: Column, outer: Column) -> Column:
+        upto = lambda b, k, d, j: fold(F.slice(outer, 1, b), F.slice(F.get(inner, b), 1, k), F.slice(d, 1, j))
+        in_block = lambda b, d, k: F.transform(F.sequence(F.lit(0), F.least(F.size(d), F.lit(BLOCK - 1))), lambda j: upto(b, k, d, j))
+        return F.flatten(F.transform(blocks, lambda c, b: F.flatten(F.transform(c, lambda d, k: in_block(b, d, k)))))
+
+    in_blocks = lambda large: F.transform(large, lambda c: cut(c, BLOCK, LARGE - 1))
+    folded = lambda nested: F.transform(nested, lambda c: F.transform(c, lambda d: fold(d)))
+    return bound(
+        cut(values, BLOCK * LARGE),
+        lambda large: bound(
+            F.struct(in_blocks(large).alias("blocks"), F.transform(large, lambda c: fold(c)).alias("outer")),
+            lambda x: bound(folded(x["blocks"]), lambda inner: all_of(x["blocks"], inner, x["outer"])),
+        ),
+    )

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attnmaps.llm.common import fresh, settle_table
+from attnmaps.llm.common import bound, fresh, running, settle_table
 
 #: Lines of fewer words are never touched; blank lines are none.
 MIN_WORDS = 1
@@ -32,8 +32,6 @@ BROADCAST_ROWS = 400_000
 
 #: Columns that the result adds, with more underscores in front where the caller has such columns.
 COUNTS = ("_n_lines", "_n_dropped")
-#: Words of a block and blocks of a large one, in hashes of a line's beginnings.
-BLOCK, LARGE = 16, 64
 
 _NULL_ID = "9223372036854775808"
 
@@ -96,39 +94,6 @@ def _within_one_edit(a: Column, b: Column) -> Column:
     return run(a, b) + run(F.reverse(a), F.reverse(b)) >= F.greatest(F.size(a), F.size(b)) - 1
 
 
-def _bound(value: Column, body) -> Column:
-    """body(value), where the value is computed once however often the body looks at it."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
-def _prefixes(words: Column) -> Column:
-    """Hashes of the first 0, 1, 2, ... of an array of word hashes.
-
-    A beginning is whole large blocks, whole blocks and single words, so each hash is
-    made of few others however long the line is. Spark's slices copy the array that they
-    cut; here these are small as well.
-    """
-
-    def cut(of: Column, size: int, most: int | None = None) -> Column:
-        last = F.floor(F.size(of) / size).cast("int")
-        return F.transform(F.sequence(F.lit(0), last if most is None else F.least(last, F.lit(most))), lambda k: F.slice(of, k * size + 1, size))
-
-    def all_of(blocks: Column, inner: Column, outer: Column) -> Column:
-        upto = lambda b, k, d, j: F.xxhash64(F.slice(outer, 1, b), F.slice(F.get(inner, b), 1, k), F.slice(d, 1, j))
-        in_block = lambda b, d, k: F.transform(F.sequence(F.lit(0), F.least(F.size(d), F.lit(BLOCK - 1))), lambda j: upto(b, k, d, j))
-        return F.flatten(F.transform(blocks, lambda c, b: F.flatten(F.transform(c, lambda d, k: in_block(b, d, k)))))
-
-    in_blocks = lambda large: F.transform(large, lambda c: cut(c, BLOCK, LARGE - 1))
-    hashed = lambda nested: F.transform(nested, lambda c: F.transform(c, lambda d: F.xxhash64(d)))
-    return _bound(
-        cut(words, BLOCK * LARGE),
-        lambda large: _bound(
-            F.struct(in_blocks(large).alias("blocks"), F.transform(large, lambda c: F.xxhash64(c)).alias("outer")),
-            lambda x: _bound(hashed(x["blocks"]), lambda inner: all_of(x["blocks"], inner, x["outer"])),
-        ),
-    )
-
-
 def variants(texts: DataFrame) -> DataFrame:
     """(h1, h2, pos, key, gap): hashed keys of every deletion variant of a line.
 
@@ -148,8 +113,8 @@ def variants(texts: DataFrame) -> DataFrame:
         gaps = F.transform(F.sequence(first, last), lambda i: F.struct(key(i, F.col("n") - i).alias("key"), F.lit(True).alias("gap")))
         return F.when(F.col("mixed"), F.concat(deleted, gaps)).otherwise(deleted)
 
-    both = lambda w: F.struct(_prefixes(w).alias("before"), _prefixes(F.reverse(w)).alias("after"))
-    found = _bound(hashes, lambda w: _bound(both(w), lambda x: keys(x["before"], x["after"])))
+    both = lambda w: F.struct(running(w, F.xxhash64).alias("before"), running(F.reverse(w), F.xxhash64).alias("after"))
+    found = bound(hashes, lambda w: bound(both(w), lambda x: keys(x["before"], x["after"])))
     return texts.select("h1", "h2", "pos", F.inline_outer(found))
 
 
