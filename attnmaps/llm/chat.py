@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attnmaps.llm.common import bound, running, slices, total
+
 START, BODY, TURN, END = "<|start|>", "<|body|>", "<|turn|>", "<|end|>"
 #: Turns of a conversation that are put together at first, by turn number.
 STRIDE = 256
@@ -71,6 +73,33 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return formatted.select("conv_id", "formatted", F.flatten(F.transform(blocks, turns_of)).alias("turns"))
 
 
-def loss_spans(parsed: DataFrame, role: str = "assistant") -> DataFrame:
-    """Adds ``loss_texts``: the texts that are under the loss mask, in order."""
-    return parsed.withColumn("loss_texts", F.transform(F.filter("turns", lambda t: t["role"] == role), lambda t: t["text"]))
+def loss_mask(formatted: DataFrame, role: str = "assistant") -> DataFrame:
+    """Adds ``loss_spans``: where in ``formatted`` the texts of a role lie, as (start, end) in code points.
+
+    The spans are found in the formatted text alone. They hold each text once, in order, as it
+    is written there; marks and other roles are outside.
+    """
+
+    def of_block(block, begin):
+        parts = F.split(block, r"<\|body\|>")
+        head = begin + F.length(F.get(parts, 0)) + len(BODY)
+
+        def spans(texts):
+            sizes = F.transform(texts, lambda x: F.length(x) + len(TURN))
+            place = lambda before: F.transform(texts, lambda x, k: F.struct((head + F.get(before, k)).alias("start"), (head + F.get(before, k) + F.length(x)).alias("end")))
+            return bound(running(sizes, total), place)
+
+        own = unescape(F.substring(F.get(parts, 0), len(START) + 1, 2**31 - 1)) == role
+        return F.when(own, bound(F.split(F.get(parts, 1), r"<\|turn\|>"), spans)).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+
+    def all_blocks(blocks):
+        sizes = F.transform(blocks, lambda b: F.length(b) + len(END))
+        return bound(running(sizes, total), lambda begins: F.flatten(F.transform(blocks, lambda b, i: of_block(b, F.get(begins, i)))))
+
+    blocks = F.filter(F.split("formatted", r"<\|end\|>"), lambda x: x != "")
+    return formatted.withColumn("loss_spans", bound(blocks, all_blocks))
+
+
+def loss_texts(masked: DataFrame) -> DataFrame:
+    """Adds ``loss_texts``: what the spans of ``loss_spans`` hold, without escapes."""
+    return masked.withColumn("loss_texts", F.transform(slices(F.col("formatted"), F.col("loss_spans")), unescape))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,3 +84,31 @@ def running(values: Column, fold: Callable[..., Column]) -> Column:
             lambda x: bound(folded(x["blocks"]), lambda inner: all_of(x["blocks"], inner, x["outer"])),
         ),
     )
+
+
+def total(*arrays: Column) -> Column:
+    """Sum of all elements of some arrays of whole numbers; a fold for ``running``."""
+    return reduce(lambda a, b: a + b, [F.aggregate(x, F.lit(0), lambda acc, v: acc + v) for x in arrays])
+
+
+#: Code points of a chunk in which a text is cut to find places in it.
+CHUNK_BITS = 10
+
+
+def slices(text: Column, spans: Column) -> Column:
+    """The parts of a text at an array of spans (start, end) in code points.
+
+    A place in a string is found by walking from its start, so the text is cut in chunks
+    once and places are sought within these.
+    """
+    size = 1 << CHUNK_BITS
+
+    def part(chunks: Column, s: Column) -> Column:
+        first, last = F.shiftright(s["start"], CHUNK_BITS), F.shiftright(s["end"] - 1, CHUNK_BITS)
+        offset = s["start"].bitwiseAND(size - 1)
+        between = F.transform(F.sequence(first + 1, F.greatest(first + 1, last - 1)), lambda i: F.when(i < last, F.get(chunks, i)).otherwise(""))
+        long = F.concat(F.substring(F.get(chunks, first), offset + 1, F.lit(size)), F.array_join(between, ""), F.substring(F.get(chunks, last), F.lit(1), s["end"] - F.shiftleft(last, CHUNK_BITS)))
+        own = F.when(first == last, F.substring(F.get(chunks, first), offset + 1, s["end"] - s["start"])).otherwise(long)
+        return F.when(s["end"] > s["start"], own).otherwise("")
+
+    return bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)), lambda chunks: F.transform(spans, lambda s: part(chunks, s)))

@@ -90,7 +90,7 @@ WITH p AS (
   FROM pages),
 k AS (
   SELECT DISTINCT host, array_to_string(list_slice(l, i, len(l)), '.') AS entry
-  FROM (SELECT host, string_split(host, '.') AS l, unnest(range(1, greatest(1, len(string_split(host, '.')) - 1) + 1)) AS i
+  FROM (SELECT host, string_split(host, '.') AS l, unnest(range(1, CASE WHEN regexp_matches(host, '^[0-9.]+$|^\[') THEN 1 ELSE greatest(1, len(string_split(host, '.')) - 1) END + 1)) AS i
         FROM (SELECT DISTINCT host FROM p WHERE host IS NOT NULL))),
 n AS (SELECT entry, CAST('0x' || substr(md5(entry), 1, 7) AS INT) AS n FROM (SELECT DISTINCT entry FROM k)),
 v AS (
@@ -113,7 +113,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
-    parsed = chat.loss_spans(chat.read_back(chat.format_conversations(turns.unionAll(more))))
+    parsed = chat.loss_texts(chat.loss_mask(chat.read_back(chat.format_conversations(turns.unionAll(more)))))
     all_turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join("loss_texts", "")
     sha = lambda x: F.sha2(x.cast("binary"), 256)

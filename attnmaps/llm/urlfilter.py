@@ -33,14 +33,14 @@ def intervals(events: DataFrame) -> DataFrame:
 
 
 def host_keys(host):
-    """The host and every domain above it that has a dot."""
+    """The host and every domain above it that has a dot; an IP number has none above it."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
     deep = F.transform(
         F.sequence(F.lit(0), F.greatest(F.lit(0), n - 2)),
         lambda k: F.array_join(F.slice(labels, k + 1, n), "."),
     )
-    return F.when(host.isNotNull(), deep)
+    return F.when(host.isNotNull(), F.when(host.rlike(r"^[0-9.]+$|^\["), F.array(host)).otherwise(deep))
 
 
 def block(captures: DataFrame, events: DataFrame, id_col: str, url_col: str, time_col: str) -> DataFrame:

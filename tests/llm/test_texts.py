@@ -224,6 +224,27 @@ def test_adjacent_turns_share_a_block(spark):
     assert text.count("<|start|>") == 1 and text.count("<|turn|>") == 599
 
 
+def test_loss_mask_lies_over_the_formatted_text(spark):
+    said = ["a" * 3000, "", "😀 é [INST]", "<|end|> ok", "b\n" * 1500, "<|turn|>"]
+    rows = [(1, k, "assistant" if k % 4 < 2 else "user", x) for k, x in enumerate(said * 3)] + [(2, 0, "user", "x"), (3, 0, "assistant", None)]
+    masked = chat.loss_texts(chat.loss_mask(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))))
+    for r in masked.collect():
+        want = [x or "" for i, _, role, x in rows if i == r.conv_id and role == "assistant"]
+        assert r.loss_texts == want and len(r.loss_spans) == len(want)
+        for s, x in zip(r.loss_spans, want, strict=True):  # places in the text as Python counts them
+            assert r.formatted[s.start : s.end].replace("\\", "") == x.replace("\\", "")
+        outside = list(r.formatted)
+        for s in reversed(r.loss_spans):
+            del outside[s.start : s.end]
+        assert "".join(outside).count("<|start|>assistant<|body|>") == "".join(outside).count("<|start|>assistant")
+
+
+def test_a_conversation_of_very_many_turns(spark):
+    turns = spark.range(20_000).selectExpr("1L AS conv_id", "id AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", "concat('turn ', id, repeat(' é', 20)) AS text")
+    r = chat.loss_texts(chat.loss_mask(chat.format_conversations(turns))).selectExpr("size(loss_texts) AS n", "loss_texts[9999] AS last").first()
+    assert (r.n, r.last) == (10_000, "turn 19999" + " é" * 20)
+
+
 @settings(max_examples=20, deadline=None)
 @given(st.lists(st.text(alphabet="<[\\|/sINT]> a", max_size=12), min_size=1, max_size=20))
 def test_escape_is_reversible(spark, found):
@@ -246,6 +267,18 @@ def test_hosts(spark):
     assert [r[0] for r in df.select(urlfilter.url_host(F.col("u"))).collect()] == list(urls.values())
 
 
+def test_keys_of_hosts(spark):
+    hosts = {"a.b.com": ["a.b.com", "b.com"], "b.com": ["b.com"], "x": ["x"], "1.2.3.4": ["1.2.3.4"], "[::1]": ["[::1]"], None: None}
+    df = spark.createDataFrame([(h,) for h in hosts], "h string")
+    assert [r[0] for r in df.select(urlfilter.host_keys(F.col("h"))).collect()] == list(hosts.values())
+
+
+def test_columns_that_clash(spark):
+    listed = spark.createDataFrame([("b.com", "x", "add", date(2024, 1, 5), 1)], "entry string, list string, action string, at date, valid_from int")
+    rows = spark.createDataFrame([(1, "http://b.com/", date(2024, 1, 9), "e", "l", 7, "h")], "id long, url string, at date, entry string, list string, n_lists int, host string")
+    assert [tuple(r) for r in urlfilter.block(rows, listed, "id", "url", "at").collect()] == [(1, "b.com", date(2024, 1, 9), True, "b.com", "x", 1)]
+
+
 def test_validity_and_as_of(spark):
     day = lambda n: date(2024, 1, n)
     events = [("b.com", "x", "add", day(5)), ("b.com", "x", "add", day(6)), ("b.com", "x", "remove", day(10)), ("b.com", "x", "add", day(20)), ("a.b.com", "y", "add", day(8)), ("c.com", "x", "remove", day(1)), (None, "x", "add", day(1)), ("d.com", "x", "add", day(3)), ("d.com", "x", "remove", day(3))]
