@@ -129,6 +129,17 @@ def test_packing_query(spark, partitions):
     assert bound <= n <= bound + 1 + (partitions > 1)  # 200 documents leave little to choose from
 
 
+@pytest.mark.parametrize("run", [7, 50])
+def test_packing_in_many_runs_of_a_partition(spark, run, monkeypatch):
+    """Bins that runs of one partition carry meet in one node; no piece is lost or placed twice."""
+    monkeypatch.setattr(packing, "RUN", run)
+    docs = queries.table(spark, SF, "documents").coalesce(1).withColumns({"bin": F.lit(1), "room": F.lit(2), "piece": F.lit(3)})
+    ids = {i: plain(t) for i, t in texts(spark).items()}
+    n = check_packed(packing.pack_documents(docs, PATH, 0).collect(), ids, 0)
+    bound = -(-sum(len(x) + 1 for x in ids.values()) // packing.CAPACITY)
+    assert bound <= n <= 1.1 * bound + 2
+
+
 def test_packing_edges(spark):
     rows = spark.createDataFrame([(1, None, 0), (2, "", 0), (None, "a b", 0), (3, "word " * 5000, 0)], DOC)
     out = packing.pack_documents(rows, PATH, 0).collect()
