@@ -26,7 +26,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     while before[0]:
         both = at.unionAll(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         at = settle(small.unionAll(lower.select("u", F.col("m").alias("v"))).distinct())

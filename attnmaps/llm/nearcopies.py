@@ -2,13 +2,13 @@
 
 A text is the set of its shingles of five words. Two texts are near if their sets' Jaccard
 similarity is 0.8 or more, and groups are the components of these links. Every link is
-verified on the shingles themselves. Candidates come in three rounds, and a round only looks at
-texts that the ones before left apart:
+verified on the shingles themselves. Candidates come in two rounds, of which the first is linear in
+the number of texts:
 
 1. texts whose SimHash fingerprints lie within three bits, by the pigeonring keys of
-   :mod:`attnmaps.llm.simhash`;
-2. texts that share a band of a MinHash sketch, each against the band's first text;
-3. where these links leave a band's texts in several classes, all texts outside the largest class
+   :mod:`attnmaps.llm.simhash`, and texts that share a band of a MinHash sketch, each against
+   the first texts of its bands, those that share the most bands with it;
+2. where these links leave a band's texts in several classes, all texts outside the largest class
    against all of the band's, in blocks.
 
 Fingerprints alone would not do: texts of similarity 0.8 lie about 10 of 64 bits apart, often
@@ -22,7 +22,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attnmaps.llm import simhash
@@ -33,9 +33,13 @@ SHINGLE_WORDS = 5
 MIN_SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 SEED = 42
-#: Texts, and bytes of text, that are held at once in the third round; more are cut in blocks.
+#: First texts that a text is compared with.
+FIRSTS = 3
+#: Texts, and bytes of text, that are held at once in the second round; more are cut in blocks.
 BLOCK = 2048
 BLOCK_BYTES = 8 << 20
+#: Texts that pass by in one task.
+PASSING = 256
 _STEP = 2048
 
 _DRAWN = np.random.default_rng(SEED)
@@ -114,10 +118,11 @@ def close_pairs(found: DataFrame) -> DataFrame:
 
 
 def band_pairs(found: DataFrame) -> DataFrame:
-    """(u, v): every text with the first text of each of its bands."""
+    """(u, v, shared): every text with the first text of each of its bands, and the number of these bands."""
     keyed = found.select("fp", F.explode("keys").alias("key"))
     least = keyed.groupBy("key").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return keyed.join(least, "key").select(F.col("fp").alias("u"), "v").where("u <> v").distinct()
+    pairs = keyed.join(least, "key").select(F.col("fp").alias("u"), "v").where("u <> v")
+    return pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
@@ -164,7 +169,7 @@ def rest_links(left: DataFrame, classes: DataFrame, found: DataFrame, texts: Dat
     sizes = rows.groupBy("group", "class").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
     blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES))).cast("int")
     top = sizes.groupBy("group").agg(F.max(F.struct("n", "bytes", "class")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
-    plan = top.select("group", F.col("top.class").alias("largest"), blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("held"), blocks(F.col("n"), F.col("bytes")).alias("passing"))
+    plan = top.select("group", F.col("top.class").alias("largest"), blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("held"), F.greatest(F.lit(1), F.ceil(F.col("n") / PASSING)).cast("int").alias("passing"))
     rows = rows.join(plan, "group")
     own = lambda n: F.expr(f"cast(pmod(xxhash64(fp), {n}) as int)")
     every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
@@ -219,19 +224,18 @@ def near_classes(texts: DataFrame, found: DataFrame) -> DataFrame:
 
     Rows of one ``fp`` hold the same text.
     """
-    close, bands = settle(close_pairs(found)), settle(band_pairs(found))
-    nodes = close.unionAll(bands).select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    bands = settle(band_pairs(found))
+    best = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("shared"), "v"))  # at most BANDS rows of a text
+    pairs = bands.withColumn("rank", best).where(F.col("rank") <= FIRSTS).select("u", "v")
+    pairs = settle(pairs.unionAll(close_pairs(found)).distinct())
+    nodes = pairs.unionAll(bands.select("u", "v")).select(F.explode(F.array("u", "v")).alias("fp")).distinct()
     known = settle_table(texts.groupBy("fp").agg(F.first("text").alias("text")).join(nodes, "fp"), "near-texts")
-    classes = settle(known.select(F.col("fp").alias("node"), F.col("fp").alias("root")))
-    classes = classes_of(classes, verified(close, known))
+    classes = classes_of(known.select(F.col("fp").alias("node"), F.col("fp").alias("root")), verified(pairs, known))
     left = settle(apart(bands, classes))
-    for round_links in (lambda x: verified(x.select("u", "v"), known), lambda x: rest_links(x, classes, found, known)):
-        if left.isEmpty():
-            break
-        links = apart(round_links(left), classes).select(F.col("root_u").alias("u"), F.col("root_v").alias("v"))
-        classes = classes_of(classes, links)
-        left = settle(apart(left.select("u", "v"), classes))
-    return classes
+    if left.isEmpty():
+        return classes
+    links = apart(rest_links(left, classes, found, known), classes).select(F.col("root_u").alias("u"), F.col("root_v").alias("v"))
+    return classes_of(classes, links)
 
 
 def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
