@@ -120,7 +120,7 @@ def reproject(image: np.ndarray, depth: np.ndarray, target_depth: np.ndarray, w2
 
     Pixels are lifted by their depth into the world, moved into the target's frame and
     projected, rounding half to even. The nearest point of a pixel counts, of equal
-    ones the last source pixel; points behind the target's surface are dropped.
+    ones the last source pixel; points behind the target camera or its surface are dropped.
     """
     h, w = image.shape
     ys, xs = np.mgrid[0:h, 0:w]
@@ -132,7 +132,7 @@ def reproject(image: np.ndarray, depth: np.ndarray, target_depth: np.ndarray, w2
     flat = k_t @ seen
     with np.errstate(divide="ignore", invalid="ignore"):
         u, v = np.rint(flat[0] / flat[2]), np.rint(flat[1] / flat[2])
-    good = np.isfinite(u) & np.isfinite(v) & (u >= 0) & (u < w) & (v >= 0) & (v < h)
+    good = (seen[2] > 0) & np.isfinite(u) & np.isfinite(v) & (u >= 0) & (u < w) & (v >= 0) & (v < h)
     source = np.flatnonzero(good)
     cell = v[good].astype(int) * w + u[good].astype(int)
     z = seen[2][good]

@@ -71,3 +71,8 @@ def rotation_targets(frame: Column, frames: int = 24) -> Column:
 
 def without_extension(key) -> Column:
     return F.split_part(key, F.lit("."), F.lit(1))
+
+
+def hashed_number(text: Column) -> Column:
+    """A number below 2 ** 32 from a text's MD5, the same in every engine."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")

@@ -1,32 +1,43 @@
 """How much people agree: split-half ceilings, floors and constancy.
 
-The unit of work is an image: its clicks are grouped once, and a numpy helper rasterises
-them, draws the halves and scores them. Means, blur and rescaling are linear, so each map
-is transformed once and an iteration is a row of weights. Draws are seeded by
-(seed, image, iteration) from submissions in file order, so partitioning changes nothing. A
-score that isn't defined (an empty half, a constant map) is null.
+An iteration is a table of weights: how often each submission is in the test half or the
+reference half of an image. Weights times sparse rasters, summed by pixel, are the two mean maps, so
+that no task ever holds an image's submissions; a numpy helper gets the summed maps of a few
+iterations, blurs and scores them. Blur and rescaling are linear, so doing them after the mean changes
+nothing. Draws are hashes of (seed, image, level, iteration), so partitioning changes nothing. A
+score that isn't defined (an empty half, a constant map) is NaN or null.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attnmaps.functions import dense
 from attnmaps.functions.metrics import score
-from attnmaps.operators.filters import max_subjects
+from attnmaps.functions.paths import hashed_number
+from attnmaps.operators import raster
 from attnmaps.operators.joins import random_partner
 
+#: Iterations whose summed maps meet in one helper call.
+CHUNK = 10
+#: Places to which blurred maps are rounded, so that equal pixels have equal ranks.
+PLACES = 10
+
 
 @dataclass(frozen=True)
 class Agreement:
-    """Parameters of the agreement jobs."""
+    """Parameters of the agreement jobs.
+
+    With ``levels`` over one, maps are made of the clicks up to each of so many cut points;
+    the metric "auc" uses all levels, the others the last. Submissions may have a column
+    ``kernel`` with their image's own blur size; without it ``kernel`` holds for all.
+    """
 
     h: int = 256
     w: int = 256
@@ -37,148 +48,188 @@ class Agreement:
     short_side: int | None = None
     redraw_test: bool = False
     seed: int = 0
+    levels: int = 1
+    min_clicks: int = 1
+
+
+def stacks(subs: DataFrame, p: Agreement) -> tuple[DataFrame, DataFrame]:
+    """Maps (image_key, level, sub_id, ord, kernel) and their pixels (image_key, level, sub_id, y, x, n)."""
+    kernel = F.col("kernel").cast("int") if "kernel" in subs.columns else F.lit(p.kernel)
+    maps = subs.select("image_key", "sub_id", F.col("ord").cast("long").alias("ord"), kernel.alias("kernel"))
+    if p.levels == 1:
+        return maps.withColumn("level", F.lit(0)), raster.rasterise(subs, p.h, p.w).withColumn("level", F.lit(0))
+    prefixes = raster.cumulative_maps(subs, raster.image_bins(subs, p.levels), p.h, p.w, p.min_clicks, average=False)
+    pixels = raster.align_levels(prefixes).withColumnRenamed("v", "n")
+    if p.metric != "auc":
+        pixels = pixels.where(F.col("level") == p.levels - 1)
+    levels = pixels.select("image_key", "level", "sub_id").distinct()
+    return maps.join(levels, ["image_key", "sub_id"]), pixels
+
+
+def half_weights(maps: DataFrame, p: Agreement, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, image_key, level, iteration, half, sub_id, weight, size, kernel) of every map in a half.
+
+    The maps of an image are put in the order of a hash. The first half, rounded down, is
+    the test half, the rest the reference half; each gets as many redraws of its own maps as the
+    first half has, and the test half is on demand redrawn to the number of all maps. The mean
+    map is the sum of weights times maps over the size. Maps that no draw takes have weight 0.
+    """
+    keys = [*by, "image_key", "level", "iteration"]
+    text = lambda *more: F.concat_ws("|", F.lit(p.seed).cast("string"), F.col("image_key"), F.col("level").cast("string"), F.col("iteration").cast("string"), *more)
+    draw = lambda k, tag, n: F.pmod(hashed_number(text(k.cast("string"), F.lit(tag))), F.greatest(n, F.lit(1)).cast("long"))
+    own = Window.partitionBy(*keys)
+    rows = maps.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(p.iterations - 1))))
+    rank = F.row_number().over(own.orderBy(F.md5(text(F.col("sub_id").cast("string"))), "sub_id")).cast("long") - 1
+    rows = rows.withColumns({"r": rank, "n": F.count(F.lit(1)).over(own)}).withColumn("h", F.floor(F.col("n") / 2))
+    r, n, h = F.col("r"), F.col("n"), F.col("h")
+    slot = lambda at, sub, w: F.struct(at.alias("rank"), sub.alias("sub_id"), F.lit(w).alias("w"))
+    nobody = F.lit(None).cast("long")
+    first, redrawn = draw(r, "test", h), draw(r, "again", 2 * h)
+    slots = [F.when((r < h) & F.lit(p.redraw_test), slot(r, F.col("sub_id"), 0)).otherwise(slot(r, F.col("sub_id"), 1)), F.when(r < h, slot(h + draw(r, "ref", n - h), nobody, 1))]
+    if p.redraw_test:
+        slots.append(F.when(h > 0, slot(F.when(redrawn < h, redrawn).otherwise(draw(redrawn - h, "test", h)), nobody, 1)))
+    else:
+        slots.append(F.when(r < h, slot(first, nobody, 1)))
+    drawn = rows.select(*keys, "n", "h", "kernel", F.explode(F.array(*slots)).alias("x")).where("x is not null")
+    found = drawn.groupBy(*keys, "x.rank").agg(F.max("x.sub_id").alias("sub_id"), F.sum("x.w").alias("weight"), F.max("n").alias("n"), F.max("h").alias("h"), F.max("kernel").alias("kernel"))
+    test = F.col("rank") < F.col("h")
+    size = F.when(test & F.lit(not p.redraw_test), 2 * F.col("h")).otherwise(F.col("n"))
+    return found.select(*keys, F.when(test, "test").otherwise("ref").alias("half"), "sub_id", "weight", size.alias("size"), "kernel")
+
+
+def half_maps(subs: DataFrame, p: Agreement, maps: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, image_key, level, iteration, half, y, x, total, size, kernel): summed clicks of each half by pixel.
+
+    A half without clicks within bounds has a row without a place, so that it is known.
+    """
+    every, pixels = stacks(subs, p)
+    weights = half_weights(every if maps is None else maps, p, by)
+    rows = weights.join(pixels, ["image_key", "level", "sub_id"], "left")
+    keys = [*by, "image_key", "level", "iteration", "half", "y", "x"]
+    return rows.groupBy(*keys).agg(F.sum(F.col("weight") * F.coalesce("n", F.lit(0))).alias("total"), F.max("size").alias("size"), F.max("kernel").alias("kernel"))
+
+
+def _cropped(m: np.ndarray, p: Agreement, wider: bool = False) -> np.ndarray:
+    if p.crop and not (wider and m.shape[-1] <= p.crop):
+        return dense.resize_center_crop(m, p.short_side or min(p.h, p.w), p.crop)
+    return m
+
+
+def _mean_map(rows: pd.DataFrame, p: Agreement) -> np.ndarray | None:
+    """The mean map of one half's rows; none if the half is empty."""
+    if not len(rows):
+        return None
+    out, on = np.zeros((p.h, p.w)), rows["y"].notna().to_numpy()
+    out[rows["y"].to_numpy()[on].astype(int), rows["x"].to_numpy()[on].astype(int)] = rows["total"].to_numpy()[on]
+    return out / rows["size"].iloc[0]
+
+
+def _scored(pdf: pd.DataFrame, p: Agreement, move: Callable | None = None, wider: bool = False) -> Iterator[tuple[int, int, float]]:
+    """(level, iteration, score) of the halves in ``pdf``; ``move`` changes the test map before the blur."""
+    for (level, iteration), own in pdf.groupby(["level", "iteration"], sort=True):
+        parts = [own[own["half"] == x] for x in ("test", "ref")]
+        test, ref = (_mean_map(x, p) for x in parts)
+        if test is None or ref is None:
+            yield level, iteration, float("nan")
+            continue
+        test = move(test) if move else test
+        maps = [np.round(_cropped(dense.blur(m, int(x["kernel"].iloc[0])), p, wider), PLACES) for m, x in zip((test, ref), parts, strict=True)]
+        yield level, iteration, score(p.metric, *maps)
+
+
+def _scores(halves: DataFrame, p: Agreement, by: tuple[str, ...]) -> DataFrame:
+    """(by, image_key, level, kind, iteration, score) from half maps with a kind."""
+    kinds = dict(halves.dtypes)
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in by], "image_key string, level int, kind string, iteration int, score double"])
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = list(_scored(pdf, p))
+        out = pd.DataFrame(found, columns=["level", "iteration", "score"])
+        for c in (*by, "image_key", "kind"):
+            out[c] = pdf[c].iloc[0]
+        return out[[*by, "image_key", "level", "kind", "iteration", "score"]]
 
-_SCORES = "image_key string, kind string, iteration int, score double"
-
-
-def click_arrays(subs: DataFrame) -> DataFrame:
-    """(image_key, sub_id, ord, xs, ys): what the helpers need, in ints."""
-    return subs.select("image_key", "sub_id", F.col("ord").cast("long").alias("ord"), F.col("clicks.x").alias("xs"), F.col("clicks.y").alias("ys"))
-
-
-def _apart(df: DataFrame) -> DataFrame:
-    """The same rows with column ids of their own, so that a cogroup can tell its sides apart."""
-    return df.select(*[F.col(c).alias(c) for c in df.columns])
-
-
-def _rng(seed: int, key: str, iteration: int) -> np.random.Generator:
-    return np.random.default_rng([seed, zlib.crc32(key.encode()), iteration])
-
-
-def half_weights(n: int, rng: np.random.Generator, redraw_test: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the test and the reference half of n maps; NaN if a half is empty."""
-    order, h = rng.permutation(n), n // 2
-
-    def spread(half: np.ndarray) -> np.ndarray:
-        return np.concatenate([half, rng.choice(half, h)]) if len(half) else half
-
-    test, ref = spread(order[:h]), spread(order[h:])
-    if redraw_test and len(test):
-        test = rng.choice(test, n)
-    return tuple(np.bincount(x, minlength=n) / len(x) if len(x) else np.full(n, np.nan) for x in (test, ref))
-
-
-def blurred_stack(pdf: pd.DataFrame, p: Agreement) -> np.ndarray:
-    """One image's maps in file order, each blurred (and cropped)."""
-    pdf = pdf.sort_values(["ord", "sub_id"])
-    maps = dense.blur(dense.stack_of(pdf["xs"], pdf["ys"], p.h, p.w), p.kernel)
-    return _cropped(maps, p)
-
-
-def _cropped(maps: np.ndarray, p: Agreement) -> np.ndarray:
-    if p.crop and maps.shape[-1] > p.crop:
-        return dense.resize_center_crop(maps, p.short_side or min(maps.shape[-2:]), p.crop)
-    return maps
-
-
-def _mean(weights: np.ndarray, stack: np.ndarray) -> np.ndarray:
-    return np.tensordot(weights, stack, axes=(0, 0))
+    chunk = F.floor(F.col("iteration") / CHUNK)
+    return halves.groupBy(*by, "image_key", "kind", "level", chunk.alias("chunk")).applyInPandas(run, schema)
 
 
-def _rows(key: str, kind: str, values: list[float]) -> pd.DataFrame:
-    return pd.DataFrame({"image_key": key, "kind": kind, "iteration": range(len(values)), "score": values})
+def _floored(halves: DataFrame, images: DataFrame, p: Agreement) -> DataFrame:
+    """Every image's test halves, and the reference halves of its partner under its own key."""
+    partners = random_partner(images, p.seed).select(F.col("image_key").alias("_for"), F.col("partner").alias("image_key"))
+    test = halves.where("half = 'test'").join(partners.select(F.col("_for").alias("image_key")), "image_key", "left_semi")
+    ref = halves.where("half = 'ref'").join(partners, "image_key").drop("image_key").withColumnRenamed("_for", "image_key")
+    return test.unionByName(ref).withColumn("kind", F.lit("floor"))
 
 
 def split_half(subs: DataFrame, p: Agreement) -> DataFrame:
-    """(image_key, "ceiling", iteration, score): agreement of random halves of an image's maps."""
+    """(image_key, level, "ceiling", iteration, score): agreement of random halves of an image's maps."""
+    return _scores(half_maps(subs, p).withColumn("kind", F.lit("ceiling")), p, ())
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, stack = pdf["image_key"].iloc[0], blurred_stack(pdf, p)
-        halves = [half_weights(len(stack), _rng(p.seed, key, i), p.redraw_test) for i in range(p.iterations)]
-        return _rows(key, "ceiling", [score(p.metric, _mean(t, stack), _mean(r, stack)) for t, r in halves])
 
-    return click_arrays(subs).groupBy("image_key").applyInPandas(run, _SCORES)
+def floor(subs: DataFrame, p: Agreement) -> DataFrame:
+    """(image_key, level, "floor", iteration, score): test half against a half of another image, level by level."""
+    return _scores(_floored(half_maps(subs, p), subs, p), p, ())
 
 
-def floor(subs: DataFrame, p: Agreement) -> DataFrame:
-    """(image_key, "floor", iteration, score): test half against a half of another image."""
-    own = click_arrays(subs)
-    partners = random_partner(subs, p.seed)
-    other = own.join(partners.withColumnsRenamed({"image_key": "_for", "partner": "image_key"}), "image_key").select(F.col("_for").alias("image_key"), F.col("image_key").alias("other"), "sub_id", "ord", "xs", "ys")
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame(columns=["image_key", "kind", "iteration", "score"], dtype=object)
-        key, partner = left["image_key"].iloc[0], right["other"].iloc[0]
-        a, b = blurred_stack(left, p), blurred_stack(right, p)
-        values = []
-        for i in range(p.iterations):
-            test, _ = half_weights(len(a), _rng(p.seed, key, i), p.redraw_test)
-            _, ref = half_weights(len(b), _rng(p.seed, partner, i), p.redraw_test)
-            values.append(score(p.metric, _mean(test, a), _mean(ref, b)))
-        return _rows(key, "floor", values)
-
-    return own.groupBy("image_key").cogroup(_apart(other).groupBy("image_key")).applyInPandas(run, _SCORES)
+def ceiling_floor(subs: DataFrame, p: Agreement) -> DataFrame:
+    """Both of the above from the same halves."""
+    halves = half_maps(subs, p)
+    return _scores(halves.withColumn("kind", F.lit("ceiling")).unionByName(_floored(halves, subs, p)), p, ())
 
 
 def subject_sweep(subs: DataFrame, caps: list[int], p: Agreement) -> DataFrame:
-    """(image_key, cap, kind, iteration, score) for every cap on subjects, ceiling and floor.
+    """(cap, image_key, level, kind, iteration, score) for every cap on subjects, ceiling and floor.
 
-    Rows are capped per (image, cap) in one pass over a small table of caps.
+    One job: an image's map takes part in every cap that its place in file order is within;
+    pixels are the same for all caps.
     """
-    table = subs.sparkSession.createDataFrame([(c,) for c in caps], "cap int")
-    keyed = subs.crossJoin(F.broadcast(table)).withColumn("image_key", F.concat("image_key", F.lit("#"), F.col("cap").cast("string")))
-    from pyspark.sql import Window
+    maps, _ = stacks(subs, p)
+    rank = F.row_number().over(Window.partitionBy("image_key", "level").orderBy("ord", "sub_id"))
+    every = F.explode(F.filter(F.array(*map(F.lit, caps)), lambda c: c >= F.col("_rank")))
+    capped = maps.withColumn("_rank", rank).withColumn("cap", every).drop("_rank")
+    halves = half_maps(subs, p, capped, ("cap",))
+    return _scores(halves.withColumn("kind", F.lit("ceiling")).unionByName(_floored(halves, subs, p)), p, ("cap",))
+
 
-    rank = F.row_number().over(Window.partitionBy("image_key").orderBy("ord", "sub_id"))
-    capped = keyed.withColumn("_rank", rank).where("_rank <= cap").drop("_rank")
-    ceilings = split_half(capped, p)
-    floors = [floor(max_subjects(subs, c), p).withColumn("cap", F.lit(c)) for c in caps]
-    parts = F.split("image_key", "#")
-    out = ceilings.select(F.get(parts, 0).alias("image_key"), F.get(parts, 1).cast("int").alias("cap"), "kind", "iteration", "score")
-    for f in floors:
-        out = out.unionByName(f)
-    return out
+_CONSTANCY = "image_key string, axis string, diff int, level int, kind string, iteration int, score double"
 
 
-_CONSTANCY = "image_key string, axis string, diff int, kind string, iteration int, score double"
+def frame_lots(pairs: DataFrame, seed: int) -> DataFrame:
+    """(key, diff, target_key, kind): every pair, and the pair with a random other pair's frame as its floor."""
+    lots = pairs.select(F.struct("key", F.col("diff").cast("int").alias("diff")).alias("pair"), "target_key")
+    chance = random_partner(lots, seed, "pair").select("pair", F.col("partner.key").alias("target_key"))
+    both = lots.withColumn("kind", F.lit("ceiling")).unionByName(chance.withColumn("kind", F.lit("floor")))
+    return both.select("pair.key", "pair.diff", "target_key", "kind")
 
 
-def _constancy(subs: DataFrame, pairs: DataFrame, meta: DataFrame | None, axis: str, p: Agreement, transform: Callable) -> DataFrame:
+def _constancy(subs: DataFrame, pairs: DataFrame, meta: DataFrame, axis: str, p: Agreement, transform: Callable) -> DataFrame:
     """Scores of frame pairs and their floors; ``pairs`` has (key, diff, target_key).
 
-    ``transform(stack, own, other)`` maps the test frame's maps onto the target frame.
+    ``transform(map, own, other)`` maps the test frame's mean map onto the target frame. What
+    it needs of the two frames comes as one row a pair; it never travels with clicks.
     """
-    clicks = click_arrays(subs)
-    if meta is not None:
-        clicks = clicks.join(meta.withColumnRenamed("key", "image_key"), "image_key")
-    extra = [c for c in clicks.columns if c not in ("image_key", "sub_id", "ord", "xs", "ys")]
-    partners = random_partner(pairs.select(F.concat("key", F.lit("#"), F.col("diff").cast("string")).alias("image_key")), p.seed)
-    lots = pairs.select(F.concat("key", F.lit("#"), F.col("diff").cast("string")).alias("pair"), "key", "diff", "target_key")
-    chance = lots.join(partners.withColumnRenamed("image_key", "pair"), "pair").select("pair", "key", "diff", F.regexp_replace("partner", "#.*$", "").alias("target_key"), F.lit("floor").alias("kind"))
-    lots = lots.withColumn("kind", F.lit("ceiling")).unionByName(chance)
-    test = lots.select("pair", "kind", "diff", F.col("key").alias("image_key")).join(clicks, "image_key")
-    ref = lots.select("pair", "kind", F.col("target_key").alias("image_key")).join(clicks, "image_key")
+    halves, lots, keys = half_maps(subs, p), frame_lots(pairs, p.seed), ["key", "diff", "kind"]
+    shown = ["level", "iteration", "half", "y", "x", "total", "size", "kernel"]
+    test = lots.join(halves.where("half = 'test'").withColumnRenamed("image_key", "key"), "key").select(*keys, *shown)
+    ref = lots.join(halves.where("half = 'ref'").withColumnRenamed("image_key", "target_key"), "target_key").select(*keys, *shown)
+    extra = [c for c in meta.columns if c != "key"]
+    own, other = (meta.select(F.col("key").alias(k), F.struct(*extra).alias(n)) for k, n in (("key", "own"), ("target_key", "other")))
+    moved = lots.where("kind = 'ceiling' and diff <> 0").join(own, "key").join(other, "target_key").select(*keys, "own", "other")
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame(columns=["image_key", "axis", "diff", "kind", "iteration", "score"], dtype=object)
-        kind, diff = key[1], int(left["diff"].iloc[0])
-        own, other = left["image_key"].iloc[0], right["image_key"].iloc[0]
-        left, right = left.sort_values(["ord", "sub_id"]), right.sort_values(["ord", "sub_id"])
-        a, b = (dense.stack_of(x["xs"], x["ys"], p.h, p.w) for x in (left, right))
-        if kind == "ceiling" and diff != 0:
-            a = transform(a, {c: left[c].iloc[0] for c in extra}, {c: right[c].iloc[0] for c in extra})
-        a, b = (_cropped(dense.blur(x, p.kernel), p) for x in (a, b))
-        values = []
-        for i in range(p.iterations):
-            test_w, rest = half_weights(len(a), _rng(p.seed, own, i), p.redraw_test)
-            ref_w = rest if own == other and kind == "ceiling" else half_weights(len(b), _rng(p.seed + 1, other, i), p.redraw_test)[1]
-            values.append(score(p.metric, _mean(test_w, a), _mean(ref_w, b)))
-        return pd.DataFrame({"image_key": own, "axis": axis, "diff": diff, "kind": kind, "iteration": range(len(values)), "score": values})
-
-    return test.groupBy("pair", "kind").cogroup(_apart(ref).groupBy("pair", "kind")).applyInPandas(run, _CONSTANCY)
+        name, diff, kind = key
+        move = None
+        if len(right):
+            a, b = right["own"].iloc[0], right["other"].iloc[0]
+            move = lambda m: transform(m, a, b)
+        both = set(left["half"]) if len(left) else set()
+        able = both == {"test", "ref"} and (move is not None or kind == "floor" or diff == 0)
+        found = list(_scored(left, p, move, wider=True)) if able else []
+        out = pd.DataFrame(found, columns=["level", "iteration", "score"])
+        return out.assign(image_key=name, axis=axis, diff=diff, kind=kind)[["image_key", "axis", "diff", "level", "kind", "iteration", "score"]]
+
+    apart = moved.select(*[F.col(c).alias(c) for c in moved.columns])  # column ids of its own, for the cogroup
+    return test.unionByName(ref).groupBy(*keys).cogroup(apart.groupBy(*keys)).applyInPandas(run, _CONSTANCY)
 
 
 def scale_constancy(subs: DataFrame, pairs: DataFrame, scales: DataFrame, p: Agreement) -> DataFrame:
@@ -187,8 +238,7 @@ def scale_constancy(subs: DataFrame, pairs: DataFrame, scales: DataFrame, p: Agr
     ``scales`` has (key, scale). A pair of a frame with itself takes both halves from one
     permutation. Floors meet a random other pair's frame, without rescaling.
     """
-    rescale = lambda stack, own, other: dense.sparse_scale(stack, own["scale"] / other["scale"])
-    return _constancy(subs, pairs, scales, "scale", p, rescale)
+    return _constancy(subs, pairs, scales.select("key", "scale"), "scale", p, lambda m, own, other: dense.sparse_scale(m, own["scale"] / other["scale"]))
 
 
 def rotation_constancy(subs: DataFrame, pairs: DataFrame, cameras: DataFrame, p: Agreement) -> DataFrame:
@@ -197,9 +247,8 @@ def rotation_constancy(subs: DataFrame, pairs: DataFrame, cameras: DataFrame, p:
     ``cameras`` has (key, w2c, k, depth), the matrices as nested arrays, depth row-major.
     """
 
-    def move(stack: np.ndarray, own: dict, other: dict) -> np.ndarray:
-        as_matrix = lambda m: np.array([list(r) for r in m], dtype=float)
-        args = np.asarray(own["depth"]), np.asarray(other["depth"]), as_matrix(own["w2c"]), as_matrix(other["w2c"]), as_matrix(own["k"]), as_matrix(other["k"])
-        return np.stack([dense.reproject(m, *args) for m in stack])
+    def move(m: np.ndarray, own: dict, other: dict) -> np.ndarray:
+        as_matrix = lambda x: np.array([list(r) for r in x], dtype=float)
+        return dense.reproject(m, np.asarray(own["depth"]), np.asarray(other["depth"]), as_matrix(own["w2c"]), as_matrix(other["w2c"]), as_matrix(own["k"]), as_matrix(other["k"]))
 
-    return _constancy(subs, pairs, cameras, "rotation", p, move)
+    return _constancy(subs, pairs, cameras.select("key", "w2c", "k", "depth"), "rotation", p, move)

@@ -29,15 +29,23 @@ def exclude_paths(subs: DataFrame, texts: str | list[str], col: str = "image_key
     return subs
 
 
+#: Paths of a listing that every key may be compared with.
+THETA_PATHS = 200_000
+
+
 def restrict_to_listing(subs: DataFrame, listing: DataFrame, path_col: str = "path", theta: bool = False) -> DataFrame:
     """Submissions whose image key occurs in a listed path.
 
     The key is a path's last two parts, so this is an equi-join; ``theta`` looks for the
-    key anywhere in the path, which compares every key with every path.
+    key anywhere in the path, which compares every key with every path and so takes
+    a listing of at most ``THETA_PATHS`` paths; a longer one is an error.
     """
     if theta:
+        paths = listing.select(F.col(path_col).alias("_path")).distinct()
+        if paths.limit(THETA_PATHS + 1).count() > THETA_PATHS:
+            raise ValueError(f"a listing of over {THETA_PATHS} paths is joined by its keys only (theta=False)")
         keys = subs.select("image_key").distinct()
-        found = keys.join(listing.select(F.col(path_col).alias("_path")), F.contains("_path", "image_key"), "left_semi")
+        found = keys.join(F.broadcast(paths), F.contains("_path", "image_key"), "left_semi")
         return subs.join(found, "image_key", "left_semi")
     return subs.join(listing.select(image_key(F.col(path_col)).alias("image_key")), "image_key", "left_semi")
 

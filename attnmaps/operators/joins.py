@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attnmaps.functions.paths import frame_of, rotation_targets, scale_targets, sequence_of
+from attnmaps.functions.paths import frame_of, hashed_number, rotation_targets, scale_targets, sequence_of
 
 
 def device_flags(devices: DataFrame) -> DataFrame:
@@ -28,52 +28,82 @@ def attach_dimensions(images: DataFrame, dims: DataFrame, default: tuple[int, in
     return joined.withColumns({"h": F.coalesce("height", F.lit(default[0])), "w": F.coalesce("width", F.lit(default[1]))})
 
 
-#: Bytes of a reference block that goes to every task.
+#: Bytes of the numbers of a reference block, of which a task holds one at a time.
 BLOCK_BYTES = 32 << 20
-#: Queries that are compared with a block in one task.
-QUERIES_PER_TASK = 20_000
-
-
-def nearest_reference(queries: DataFrame, refs: DataFrame, id_col: str = "id", vec_col: str = "embedding", blocks: int | None = None) -> DataFrame:
+#: Queries that are compared with all blocks in one go.
+QUERIES_AT_ONCE = 20_000
+
+
+class _Nearest:
+    """The nearest reference so far of a batch of queries."""
+
+    def __init__(self, ids: list, vectors: np.ndarray):
+        self.ids, self.asked = ids, vectors
+        self.best = np.full(len(ids), np.inf)
+        self.ref = np.zeros(len(ids), dtype=np.int64)
+
+    def meet(self, known_ids: np.ndarray, known: np.ndarray) -> None:
+        """Exact distances for every reference that rounding can't rule out, by matrices for the rest."""
+        norms, size = (known**2).sum(1), np.sqrt((known**2).sum(1).max(initial=0.0))
+        for at in range(0, len(self.asked), 256):
+            part = self.asked[at : at + 256]
+            rough = norms - 2 * part @ known.T
+            slack = 8 * known.shape[1] * np.finfo(float).eps * (np.sqrt((part**2).sum(1)) + size) ** 2
+            rows, columns = np.nonzero(rough <= (rough.min(axis=1) + slack)[:, None])
+            for some in range(0, len(rows), 1 << 16):
+                r, c = rows[some : some + (1 << 16)], columns[some : some + (1 << 16)]
+                exact = np.sqrt(((known[c] - part[r]) ** 2).sum(1))
+                order = np.lexsort((known_ids[c], exact, r))
+                first = order[np.unique(r[order], return_index=True)[1]]
+                i, d, j = at + r[first], exact[first], known_ids[c[first]]
+                better = (d < self.best[i]) | ((d == self.best[i]) & (j < self.ref[i]))
+                self.best[i[better]], self.ref[i[better]] = d[better], j[better]
+
+
+def nearest_reference(queries: DataFrame, refs: DataFrame, folder: str, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
     """(id, ref_id, distance): the exact nearest reference by L2; ties to the least id.
 
-    References are packed in blocks of bounded size and every block meets every batch of
-    queries, which a helper compares as matrices. Each keeps its best reference only,
-    so one row for each query and block is reduced by ``min``.
+    References are written once to ``folder``, which all executors share. Every task reads
+    them block by block and compares a block with its queries as matrices, so neither side
+    is shuffled or multiplied and a task holds one block. Empty if there is no reference.
     """
-    if blocks is None:
-        size = refs.agg(F.coalesce(F.sum(F.size(vec_col)), F.lit(0))).first()[0] * 4
-        blocks = int(size // BLOCK_BYTES) + 1
-    deal_count = queries.count() // QUERIES_PER_TASK + 1
-    packed = (
-        refs.select(F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block"), F.struct(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).alias("r"))
-        .groupBy("block").agg(F.collect_list("r").alias("refs"))
-    )
-    dealt = queries.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    deals = dealt.withColumn("deal", F.pmod(F.xxhash64("id"), F.lit(deal_count)))
-
-    def best(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {"id": [], "d": [], "ref_id": []}
-        if len(left) and len(right):
-            rows = sorted(right["refs"].iloc[0], key=lambda r: r["id"])
-            ids = np.array([r["id"] for r in rows])
-            known = np.array([r["v"] for r in rows], dtype=np.float64)
-            for at in range(0, len(left), 256):
-                part = left.iloc[at : at + 256]
-                asked = np.stack(part["v"].to_numpy()).astype(np.float64)
-                rough = (known**2).sum(1) - 2 * asked @ known.T
-                few = np.argsort(rough, axis=1, kind="stable")[:, :4]
-                exact = np.sqrt(((known[few] - asked[:, None, :]) ** 2).sum(2))
-                pick = np.lexsort((ids[few], exact), axis=1)[:, 0]
-                row = np.arange(len(part))
-                out["id"] += part["id"].tolist()
-                out["d"] += exact[row, pick].tolist()
-                out["ref_id"] += ids[few[row, pick]].tolist()
-        return pd.DataFrame(out, dtype=None if out["id"] else object)
-
-    spread = packed.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deal_count - 1).cast("long"))))
-    found = deals.groupBy("block", "deal").cogroup(spread.groupBy("block", "deal")).applyInPandas(best, "id long, d double, ref_id long")
-    return found.groupBy("id").agg(F.min(F.struct("d", "ref_id")).alias("m")).select("id", "m.ref_id", F.col("m.d").alias("distance"))
+    refs.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).write.parquet(folder)
+
+    def blocks():
+        import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(folder)
+        width = 1
+        for batch in ds.dataset(path, filesystem=store, format="parquet").to_batches(batch_size=4096):
+            if len(batch):
+                width = len(batch.column(1)[0])
+                step = max(1, BLOCK_BYTES // (8 * max(1, width)))
+                for part in (batch.slice(k, step) for k in range(0, len(batch), step)):
+                    yield part.column(0).to_numpy(), part.column(1).flatten().to_numpy().reshape(len(part), width)
+
+    def answer(held: list[pa.RecordBatch]):
+        own = pa.Table.from_batches(held).combine_chunks()
+        vectors = own.column("v").combine_chunks()
+        state = _Nearest(own.column("id").to_pylist(), vectors.flatten().to_numpy().reshape(len(own), -1))
+        for ids, known in blocks():
+            state.meet(ids, known)
+        there = np.isfinite(state.best)
+        return pa.RecordBatch.from_arrays([own.column("id").combine_chunks().filter(pa.array(there)), pa.array(state.ref[there]), pa.array(state.best[there])], names=["id", "ref_id", "distance"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= QUERIES_AT_ONCE:
+                yield answer(held)
+                held, n = [], 0
+        if n:
+            yield answer(held)
+
+    asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    return asked.mapInArrow(run, "id long, ref_id long, distance double")
 
 
 def scores_with_heatmaps(scores: DataFrame, maps: DataFrame) -> DataFrame:
@@ -103,19 +133,20 @@ def frame_pairs(frames: DataFrame, kind: str, key_col: str = "frame_key") -> tup
 
 
 def random_partner(images: DataFrame, seed: int, key_col: str = "image_key") -> DataFrame:
-    """(image_key, partner): each image with another one, chosen by a hash of key and seed.
+    """(key, partner): each key with another one, chosen by a hash of key and seed; the key may be a struct.
 
-    Images are numbered within hash buckets and the buckets' sizes are added up, so no task
-    sees all images; the partner is an equi-join on that number. Empty for one image.
+    Keys are numbered within hash buckets and the buckets' sizes are added up, so no task
+    sees all of them; the partner is an equi-join on that number. Empty for one key.
     """
     buckets = 256
-    rows = images.select(key_col).distinct().withColumn("b", F.pmod(F.xxhash64(key_col), F.lit(buckets)))
+    text = F.col(key_col).cast("string")
+    rows = images.select(key_col).distinct().withColumn("b", F.pmod(hashed_number(text), F.lit(buckets)))
     sizes = rows.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # at most 256 rows
     starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
     total = sizes.agg(F.sum("n").alias("total"))
     own = Window.partitionBy("b").orderBy(key_col)
     numbered = rows.withColumn("i", F.row_number().over(own) - 1).join(F.broadcast(starts), "b").select(key_col, (F.col("i") + F.col("start")).alias("i"))
-    step = 1 + F.pmod(F.xxhash64(F.col(key_col), F.lit(seed)), F.col("total") - 1)
+    step = 1 + F.pmod(hashed_number(F.concat_ws("|", text, F.lit(str(seed)))), F.greatest(F.col("total") - 1, F.lit(1)))
     asked = numbered.crossJoin(F.broadcast(total)).where("total > 1").select(key_col, F.pmod(F.col("i") + step, F.col("total")).alias("i"))
     return asked.join(numbered.select(F.col(key_col).alias("partner"), "i"), "i").select(key_col, "partner")

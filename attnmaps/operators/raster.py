@@ -46,21 +46,31 @@ def valid_maps(rasters: DataFrame, min_clicks: int) -> DataFrame:
     return rasters.groupBy("image_key", "sub_id").agg(F.sum("n").alias("clicks")).where(F.col("clicks") >= min_clicks).select("image_key", "sub_id")
 
 
+def _first_of(*keys: str) -> Column:
+    """1 on one row of each group of the keys, 0 on its others."""
+    return F.when(F.row_number().over(Window.partitionBy(*keys).orderBy("y", "x")) == 1, 1).otherwise(0)
+
+
 def keep_valid(rasters: DataFrame, min_clicks: int, min_subjects: int = 0) -> DataFrame:
     """Raster rows of valid submissions, of images with enough of them."""
     own = Window.partitionBy("image_key", "sub_id")
     rows = rasters.withColumn("_s", F.sum("n").over(own)).where(F.col("_s") >= min_clicks).drop("_s")
     if min_subjects:
         image = Window.partitionBy("image_key")
-        rows = rows.withColumn("_m", F.size(F.collect_set("sub_id").over(image))).where(F.col("_m") >= min_subjects).drop("_m")
+        rows = rows.withColumn("_m", _first_of("image_key", "sub_id"))
+        rows = rows.withColumn("_m", F.sum("_m").over(image)).where(F.col("_m") >= min_subjects).drop("_m")
     return rows
 
 
-def mean_map(rasters: DataFrame) -> DataFrame:
-    """(image_key, y, x, v): mean over the submissions that have rows."""
-    counts = rasters.groupBy("image_key").agg(F.countDistinct("sub_id").alias("maps"))
-    sums = sum_maps(rasters)
-    return sums.join(counts, "image_key").select("image_key", "y", "x", (F.col("v") / F.col("maps")).alias("v"))
+def mean_map(rasters: DataFrame, keys: tuple[str, ...] = ("image_key",)) -> DataFrame:
+    """(keys, y, x, v): mean over the submissions that have rows.
+
+    The number of submissions rides along with the sums, so that the rasters are made once.
+    """
+    marked = rasters.withColumn("_m", _first_of(*keys, "sub_id"))
+    sums = marked.groupBy(*keys, "y", "x").agg(F.sum("n").alias("v"), F.sum("_m").alias("_m"))
+    maps = F.sum("_m").over(Window.partitionBy(*keys))
+    return sums.withColumn("_m", maps).select(*keys, "y", "x", (F.col("v") / F.col("_m")).alias("v"))
 
 
 def sum_maps(rasters: DataFrame) -> DataFrame:
@@ -88,9 +98,7 @@ def cumulative_maps(subs: DataFrame, bins: DataFrame, h: int, w: int, min_clicks
     stack = stack.withColumn("_s", F.sum("n").over(own)).where(F.col("_s") >= min_clicks).drop("_s")
     if not average:
         return stack.withColumnRenamed("n", "v")
-    counts = stack.groupBy("image_key", "level").agg(F.countDistinct("sub_id").alias("maps"))
-    sums = stack.groupBy("image_key", "level", "y", "x").agg(F.sum("n").alias("s"))
-    return sums.join(counts, ["image_key", "level"]).select("image_key", "level", "y", "x", (F.col("s") / F.col("maps")).alias("v"))
+    return mean_map(stack, ("image_key", "level"))
 
 
 def bin_counts(subs: DataFrame, bins: DataFrame) -> DataFrame:
@@ -135,7 +143,7 @@ def blur_sparse(maps: DataFrame, size: int, h: int, w: int) -> DataFrame:
 def dense_by_image(maps: DataFrame, helper: Callable[[np.ndarray, pd.Series], np.ndarray], schema: str, extra: list[str]) -> DataFrame:
     """Apply a numpy helper to every image's dense map; ``extra`` holds per-image columns.
 
-    ``maps`` has rows (image_key, y, x, v, h, w) and the extra columns.
+    ``maps`` has rows (image_key, y, x, v, h, w), maybe a level, and the extra columns.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -143,10 +151,11 @@ def dense_by_image(maps: DataFrame, helper: Callable[[np.ndarray, pd.Series], np
         dense = np.zeros((int(first["h"]), int(first["w"])))
         dense[pdf["y"].to_numpy(), pdf["x"].to_numpy()] = pdf["v"]
         out = helper(dense, first)
-        row = {"image_key": [first["image_key"]], "level": [0], "h": [out.shape[0]], "w": [out.shape[1]], "data": [out.ravel().astype(np.float32)]}
+        row = {"image_key": [first["image_key"]], "level": [first["level"]], "h": [out.shape[0]], "w": [out.shape[1]], "data": [out.ravel().astype(np.float32)]}
         return pd.DataFrame(row)
 
-    return maps.select("image_key", "y", "x", "v", "h", "w", *extra).groupBy("image_key").applyInPandas(run, schema)
+    level = F.col("level") if "level" in maps.columns else F.lit(0)
+    return maps.select("image_key", level.cast("int").alias("level"), "y", "x", "v", "h", "w", *extra).groupBy("image_key", "level").applyInPandas(run, schema)
 
 
 HEATMAP = "image_key string, level int, h int, w int, data array<float>"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attnmaps.functions.paths import category, is_animal
+from attnmaps.functions.paths import category, hashed_number, is_animal
 
 
 def maps_per_image(subs: DataFrame) -> DataFrame:
@@ -17,13 +17,20 @@ def run_summary(subs: DataFrame, deduped: bool) -> DataFrame:
     return subs.agg(F.count(F.lit(1)).alias("total_maps"), F.countDistinct("image_key").alias("unique_images")).withColumn("deduped", F.lit(deduped))
 
 
-def filter_report(before: DataFrame, caught: DataFrame, deduped: DataFrame, kept: DataFrame) -> DataFrame:
-    """One row: rows before and after each filter, removed duplicates with their share, empties."""
-    counts = [x.agg(F.count(F.lit(1)).alias(n)) for x, n in ((before, "n_before"), (caught, "n_caught"), (deduped, "n_deduped"), (kept, "n_kept"))]
-    empties = deduped.agg(F.count_if(F.size("clicks") == 0).alias("n_empty"))
-    row = counts[0]
-    for other in [*counts[1:], empties]:
-        row = row.crossJoin(other)  # one row each
+def filter_report(subs: DataFrame, thresh: float = 0.95) -> DataFrame:
+    """One row: rows before and after each filter, removed duplicates with their share, empties.
+
+    Every row is marked with the filters that it passes, so that the table is read once.
+    """
+    order = [F.col(c).asc_nulls_last() for c in ("ts", "ord")]
+    own = Window.partitionBy("image_key", "user_id", "image_path", "_caught").orderBy(*order)
+    rows = subs.withColumn("_caught", F.coalesce((F.col("user_catch_trial") >= thresh) & ~F.col("is_mobile"), F.lit(False)))
+    rows = rows.withColumn("_first", F.col("_caught") & (F.row_number().over(own) == 1))
+    clicks = F.size("clicks")
+    row = rows.agg(
+        F.count(F.lit(1)).alias("n_before"), F.count_if("_caught").alias("n_caught"), F.count_if("_first").alias("n_deduped"),
+        F.count_if(F.col("_first") & (clicks > 1)).alias("n_kept"), F.count_if(F.col("_first") & (clicks == 0)).alias("n_empty"),
+    )
     gone = F.col("n_caught") - F.col("n_deduped")
     return row.withColumns({"n_duplicates": gone, "share_duplicates": gone / F.nullif(F.col("n_caught"), F.lit(0))})
 
@@ -177,7 +184,7 @@ def balanced_resample(df: DataFrame, id_col: str, seed: int) -> DataFrame:
     Each row's multiplicity is Poisson with mean weight, from a seeded hash of its id,
     so about as many rows come out as go in and any partitioning gives the same.
     """
-    u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 40)).cast("double") / float(1 << 40)
+    u = hashed_number(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed)))).cast("double") / float(1 << 32)
     # the least k whose cumulated probability passes u, up to 32
     start = F.struct(F.lit(0).alias("k"), F.exp(-F.col("weight")).alias("p"), F.exp(-F.col("weight")).alias("sum"))
     step = lambda a, i: F.when(F.col("_u") < a["sum"], a).otherwise(F.struct((a["k"] + 1).alias("k"), (a["p"] * F.col("weight") / i).alias("p"), (a["sum"] + a["p"] * F.col("weight") / i).alias("sum")))
@@ -187,4 +194,4 @@ def balanced_resample(df: DataFrame, id_col: str, seed: int) -> DataFrame:
 
 def match_good_players(good: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """n of the good users, in the order of a seeded hash."""
-    return good.orderBy(F.xxhash64("user_id", F.lit(seed)), "user_id").limit(n)
+    return good.orderBy(F.md5(F.concat_ws("|", F.col("user_id").cast("string"), F.lit(str(seed))).cast("binary")), "user_id").limit(n)

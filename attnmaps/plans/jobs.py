@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attnmaps.functions.clicks import kernel_size
 from attnmaps.functions.paths import image_key
 from attnmaps.operators import agreement, filters, raster, stats
 
@@ -28,6 +29,7 @@ class Prepare:
     include: str | None = None
     exclude: tuple[str, ...] = ()
     recheck: bool = True
+    levels: int = 1
 
 
 def clean(subs: DataFrame, p: Prepare, classes: DataFrame | None = None) -> DataFrame:
@@ -58,39 +60,33 @@ def mean_maps(cleaned: DataFrame, p: Prepare, h: int, w: int) -> DataFrame:
 
 
 def heatmaps(cleaned: DataFrame, p: Prepare) -> DataFrame:
-    """Blurred mean heatmap of each image, made in one helper call where its rows already are.
+    """Blurred mean heatmap of each image, and of each level if there is more than one.
 
-    Equal to ``mean_maps`` with the two-pass blur, without sparse rows in between.
+    Clicks are counted by pixel before a map is made dense, so a helper call holds one map
+    however many submissions an image has.
     """
-    import numpy as np
-    import pandas as pd
-
-    from attnmaps.functions import dense
-
     h, w = p.image_shape
-    size = p.blur_size + (p.blur_size % 2 == 0)
+    if p.levels == 1:
+        maps = mean_maps(cleaned, p, h, w)
+    else:
+        maps = raster.cumulative_maps(cleaned, raster.image_bins(cleaned, p.levels), h, w, p.min_clicks)
+    return raster.blur_dense(maps.withColumns({"h": F.lit(h), "w": F.lit(w)}), p.blur_size + (p.blur_size % 2 == 0))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        stack = dense.stack_of(pdf["xs"], pdf["ys"], h, w)
-        stack = stack[stack.sum(axis=(1, 2)) >= p.min_clicks]
-        if not len(stack) or p.recheck and len(stack) < p.min_subjects:
-            return pd.DataFrame(columns=["image_key", "level", "h", "w", "data"], dtype=object)
-        data = dense.blur(stack.mean(axis=0, dtype=np.float64), size).ravel().astype(np.float32)
-        return pd.DataFrame({"image_key": [pdf["image_key"].iloc[0]], "level": [0], "h": [h], "w": [w], "data": [data]})
 
-    rows = cleaned.select("image_key", F.col("clicks.x").alias("xs"), F.col("clicks.y").alias("ys"))
-    return rows.groupBy("image_key").applyInPandas(run, raster.HEATMAP)
+def with_kernel(cleaned: DataFrame, dims: DataFrame, blur_size: int, map_shape: tuple[int, int]) -> DataFrame:
+    """Submissions with their image's own blur size, for the agreement jobs; dims has (image_key, width, height)."""
+    sized = cleaned.join(dims.select("image_key", "width", "height"), "image_key", "left")
+    return sized.withColumn("kernel", kernel_size(blur_size, "width", "height", map_shape)).drop("width", "height")
 
 
 def ceiling_floor(cleaned: DataFrame, p: agreement.Agreement) -> tuple[DataFrame, DataFrame]:
     """(scores by image and kind, one-row summary) of ceilings and floors."""
-    scores = agreement.split_half(cleaned, p).unionByName(agreement.floor(cleaned, p))
-    per_image = stats.integrate_scores(scores.withColumn("level", F.lit(0)), ["image_key", "kind"])
+    per_image = stats.integrate_scores(agreement.ceiling_floor(cleaned, p), ["image_key", "kind"])
     return per_image, stats.ceiling_floor_summary(per_image)
 
 
 def scale_constancy(cleaned: DataFrame, pairs: DataFrame, scales: DataFrame, p: agreement.Agreement) -> tuple[DataFrame, DataFrame]:
     """(scores by frame, axis, diff and kind, summary by axis and diff)."""
     scores = agreement.scale_constancy(cleaned, pairs, scales, p)
-    per_pair = stats.integrate_scores(scores.withColumn("level", F.lit(0)), ["image_key", "axis", "diff", "kind"], skip_nan_levels=True)
+    per_pair = stats.integrate_scores(scores, ["image_key", "axis", "diff", "kind"], skip_nan_levels=True)
     return per_pair, stats.constancy_summary(per_pair)

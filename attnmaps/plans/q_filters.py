@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from attnmaps.functions import clicks as C
@@ -13,6 +10,7 @@ from attnmaps.operators import filters, joins, sinks
 from attnmaps.plans import jobs
 from attnmaps.plans.base import CLEAN, MAX_CLICKS, MIN_CLICKS, MIN_SUBJECTS, SIDE, SUB, query
 from attnmaps.sources import readers
+from attnmaps.sources.shared import scratch
 
 TEST = jobs.Prepare(image_shape=(SIDE, SIDE), blur_size=5, min_clicks=MIN_CLICKS, max_clicks=MAX_CLICKS, min_subjects=MIN_SUBJECTS)
 BOTH = ("submissions", "clicks")
@@ -27,12 +25,6 @@ def shown(df, *more):
     return df.select("sub_id", "image_key", F.size("clicks").cast("long").alias("n"), *more)
 
 
-def scratch(spark, name: str) -> str:
-    """A new path in the folder that the cluster shares."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-out-")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # --- sources ---------------------------------------------------------------------------
 
 
@@ -326,7 +318,7 @@ def joi2_attach_dimensions(t):
   FROM embeddings q, embeddings r WHERE q.vec_id % 5 <> 0 AND r.vec_id % 5 = 0) WHERE rn = 1""")
 def joi3_nearest_reference(t):
     rows = t.embeddings.select(F.col("vec_id").alias("id"), "embedding")
-    found = joins.nearest_reference(rows.where("id % 5 <> 0"), rows.where("id % 5 = 0"))
+    found = joins.nearest_reference(rows.where("id % 5 <> 0"), rows.where("id % 5 = 0"), scratch(t.spark, "references"))
     return found.select("id", "ref_id", F.round("distance", 6).alias("distance"))
 
 
@@ -360,6 +352,12 @@ def joi6_frame_pairs_rotation(t):
     return joins.frame_pairs(t.frames, "rotation")[0]
 
 
-@query()
+PARTNER = """mm5 AS (SELECT image_key, CAST('0x' || substr(md5(image_key), 1, 8) AS BIGINT) % 256 AS b FROM keys5),
+nm5 AS (SELECT image_key, row_number() OVER (ORDER BY b, image_key) - 1 AS i, count(*) OVER () AS total FROM mm5),
+pt AS (SELECT a.image_key, b.image_key AS partner FROM nm5 a
+  JOIN nm5 b ON b.i = (a.i + 1 + CAST('0x' || substr(md5(a.image_key || '|{seed}'), 1, 8) AS BIGINT) % greatest(a.total - 1, 1)) % a.total WHERE a.total > 1)"""
+
+
+@query("SELECT image_key, partner FROM pt", "images", extra="keys5 AS (SELECT DISTINCT image_key FROM images),\n" + PARTNER.format(seed=1))
 def joi7_random_partner(t):
     return joins.random_partner(t.images, seed=1)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from attnmaps.operators import agreement, filters, joins, players, raster, sinks, stats
 from attnmaps.plans import jobs
 from attnmaps.plans.base import CLEAN, KERNEL, SIDE, SUB, query
-from attnmaps.plans.q_filters import BOTH, TEST, scratch
+from attnmaps.plans.q_filters import BOTH, PARTNER, TEST
 from attnmaps.plans.q_rasters import cleaned
+from attnmaps.sources.shared import scratch
 
 SMALL = agreement.Agreement(h=SIDE, w=SIDE, kernel=KERNEL, iterations=4, crop=24, short_side=SIDE, seed=3)
 

@@ -26,10 +26,7 @@ def agg2_run_summary(t):
   SELECT (SELECT count(*) FROM sub) AS n_before, (SELECT count(*) FROM dd) AS n_caught, (SELECT count(*) FROM dd WHERE rn = 1) AS n_deduped,
     (SELECT count(*) FROM dd WHERE rn = 1 AND n > 1) AS n_kept, (SELECT count(*) FROM dd WHERE rn = 1 AND n = 0) AS n_empty)""", *BOTH, extra=CLEAN)
 def agg3_filter_report(t):
-    rows = keyed(t)
-    caught = filters.filter_mobile(filters.filter_catch(rows))
-    deduped = filters.dedupe_first(caught)
-    return stats.filter_report(rows, caught, deduped, filters.drop_trivial(deduped))
+    return stats.filter_report(keyed(t))
 
 
 @query("SELECT image_key, CAST(floor(median(size)) AS BIGINT) AS median FROM cl GROUP BY image_key", *BOTH, extra=CLEAN)
@@ -170,13 +167,18 @@ def win6_click_prefix(t):
     return rows.select("sub_id", F.size("c").cast("long").alias("n"), total("x").alias("sx"), total("y").alias("sy"))
 
 
-@query()
+@query("""SELECT sub_id, user_id, label, round(weight, 9) AS weight, copy FROM (
+  SELECT *, unnest(range(1, k + 1))::INT AS copy FROM (
+    SELECT sub_id, user_id, label, weight, len(list_filter(range(0, 32), lambda i: u >= list_sum(list_transform(range(0, i + 1), lambda j: exp(-weight) * pow(weight, j) / factorial(j::INT))))) AS k FROM (
+      SELECT sub_id, user_id, label, count(*) OVER () / (2.0 * count(*) OVER (PARTITION BY label)) AS weight, CAST('0x' || substr(md5(sub_id || '|7'), 1, 8) AS BIGINT) / 4294967296.0 AS u
+      FROM submissions JOIN players USING (user_id))))""", "submissions", "players")
 def smp1_balanced_resample(t):
     rows = filters.filter_players(t.submissions, t.players).select("sub_id", "user_id", "label")
-    return stats.balanced_resample(rows, "sub_id", seed=7)
+    return stats.balanced_resample(rows, "sub_id", seed=7).withColumn("weight", F.round("weight", 9))
 
 
-@query()
+@query("""SELECT user_id FROM (SELECT user_id, row_number() OVER (ORDER BY md5(user_id || '|42'), user_id) AS r FROM players WHERE label = 1)
+  WHERE r <= (SELECT count(*) FROM players WHERE label = 0)""", "players")
 def smp2_match_good_players(t):
     bad = t.players.where("label = 0").count()
     return stats.match_good_players(t.players.where("label = 1").select("user_id"), bad)
