@@ -28,16 +28,19 @@ vi AS (SELECT image_key, count(*) AS maps FROM va GROUP BY image_key HAVING coun
 mm AS (SELECT image_key, y, x, sum(n) / any_value(maps) AS v FROM ra JOIN vi USING (image_key) GROUP BY image_key, y, x)"""
 
 
-def query(sql: str | None = None, *names: str, extra: str = ""):
+def query(sql: str | None = None, *names: str, extra: str = "", recursive: bool = False):
     """Register a function of :class:`Inputs` under its name, with its DuckDB SQL.
 
-    ``names`` are the adapters that the SQL reads, ``extra`` its further common tables.
+    ``names`` are the adapters that the SQL reads, ``extra`` its further common tables, of which
+    one may read itself.
     """
 
     def register(fn: Callable) -> Callable:
         QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Inputs(spark, sf_dir))
         if sql is not None:
             head = ctes(*names) + (",\n" + extra if extra else "") if names else ("WITH " + extra if extra else "")
+            if recursive:
+                head = head.replace("WITH ", "WITH RECURSIVE ", 1)
             ORACLES[fn.__name__] = f"{head}\n{sql}"
         return fn
 

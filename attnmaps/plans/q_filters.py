@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from attnmaps.functions import clicks as C
 from attnmaps.functions import paths as P
 from attnmaps.operators import filters, joins, sinks
-from attnmaps.plans import jobs
+from attnmaps.plans import agreement_sql, jobs
 from attnmaps.plans.base import CLEAN, MAX_CLICKS, MIN_CLICKS, MIN_SUBJECTS, SIDE, SUB, query
 from attnmaps.sources import readers
 from attnmaps.sources.shared import scratch
@@ -71,19 +71,21 @@ def src5_camera_json(t):
     return read.select("image_key", "scale", F.col("k")[0][0].alias("focal"), F.col("w2c")[0][3].alias("shift"))
 
 
-@query()
+@query("""SELECT label || '_' || vec_id || '.png' AS name, label, vec_id AS click_count, CAST(list_sum(list_transform(embedding, lambda v: CAST(trunc(abs(CAST(v AS DOUBLE) * 10)) AS INT) % 4)) AS BIGINT) AS image_sum,
+  CAST(list_sum(list_transform(embedding[1:16], lambda v: CAST(trunc(abs(CAST(v AS DOUBLE) * 10)) AS INT) % 4)) AS DOUBLE) AS heatmap_sum
+  FROM (SELECT vec_id, CAST(label AS BIGINT) AS label, embedding[1:48] AS embedding FROM embeddings)""")
 def src6_packed_records(t):
-    """Decodes records whose bytes are made of the first vectors' floats."""
+    """Decodes records whose bytes are made of the first numbers of every vector, as an image holds them."""
     side = 4
-    floats = lambda n: F.array(*[F.element_at("embedding", i + 1) for i in range(n)])
+    floats = lambda n: F.slice("embedding", 1, n)
     values = t.embeddings.select(F.col("vec_id").alias("ord"), F.col("label").cast("long").alias("label"), floats(48).alias("i"), floats(16).alias("m"))
     # hex of small whole numbers as little-endian floats: 0, 1, 2 and 3
     codes = {0: "00000000", 1: "0000803F", 2: "00000040", 3: "00004040"}
     table = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])
-    pack = lambda c: F.unhex(F.array_join(F.transform(c, lambda v: F.element_at(table, (F.abs(v * 10) % 4).cast("int"))), ""))
+    pack = lambda c: F.unhex(F.array_join(F.transform(c, lambda v: F.element_at(table, F.abs(v.cast("double") * 10).cast("int") % 4)), ""))
     packed = values.select("ord", "label", F.col("ord").alias("click_count"), pack("i").alias("image"), pack("m").alias("heatmap"))
     out = readers.decode_packed_records(packed, side=side)
-    return out.select("name", "label", "click_count", F.aggregate("image", F.lit(0), lambda a, v: a + v).alias("image_sum"), F.aggregate("heatmap", F.lit(0.0), lambda a, v: a + v.cast("double")).alias("heatmap_sum"))
+    return out.select("name", "label", "click_count", F.aggregate("image", F.lit(0), lambda a, v: a + v).cast("long").alias("image_sum"), F.aggregate("heatmap", F.lit(0.0), lambda a, v: a + v.cast("double")).alias("heatmap_sum"))
 
 
 @query("SELECT split_part(image_key, '.', 1) AS mask_key, 32 AS h, 32 AS w FROM images", "images")
@@ -352,12 +354,6 @@ def joi6_frame_pairs_rotation(t):
     return joins.frame_pairs(t.frames, "rotation")[0]
 
 
-PARTNER = """mm5 AS (SELECT image_key, CAST('0x' || substr(md5(image_key), 1, 8) AS BIGINT) % 256 AS b FROM keys5),
-nm5 AS (SELECT image_key, row_number() OVER (ORDER BY b, image_key) - 1 AS i, count(*) OVER () AS total FROM mm5),
-pt AS (SELECT a.image_key, b.image_key AS partner FROM nm5 a
-  JOIN nm5 b ON b.i = (a.i + 1 + CAST('0x' || substr(md5(a.image_key || '|{seed}'), 1, 8) AS BIGINT) % greatest(a.total - 1, 1)) % a.total WHERE a.total > 1)"""
-
-
-@query("SELECT image_key, partner FROM pt", "images", extra="keys5 AS (SELECT DISTINCT image_key FROM images),\n" + PARTNER.format(seed=1))
+@query("SELECT image_key, p_image_key AS partner FROM pt", "images", extra=agreement_sql.partners("images", "image_key", "image_key", 1))
 def joi7_random_partner(t):
     return joins.random_partner(t.images, seed=1)

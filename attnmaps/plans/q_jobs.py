@@ -2,51 +2,72 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from attnmaps.operators import agreement, filters, joins, players, raster, sinks, stats
+from attnmaps.plans import agreement_sql as own
 from attnmaps.plans import jobs
 from attnmaps.plans.base import CLEAN, KERNEL, SIDE, SUB, query
-from attnmaps.plans.q_filters import BOTH, PARTNER, TEST
-from attnmaps.plans.q_rasters import cleaned
+from attnmaps.plans.q_filters import BOTH, TEST
+from attnmaps.plans.q_rasters import LEVELS, cleaned
 from attnmaps.sources.shared import scratch
 
-SMALL = agreement.Agreement(h=SIDE, w=SIDE, kernel=KERNEL, iterations=4, crop=24, short_side=SIDE, seed=3)
+SMALL = agreement.Agreement(h=SIDE, w=SIDE, kernel=KERNEL, iterations=4, crop=own.CROP, short_side=SIDE, seed=3)
+#: Ten levels, compared by area.
+LEVELLED = replace(SMALL, metric="auc", levels=10, iterations=2)
+SCORED = "SELECT image_key, level, kind, iteration, round(score, 6) AS score FROM sr"
 
 
 def _tidy(df):
-    return df.withColumn("score", F.nanvl("score", F.lit(None).cast("double")))
+    return df.withColumn("score", F.round(F.nanvl("score", F.lit(None).cast("double")), 6))
 
 
-@query()
+@query(SCORED, *BOTH, extra=f"{CLEAN},\n{own.image_job(('ceiling',), 3, 4)}")
 def job1_split_half(t):
     return _tidy(agreement.split_half(cleaned(t), SMALL))
 
 
-@query()
+@query(SCORED, *BOTH, extra=f"{CLEAN},\n{own.image_job(('ceiling',), 3, 4, redraw=True, metric=own.AUC)}")
 def job2_split_half_redrawn(t):
-    from dataclasses import replace
-
     return _tidy(agreement.split_half(cleaned(t), replace(SMALL, redraw_test=True, metric="auc")))
 
 
-@query()
+@query(SCORED, *BOTH, extra=f"{CLEAN},\n{own.image_job(('floor',), 3, 4)}")
 def job3_floor(t):
     return _tidy(agreement.floor(cleaned(t), SMALL))
 
 
+#: Maps of every level, cut to the least number of an image's levels.
+STACKS = f"""{LEVELS},
+mp AS (SELECT image_key, level, sub_id FROM (SELECT *, row_number() OVER (PARTITION BY image_key, level ORDER BY sub_id) AS r, min(c) OVER (PARTITION BY image_key) AS m
+    FROM (SELECT image_key, level, sub_id, count(*) OVER (PARTITION BY image_key, level) AS c FROM (SELECT DISTINCT image_key, level, sub_id FROM ls))) WHERE m >= 2 AND r <= m),
+pxl AS (SELECT image_key, level, sub_id, y, x, n FROM ls JOIN mp USING (image_key, level, sub_id))"""
+
+
+@query(SCORED, *BOTH, extra=own.image_job(("ceiling", "floor"), 3, 2, metric=own.AUC, maps=STACKS))
+def job1_job3_all_levels(t):
+    """Ceilings and floors at each of ten cut points."""
+    return _tidy(agreement.ceiling_floor(cleaned(t), LEVELLED))
+
+
 def _framed(t):
     """Cleaned submissions keyed by frame."""
     return cleaned(t).join(t.frames.select("image_key", "frame_key"), "image_key").drop("image_key").withColumnRenamed("frame_key", "image_key")
 
 
-@query()
+FRAMED = "SELECT key AS image_key, '{axis}' AS axis, diff, level, kind, iteration, round(score, 6) AS score FROM sr"
+SCALED = f"{CLEAN},\n{own.frame_job(own.SCALE_PAIRS, 'a.scale / b.scale', own.RESCALED, 3, 4)}"
+
+
+@query(FRAMED.format(axis="scale"), *BOTH, "frames", extra=SCALED)
 def job4_scale_constancy(t):
     pairs = joins.frame_pairs(t.frames, "scale")[0]
     return _tidy(agreement.scale_constancy(_framed(t), pairs, t.frames.select(F.col("frame_key").alias("key"), "scale"), SMALL))
 
 
-@query()
+@query(FRAMED.format(axis="rotation"), *BOTH, "frames", extra=f"{CLEAN},\n{own.frame_job(own.ROTATION_PAIRS, 'b.frame - a.frame', own.SHIFTED, 3, 4)}")
 def job5_rotation_constancy(t):
     """Cameras of one depth that shift to the side by a frame's number."""
     pairs = joins.frame_pairs(t.frames, "rotation")[0]
@@ -59,7 +80,11 @@ def job5_rotation_constancy(t):
     return _tidy(agreement.rotation_constancy(_framed(t), pairs, cameras, SMALL))
 
 
-@query()
+CAPPED = """mp AS (SELECT cap, image_key, 0 AS level, sub_id FROM (SELECT *, row_number() OVER (PARTITION BY image_key ORDER BY ord, sub_id) AS r FROM cl), (SELECT unnest([5, 10, 15]) AS cap) WHERE r <= cap),
+pxl AS (SELECT image_key, 0 AS level, sub_id, y, x, n FROM ra)"""
+
+
+@query("SELECT cap, image_key, level, kind, iteration, round(score, 6) AS score FROM sr", *BOTH, extra=f"{CLEAN},\n{own.image_job(('ceiling', 'floor'), 3, 4, by='cap', maps=CAPPED)}")
 def job6_subject_sweep(t):
     return _tidy(agreement.subject_sweep(cleaned(t), [5, 10, 15], SMALL))
 
@@ -78,15 +103,22 @@ def job8_player_classifier(t):
     return players.predict_players(labelled, model, 4, 8).select("sub_id", "user_id", "label", "good")
 
 
-@query()
+def _rounded(df, *columns):
+    return df.withColumns({c: F.round(c, 5) for c in columns})
+
+
+@query("""SELECT round(c, 5) AS mean_ceiling, round(f, 5) AS mean_floor, round(c / nullif(f, 0), 5) AS ratio FROM (SELECT avg(score) FILTER (kind = 'ceiling') AS c, avg(score) FILTER (kind = 'floor') AS f
+  FROM (SELECT image_key, kind, avg(score) AS score FROM sr GROUP BY ALL))""", *BOTH, extra=f"{CLEAN},\n{own.image_job(('ceiling', 'floor'), 3, 4)}")
 def w2_ceiling_floor(t):
-    return jobs.ceiling_floor(cleaned(t), SMALL)[1]
+    return _rounded(jobs.ceiling_floor(cleaned(t), SMALL)[1], "mean_ceiling", "mean_floor", "ratio")
 
 
-@query()
+@query("""SELECT 'scale' AS axis, diff, round(c, 5) AS mean_ceiling, round(f, 5) AS mean_floor, round(c / nullif(f, 0), 4) AS ratio FROM (SELECT diff, avg(score) FILTER (kind = 'ceiling') AS c, avg(score) FILTER (kind = 'floor') AS f
+  FROM (SELECT key, diff, kind, avg(score) AS score FROM sr GROUP BY ALL) GROUP BY diff)""", *BOTH, "frames", extra=SCALED)
 def w3_scale_constancy(t):
     pairs = joins.frame_pairs(t.frames, "scale")[0]
-    return jobs.scale_constancy(_framed(t), pairs, t.frames.select(F.col("frame_key").alias("key"), "scale"), SMALL)[1]
+    summary = jobs.scale_constancy(_framed(t), pairs, t.frames.select(F.col("frame_key").alias("key"), "scale"), SMALL)[1]
+    return _rounded(summary, "mean_ceiling", "mean_floor").withColumn("ratio", F.round("ratio", 4))
 
 
 # --- sinks -----------------------------------------------------------------------------

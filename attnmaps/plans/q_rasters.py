@@ -159,22 +159,30 @@ def _dense(t, helper):
     return raster.to_sparse(raster.dense_by_image(maps, lambda m, row: helper(m), raster.HEATMAP, [])).select("image_key", "y", "x", "v")
 
 
-@query()
+@query(f"""SELECT image_key, CAST(ty + 5 AS INT) AS y, CAST(tx + 5 AS INT) AS x, round(v, 5) AS v FROM mm
+  JOIN (SELECT ty, CAST(floor((ty + 0.5) * {SIDE} / 21) AS INT) AS y FROM range(21) r(ty)) a USING (y) JOIN (SELECT tx, CAST(floor((tx + 0.5) * {SIDE} / 21) AS INT) AS x FROM range(21) r(tx)) b USING (x)""", *BOTH, extra=CLEAN)
 def ras15_nearest_scale(t):
-    return _dense(t, lambda m: dense.nearest_scale(m, 1.5))
+    return _dense(t, lambda m: dense.nearest_scale(m, 1.5)).withColumn("v", F.round("v", 5))
 
 
-@query()
+@query(f"SELECT image_key, y, CAST(x + 4 AS INT) AS x, round(v, 5) AS v FROM mm WHERE x + 4 < {SIDE}", *BOTH, extra=CLEAN)
 def ras16_reproject(t):
     """Every map as seen by a camera that stands two units to the side."""
     k = [[20.0, 0, 16], [0, 20, 16], [0, 0, 1]]
     source, target = np.eye(4), np.eye(4)
     target[0, 3] = 2.0
     depth = np.full((SIDE, SIDE), 10.0)
-    return _dense(t, lambda m: dense.reproject(m, depth, depth, source, target, k, k))
+    return _dense(t, lambda m: dense.reproject(m, depth, depth, source, target, k, k)).withColumn("v", F.round("v", 5))
 
 
-@query()
+@query("""SELECT image_key, unnest(kept) AS sub_id FROM gd WHERE i = last""", *BOTH, extra=f"""{CLEAN},
+nq AS (SELECT cl.image_key, sub_id, row_number() OVER (PARTITION BY cl.image_key ORDER BY ord, sub_id) AS i, count(*) OVER (PARTITION BY cl.image_key) AS last, coalesce(q, 0) AS q
+  FROM cl LEFT JOIN (SELECT image_key, sub_id, sum(n * n) AS q FROM ra GROUP BY ALL) USING (image_key, sub_id)),
+do_ AS (SELECT l.image_key, l.sub_id AS a, r.sub_id AS b, sum(l.n * r.n) AS dot FROM ra l JOIN ra r ON l.image_key = r.image_key AND l.y = r.y AND l.x = r.x AND l.sub_id <> r.sub_id GROUP BY ALL),
+ne AS (SELECT l.image_key, r.i, r.sub_id, list(l.sub_id) FILTER (l.i < r.i AND l.q + r.q - 2 * coalesce(dot, 0) < 2.25) AS near, any_value(r.last) AS last
+  FROM nq r JOIN nq l USING (image_key) LEFT JOIN do_ ON do_.image_key = r.image_key AND do_.a = l.sub_id AND do_.b = r.sub_id GROUP BY ALL),
+gd AS (SELECT image_key, i, last, [sub_id] AS kept FROM ne WHERE i = 1
+  UNION ALL SELECT ne.image_key, ne.i, ne.last, CASE WHEN list_has_any(kept, coalesce(near, [])) THEN kept ELSE list_append(kept, ne.sub_id) END FROM gd JOIN ne ON ne.image_key = gd.image_key AND ne.i = gd.i + 1)""", recursive=True)
 def ras17_near_duplicate_maps(t):
     return raster.near_duplicate_maps(cleaned(t), 1.5, SIDE, SIDE)
 
@@ -236,7 +244,13 @@ def met2_auc(t):
     return scored(t, "auc")
 
 
-@query()
+@query("""SELECT image_key, round(sum((v + w) / 2 * 0.05), 6) AS score FROM (
+  SELECT image_key, k, v, lead(v) OVER (PARTITION BY image_key ORDER BY k) AS w FROM (
+    SELECT image_key, k, coalesce(sum(hits / nullif(every, 0) * cum / taken), 0) AS v FROM (
+      SELECT image_key, k, hits, sum(hits) OVER (PARTITION BY image_key, k) AS every, sum(hits) OVER (PARTITION BY image_key, k ORDER BY a DESC) AS cum, sum(n) OVER (PARTITION BY image_key, k ORDER BY a DESC) AS taken
+      FROM (SELECT image_key, k, a, count(*) FILTER (b > k * 0.05) AS hits, count(*) AS n
+        FROM (SELECT image_key, a, (b - min(b) OVER q) / (max(b) OVER q - min(b) OVER q + 1e-8) AS b FROM ha WINDOW q AS (PARTITION BY image_key)), range(1, 20) r(k) GROUP BY ALL))
+    GROUP BY image_key, k)) WHERE w IS NOT NULL GROUP BY image_key""", *BOTH, extra=HALVES)
 def met3_average_precision(t):
     return scored(t, "map")
 
@@ -266,12 +280,16 @@ def met8_emd(t):
     return scored(t, "emd")
 
 
-@query()
+@query("""SELECT image_key, round(-sum(p * ln(q)), 6) AS score FROM (
+  SELECT image_key, (b + 1e-12) / sum(b + 1e-12) OVER w AS p, (a + 1e-12) / sum(a + 1e-12) OVER w AS q FROM ha WINDOW w AS (PARTITION BY image_key)) GROUP BY image_key""", *BOTH, extra=HALVES)
 def met9_crossentropy(t):
     return scored(t, "crossentropy")
 
 
-@query()
+@query(f"""SELECT image_key, CASE WHEN var_pop(u) > 0 AND var_pop(w) > 0 THEN round(corr(u, w), 6) END AS score FROM (
+  SELECT l.image_key, l.y, r.y AS z, sum(l.a * r.a) AS u, sum(l.b * r.b) AS w FROM rn l JOIN rn r ON l.image_key = r.image_key AND l.x = r.x AND l.y < r.y GROUP BY ALL) GROUP BY image_key""", *BOTH, extra=f"""{HALVES},
+rm AS (SELECT image_key, i // {SIDE} AS y, i % {SIDE} AS x, a - avg(a) OVER q AS a, b - avg(b) OVER q AS b FROM ha WINDOW q AS (PARTITION BY image_key, i // {SIDE})),
+rn AS (SELECT image_key, y, x, coalesce(a / nullif(sqrt(sum(a * a) OVER q), 0), 0) AS a, coalesce(b / nullif(sqrt(sum(b * b) OVER q), 0), 0) AS b FROM rm WINDOW q AS (PARTITION BY image_key, y))""")
 def met9_rsa(t):
     return scored(t, "rsa")
 
