@@ -52,22 +52,29 @@ class Agreement:
     min_clicks: int = 1
 
 
-def stacks(subs: DataFrame, p: Agreement) -> tuple[DataFrame, DataFrame]:
-    """Maps (image_key, level, sub_id, ord, kernel) and their pixels (image_key, level, sub_id, y, x, n)."""
+def stacks(subs: DataFrame, p: Agreement) -> DataFrame:
+    """(image_key, level, sub_id, ord, kernel, px): every map with its pixels as an array of (y, x, n).
+
+    Submissions without a click within bounds have an empty map.
+    """
     kernel = F.col("kernel").cast("int") if "kernel" in subs.columns else F.lit(p.kernel)
-    maps = subs.select("image_key", "sub_id", F.col("ord").cast("long").alias("ord"), kernel.alias("kernel"))
+    rows = subs.select("image_key", "sub_id", F.col("ord").cast("long").alias("ord"), kernel.alias("kernel"), "clicks")
+    own = ["image_key", "sub_id", "ord", "kernel"]
+    px = F.collect_list(F.when(F.col("y").isNotNull(), F.struct("y", "x", "n"))).alias("px")
     if p.levels == 1:
-        return maps.withColumn("level", F.lit(0)), raster.rasterise(subs, p.h, p.w).withColumn("level", F.lit(0))
-    prefixes = raster.cumulative_maps(subs, raster.image_bins(subs, p.levels), p.h, p.w, p.min_clicks, average=False)
+        inside = F.when(F.col("c.x").between(0, p.w - 1) & F.col("c.y").between(0, p.h - 1), F.col("c"))
+        cells = rows.select(*own, F.explode_outer("clicks").alias("c")).select(*own, inside.alias("c")).select(*own, "c.y", "c.x")
+        counts = cells.groupBy(*own, "y", "x").agg(F.least(F.count(F.lit(1)), F.lit(raster.MAX_COUNT)).alias("n"))
+        return counts.groupBy(*own).agg(px).withColumn("level", F.lit(0))
+    prefixes = raster.cumulative_maps(rows, raster.image_bins(rows, p.levels), p.h, p.w, p.min_clicks, average=False)
     pixels = raster.align_levels(prefixes).withColumnRenamed("v", "n")
     if p.metric != "auc":
         pixels = pixels.where(F.col("level") == p.levels - 1)
-    levels = pixels.select("image_key", "level", "sub_id").distinct()
-    return maps.join(levels, ["image_key", "sub_id"]), pixels
+    return pixels.groupBy("image_key", "level", "sub_id").agg(px).join(rows.select(*own), ["image_key", "sub_id"])
 
 
 def half_weights(maps: DataFrame, p: Agreement, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, image_key, level, iteration, half, sub_id, weight, size, kernel) of every map in a half.
+    """(by, image_key, level, iteration, half, sub_id, px, weight, size, kernel) of every map in a half.
 
     The maps of an image are put in the order of a hash. The first half, rounded down, is
     the test half, the rest the reference half; each gets as many redraws of its own maps as the
@@ -82,31 +89,30 @@ def half_weights(maps: DataFrame, p: Agreement, by: tuple[str, ...] = ()) -> Dat
     rank = F.row_number().over(own.orderBy(F.md5(text(F.col("sub_id").cast("string"))), "sub_id")).cast("long") - 1
     rows = rows.withColumns({"r": rank, "n": F.count(F.lit(1)).over(own)}).withColumn("h", F.floor(F.col("n") / 2))
     r, n, h = F.col("r"), F.col("n"), F.col("h")
-    slot = lambda at, sub, w: F.struct(at.alias("rank"), sub.alias("sub_id"), F.lit(w).alias("w"))
-    nobody = F.lit(None).cast("long")
+    slot = lambda at, sub, w: F.struct(at.alias("rank"), sub.alias("map"), F.lit(w).alias("w"))
+    map_of, nobody = F.struct("sub_id", "px", "kernel"), F.lit(None).cast(rows.select(F.struct("sub_id", "px", "kernel")).dtypes[0][1])
     first, redrawn = draw(r, "test", h), draw(r, "again", 2 * h)
-    slots = [F.when((r < h) & F.lit(p.redraw_test), slot(r, F.col("sub_id"), 0)).otherwise(slot(r, F.col("sub_id"), 1)), F.when(r < h, slot(h + draw(r, "ref", n - h), nobody, 1))]
+    slots = [F.when((r < h) & F.lit(p.redraw_test), slot(r, map_of, 0)).otherwise(slot(r, map_of, 1)), F.when(r < h, slot(h + draw(r, "ref", n - h), nobody, 1))]
     if p.redraw_test:
         slots.append(F.when(h > 0, slot(F.when(redrawn < h, redrawn).otherwise(draw(redrawn - h, "test", h)), nobody, 1)))
     else:
         slots.append(F.when(r < h, slot(first, nobody, 1)))
-    drawn = rows.select(*keys, "n", "h", "kernel", F.explode(F.array(*slots)).alias("x")).where("x is not null")
-    found = drawn.groupBy(*keys, "x.rank").agg(F.max("x.sub_id").alias("sub_id"), F.sum("x.w").alias("weight"), F.max("n").alias("n"), F.max("h").alias("h"), F.max("kernel").alias("kernel"))
+    drawn = rows.select(*keys, "n", "h", F.explode(F.array(*slots)).alias("x")).where("x is not null")
+    # a place has one map and any number of redraws
+    found = drawn.groupBy(*keys, "x.rank").agg(F.first("x.map", ignorenulls=True).alias("map"), F.sum("x.w").alias("weight"), F.max("n").alias("n"), F.max("h").alias("h"))
     test = F.col("rank") < F.col("h")
     size = F.when(test & F.lit(not p.redraw_test), 2 * F.col("h")).otherwise(F.col("n"))
-    return found.select(*keys, F.when(test, "test").otherwise("ref").alias("half"), "sub_id", "weight", size.alias("size"), "kernel")
+    return found.select(*keys, F.when(test, "test").otherwise("ref").alias("half"), "map.sub_id", "map.px", "weight", size.alias("size"), "map.kernel")
 
 
-def half_maps(subs: DataFrame, p: Agreement, maps: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+def half_maps(maps: DataFrame, p: Agreement, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, image_key, level, iteration, half, y, x, total, size, kernel): summed clicks of each half by pixel.
 
     A half without clicks within bounds has a row without a place, so that it is known.
     """
-    every, pixels = stacks(subs, p)
-    weights = half_weights(every if maps is None else maps, p, by)
-    rows = weights.join(pixels, ["image_key", "level", "sub_id"], "left")
-    keys = [*by, "image_key", "level", "iteration", "half", "y", "x"]
-    return rows.groupBy(*keys).agg(F.sum(F.col("weight") * F.coalesce("n", F.lit(0))).alias("total"), F.max("size").alias("size"), F.max("kernel").alias("kernel"))
+    keys = [*by, "image_key", "level", "iteration", "half"]
+    rows = half_weights(maps, p, by).select(*keys, "weight", "size", "kernel", F.explode_outer("px").alias("c"))
+    return rows.groupBy(*keys, "c.y", "c.x").agg(F.sum(F.col("weight") * F.coalesce("c.n", F.lit(0))).alias("total"), F.max("size").alias("size"), F.max("kernel").alias("kernel"))
 
 
 def _cropped(m: np.ndarray, p: Agreement, wider: bool = False) -> np.ndarray:
@@ -153,42 +159,50 @@ def _scores(halves: DataFrame, p: Agreement, by: tuple[str, ...]) -> DataFrame:
     return halves.groupBy(*by, "image_key", "kind", "level", chunk.alias("chunk")).applyInPandas(run, schema)
 
 
-def _floored(halves: DataFrame, images: DataFrame, p: Agreement) -> DataFrame:
-    """Every image's test halves, and the reference halves of its partner under its own key."""
-    partners = random_partner(images, p.seed).select(F.col("image_key").alias("_for"), F.col("partner").alias("image_key"))
-    test = halves.where("half = 'test'").join(partners.select(F.col("_for").alias("image_key")), "image_key", "left_semi")
-    ref = halves.where("half = 'ref'").join(partners, "image_key").drop("image_key").withColumnRenamed("_for", "image_key")
-    return test.unionByName(ref).withColumn("kind", F.lit("floor"))
+def _compared(halves: DataFrame, images: DataFrame, p: Agreement, kinds: tuple[str, ...]) -> DataFrame:
+    """Half maps with the kind and the image of every score that they take part in.
+
+    A ceiling takes both halves of an image, a floor an image's test half and the reference
+    half of its partner, level by level. Halves are made once and handed on from there.
+    """
+    key = F.col("image_key")
+    uses = [F.array(F.struct(F.lit("ceiling").alias("kind"), key.alias("image_key")))] if "ceiling" in kinds else []
+    if "floor" in kinds:
+        partners = random_partner(images, p.seed)
+        both = partners.select("image_key", F.lit(None).cast("string").alias("of")).unionAll(partners.select(F.col("partner").alias("image_key"), F.col("image_key").alias("of")))
+        asked = both.groupBy("image_key").agg(F.collect_list("of").alias("of"))  # few images share a partner
+        halves = halves.join(asked, "image_key", "left")
+        floor_of = lambda k: F.struct(F.lit("floor").alias("kind"), k.alias("image_key"))
+        none = F.array().cast("array<struct<kind:string,image_key:string>>")
+        uses.append(F.when(F.col("of").isNull(), none).when(F.col("half") == "test", F.array(floor_of(key))).otherwise(F.transform("of", floor_of)))
+    rest = [c for c in halves.columns if c not in ("image_key", "of")]
+    return halves.select(*rest, F.explode(F.concat(*uses)).alias("_use")).select(*rest, "_use.kind", "_use.image_key")
 
 
 def split_half(subs: DataFrame, p: Agreement) -> DataFrame:
     """(image_key, level, "ceiling", iteration, score): agreement of random halves of an image's maps."""
-    return _scores(half_maps(subs, p).withColumn("kind", F.lit("ceiling")), p, ())
+    return _scores(_compared(half_maps(stacks(subs, p), p), subs, p, ("ceiling",)), p, ())
 
 
 def floor(subs: DataFrame, p: Agreement) -> DataFrame:
     """(image_key, level, "floor", iteration, score): test half against a half of another image, level by level."""
-    return _scores(_floored(half_maps(subs, p), subs, p), p, ())
+    return _scores(_compared(half_maps(stacks(subs, p), p), subs, p, ("floor",)), p, ())
 
 
 def ceiling_floor(subs: DataFrame, p: Agreement) -> DataFrame:
     """Both of the above from the same halves."""
-    halves = half_maps(subs, p)
-    return _scores(halves.withColumn("kind", F.lit("ceiling")).unionByName(_floored(halves, subs, p)), p, ())
+    return _scores(_compared(half_maps(stacks(subs, p), p), subs, p, ("ceiling", "floor")), p, ())
 
 
 def subject_sweep(subs: DataFrame, caps: list[int], p: Agreement) -> DataFrame:
     """(cap, image_key, level, kind, iteration, score) for every cap on subjects, ceiling and floor.
 
-    One job: an image's map takes part in every cap that its place in file order is within;
-    pixels are the same for all caps.
+    One job: an image's map takes part in every cap that its place in file order is within.
     """
-    maps, _ = stacks(subs, p)
     rank = F.row_number().over(Window.partitionBy("image_key", "level").orderBy("ord", "sub_id"))
     every = F.explode(F.filter(F.array(*map(F.lit, caps)), lambda c: c >= F.col("_rank")))
-    capped = maps.withColumn("_rank", rank).withColumn("cap", every).drop("_rank")
-    halves = half_maps(subs, p, capped, ("cap",))
-    return _scores(halves.withColumn("kind", F.lit("ceiling")).unionByName(_floored(halves, subs, p)), p, ("cap",))
+    capped = stacks(subs, p).withColumn("_rank", rank).withColumn("cap", every).drop("_rank")
+    return _scores(_compared(half_maps(capped, p, ("cap",)), subs, p, ("ceiling", "floor")), p, ("cap",))
 
 
 _CONSTANCY = "image_key string, axis string, diff int, level int, kind string, iteration int, score double"
@@ -208,10 +222,10 @@ def _constancy(subs: DataFrame, pairs: DataFrame, meta: DataFrame, axis: str, p:
     ``transform(map, own, other)`` maps the test frame's mean map onto the target frame. What
     it needs of the two frames comes as one row a pair; it never travels with clicks.
     """
-    halves, lots, keys = half_maps(subs, p), frame_lots(pairs, p.seed), ["key", "diff", "kind"]
-    shown = ["level", "iteration", "half", "y", "x", "total", "size", "kernel"]
-    test = lots.join(halves.where("half = 'test'").withColumnRenamed("image_key", "key"), "key").select(*keys, *shown)
-    ref = lots.join(halves.where("half = 'ref'").withColumnRenamed("image_key", "target_key"), "target_key").select(*keys, *shown)
+    halves, lots, keys = half_maps(stacks(subs, p), p), frame_lots(pairs, p.seed), ["key", "diff", "kind"]
+    role = lambda half, key: lots.select(F.col(key).alias("image_key"), F.lit(half).alias("half"), *keys)
+    roles = role("test", "key").unionAll(role("ref", "target_key"))
+    rows = halves.join(roles, ["image_key", "half"]).select(*keys, "level", "iteration", "half", "y", "x", "total", "size", "kernel")
     extra = [c for c in meta.columns if c != "key"]
     own, other = (meta.select(F.col("key").alias(k), F.struct(*extra).alias(n)) for k, n in (("key", "own"), ("target_key", "other")))
     moved = lots.where("kind = 'ceiling' and diff <> 0").join(own, "key").join(other, "target_key").select(*keys, "own", "other")
@@ -229,7 +243,7 @@ def _constancy(subs: DataFrame, pairs: DataFrame, meta: DataFrame, axis: str, p:
         return out.assign(image_key=name, axis=axis, diff=diff, kind=kind)[["image_key", "axis", "diff", "level", "kind", "iteration", "score"]]
 
     apart = moved.select(*[F.col(c).alias(c) for c in moved.columns])  # column ids of its own, for the cogroup
-    return test.unionByName(ref).groupBy(*keys).cogroup(apart.groupBy(*keys)).applyInPandas(run, _CONSTANCY)
+    return rows.groupBy(*keys).cogroup(apart.groupBy(*keys)).applyInPandas(run, _CONSTANCY)
 
 
 def scale_constancy(subs: DataFrame, pairs: DataFrame, scales: DataFrame, p: Agreement) -> DataFrame:
