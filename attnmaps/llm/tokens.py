@@ -14,7 +14,7 @@ import numpy as np
 #: Ids leave the encoder in this form.
 ID_TYPE = np.dtype("<u4")
 #: Entries after which a worker's cache starts anew (about 200 bytes each).
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_000_000
 
 
 def _byte_letters() -> list[str]:
@@ -62,13 +62,16 @@ class PieceEncoder(dict):
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
 
+    def _ids(self, piece: str) -> bytes:
+        shown = piece.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.model.tokenize(shown)], dtype=ID_TYPE).tobytes()
+
     def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
             if len(self.pieces) >= CACHE_ENTRIES:
                 self.pieces.clear()
-            shown = piece.encode().decode("latin-1").translate(self.letters)
-            ids = np.array([t.id for t in self.model.tokenize(shown)], dtype=ID_TYPE).tobytes()
+            ids = self._ids(piece)
             if len(piece) <= 64:
                 self.pieces[piece] = ids
         return ids
@@ -76,10 +79,10 @@ class PieceEncoder(dict):
     def __missing__(self, part: str) -> bytes:
         if not part or part[0].isspace():
             raise LookupError(part)
-        if part.isalpha():
-            return self._own(part, self._piece(" " + part))
+        if part.isalpha():  # kept here, and not among the pieces as well
+            return self._own(part, self._ids(" " + part))
         if part[-1] in ".,;:" and part[:-1].isalpha():
-            return self._own(part, self._piece(" " + part[:-1]) + self._piece(part[-1]))
+            return self._own(part, self[part[:-1]] + self._piece(part[-1]))
         return self._own(part, b"".join(map(self._piece, self.split(" " + part))))
 
     def _own(self, part: str, ids: bytes) -> bytes:
