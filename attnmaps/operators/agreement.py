@@ -121,26 +121,29 @@ def _cropped(m: np.ndarray, p: Agreement, wider: bool = False) -> np.ndarray:
     return m
 
 
-def _mean_map(rows: pd.DataFrame, p: Agreement) -> np.ndarray | None:
-    """The mean map of one half's rows; none if the half is empty."""
-    if not len(rows):
-        return None
-    out, on = np.zeros((p.h, p.w)), rows["y"].notna().to_numpy()
-    out[rows["y"].to_numpy()[on].astype(int), rows["x"].to_numpy()[on].astype(int)] = rows["total"].to_numpy()[on]
-    return out / rows["size"].iloc[0]
-
-
 def _scored(pdf: pd.DataFrame, p: Agreement, move: Callable | None = None, wider: bool = False) -> Iterator[tuple[int, int, float]]:
     """(level, iteration, score) of the halves in ``pdf``; ``move`` changes the test map before the blur."""
-    for (level, iteration), own in pdf.groupby(["level", "iteration"], sort=True):
-        parts = [own[own["half"] == x] for x in ("test", "ref")]
-        test, ref = (_mean_map(x, p) for x in parts)
-        if test is None or ref is None:
-            yield level, iteration, float("nan")
-            continue
-        test = move(test) if move else test
-        maps = [np.round(_cropped(dense.blur(m, int(x["kernel"].iloc[0])), p, wider), PLACES) for m, x in zip((test, ref), parts, strict=True)]
-        yield level, iteration, score(p.metric, *maps)
+    test = (pdf["half"] == "test").to_numpy()
+    codes, first, at = np.unique(np.stack([pdf["level"].to_numpy(), pdf["iteration"].to_numpy(), ~test], axis=1).astype(np.int64), axis=0, return_index=True, return_inverse=True)
+    at, on = at.ravel(), pdf["y"].notna().to_numpy()
+    y, x, total = pdf["y"].to_numpy()[on].astype(int), pdf["x"].to_numpy()[on].astype(int), pdf["total"].to_numpy()[on]
+    sizes, kernels = pdf["size"].to_numpy()[first], pdf["kernel"].to_numpy()[first].astype(int)
+    ready: dict[tuple[int, int, int], np.ndarray] = {}
+    for start in range(0, len(codes), 2 * CHUNK):
+        own = slice(start, start + 2 * CHUNK)
+        here = (at[on] >= start) & (at[on] < start + 2 * CHUNK)
+        maps = np.zeros((len(codes[own]), p.h, p.w))
+        maps[at[on][here] - start, y[here], x[here]] = total[here]
+        maps /= sizes[own][:, None, None]
+        for k in np.flatnonzero(codes[own][:, 2] == 0) if move else []:
+            maps[k] = move(maps[k])
+        for size in np.unique(kernels[own]):
+            some = np.flatnonzero(kernels[own] == size)
+            done = np.round(_cropped(dense.blur(maps[some], int(size)), p, wider), PLACES)
+            ready.update({tuple(codes[start + k].tolist()): m for k, m in zip(some, done, strict=True)})
+    for level, iteration in dict.fromkeys((lv, it) for lv, it, _ in sorted(ready)):
+        pair = [ready.get((level, iteration, k)) for k in (0, 1)]
+        yield level, iteration, float("nan") if any(m is None for m in pair) else score(p.metric, *pair)
 
 
 def _scores(halves: DataFrame, p: Agreement, by: tuple[str, ...]) -> DataFrame:
