@@ -6,10 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attnmaps.llm import chat, decontam, langid, linededup, packing, pii, quality, simhash, token_store, urlfilter
+from attnmaps.llm import audit, bpe, chat, decontam, langid, linededup, packing, pii, quality, simhash, token_store, urlfilter, variants
 from attnmaps.llm.common import new_folder
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -189,6 +189,84 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(found).withColumnRenamed("id", "doc_id")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode every document by a rank file and decode the ids, with digests of both."""
+    path = public_tokenizers.path(RANKS)
+    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return found.select(
+        F.col("id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "n_split",
+    )
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with its near words, its frequent form and the end of its chain of forms."""
+    return variants.variants(variants.counted_words(table(spark, sf_dir, "documents")))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents WHERE text IS NOT NULL),
+u AS (SELECT run, doc_id, count(*) AS times FROM (SELECT doc_id, unnest(regexp_extract_all(t, '[a-z\x{C0}-\x{FF}]{5,}')) AS run FROM d) GROUP BY ALL),
+tb AS (SELECT list(c ORDER BY i) AS tab FROM (
+  SELECT i, list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(0, 256) r(i))),
+h AS (SELECT run, times, xor(list_reduce([CAST('0x' || x AS BIGINT) FOR x IN regexp_extract_all(hex(encode(doc_id || ':' || run)), '..')], lambda c, b: xor(c >> 8, tab[1 + xor(c & 255, b)]), 4294967295), 4294967295) AS h FROM u, tb),
+w AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, times FROM h),
+v AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+x AS (SELECT DISTINCT word, n, substr(word, 1, CAST(i AS INT) - 1) || substr(word, CAST(i AS INT) + 1) AS cut FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM v)),
+y AS (SELECT word, n, i, substr(word, 1, CAST(i AS INT) - 1) || substr(word, CAST(i AS INT) + 1) AS cut FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (
+  SELECT a.word, b.word AS near, b.n FROM y a JOIN y b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM x a JOIN v b ON a.cut = b.word
+  UNION SELECT b.word, a.word, a.n FROM x a JOIN v b ON a.cut = b.word),
+g AS (SELECT word, count(*) AS n_near, max(n) AS best_n FROM p GROUP BY word),
+f AS (
+  SELECT v.word, v.n, coalesce(g.n_near, 0) AS n_near, CASE WHEN best_n >= 2 * v.n THEN best_n END AS form_n,
+    CASE WHEN best_n >= 2 * v.n THEN (SELECT min(near) FROM p WHERE p.word = v.word AND p.n = g.best_n) END AS form
+  FROM v LEFT JOIN g USING (word)),
+c AS (
+  SELECT word, word AS root, 0 AS depth FROM f
+  UNION ALL SELECT c.word, f.form, depth + 1 FROM c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, r.root
+FROM f JOIN (SELECT word, arg_max(root, depth) AS root FROM c GROUP BY word) r USING (word)
+"""
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each language's documents, in all orders."""
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+b AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS capitals, min(doc_id) OVER (PARTITION BY text) AS first FROM t),
+q AS (
+  SELECT part, len(words) < 100 AS a, 100 * len(list_distinct(words)) < 80 * len(words) AS b, 100 * capitals > 10 * length(text) AS c,
+    regexp_matches(text, '[#$%&*|]') AS d, doc_id > first AS e, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic
+  FROM b LEFT JOIN labels USING (doc_id)),
+m AS (
+  SELECT part, concat(CASE WHEN a THEN 'A' ELSE '' END, CASE WHEN b THEN 'B' ELSE '' END, CASE WHEN c THEN 'C' ELSE '' END, CASE WHEN d THEN 'D' ELSE '' END, CASE WHEN e THEN 'E' ELSE '' END) AS fails,
+    count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM q GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT v.x || w.x || y.x || z.x || k.x AS filter_order FROM l v JOIN l w ON w.x <> v.x JOIN l y ON y.x NOT IN (v.x, w.x) JOIN l z ON z.x NOT IN (v.x, w.x, y.x) JOIN l k ON k.x NOT IN (v.x, w.x, y.x, z.x)),
+s AS (SELECT filter_order, CAST(unnest(range(1, 6)) AS INT) AS step FROM o),
+r AS (
+  SELECT part, filter_order, step, filter_order[step] AS x,
+    CAST(coalesce(sum(n) FILTER (len(translate(filter_order[1:step], fails, '')) = step), 0) AS BIGINT) AS kept,
+    CAST(coalesce(sum(n) FILTER (len(translate(filter_order[1:step - 1], fails, '')) = step - 1 AND contains(fails, filter_order[step])), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (len(translate(filter_order[1:step - 1], fails, '')) < step - 1 AND contains(fails, filter_order[step])), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(n) FILTER (fails = filter_order[step]), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(good) FILTER (len(translate(filter_order[1:step - 1], fails, '')) = step - 1 AND contains(fails, filter_order[step])), 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(sum(toxic) FILTER (len(translate(filter_order[1:step - 1], fails, '')) = step - 1 AND contains(fails, filter_order[step])), 0) AS BIGINT) AS toxic_lost
+  FROM m, s GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM r
+"""
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_files": op2_token_files,
@@ -200,6 +278,9 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_personal_data": op9_personal_data,
     "op10_decontamination": op10_decontamination,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op4_url_filter": OP4_SQL, "op5_chat_format": OP5_SQL}
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op4_url_filter": OP4_SQL, "op5_chat_format": OP5_SQL, "op12_spelling_variants": OP12_SQL, "op13_filter_audit": OP13_SQL}
