@@ -1,21 +1,25 @@
 """How much people agree: split-half ceilings, floors and constancy.
 
-An iteration is a table of weights: how often each submission is in the test half or the
-reference half of an image. Weights times sparse rasters, summed by pixel, are the two mean maps, so
-that no task ever holds an image's submissions; a numpy helper gets the summed maps of a few
-iterations, blurs and scores them. Blur and rescaling are linear, so doing them after the mean changes
-nothing. Draws are hashes of (seed, image, level, iteration), so partitioning changes nothing. A
-score that isn't defined (an empty half, a constant map) is NaN or null.
+An iteration is a draw of weights: how often each submission is in the test half or the reference
+half of an image. Draws are made on a narrow table without pixels. Then clicks and the weights
+of all iterations meet in one exchange by image, and a task reads its images one after the other
+and adds weights to the pixels that were clicked, so it holds the summed maps of one
+image and level, never its submissions. Ceilings are scored on the spot; halves that must meet those of
+another image travel as summed maps. Images of very many submissions are dealt out in
+lots, whose summed maps are added. Blur and rescaling are linear, so doing them after the
+mean changes nothing. Draws are hashes of (seed, image, level, iteration), so partitioning changes
+nothing. A score that isn't defined (an empty half, a constant map) is NaN or null.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attnmaps.functions import dense
@@ -24,8 +28,12 @@ from attnmaps.functions.paths import hashed_number
 from attnmaps.operators import raster
 from attnmaps.operators.joins import random_partner
 
-#: Iterations whose summed maps meet in one helper call.
+#: Iterations whose draws, and whose summed maps, are one row.
 CHUNK = 10
+#: Submissions of an image from which they are dealt out in lots, and the most lots.
+LOT, LOTS = 50_000, 64
+#: Clicks that are gathered before they are added to an image's maps.
+GATHER = 1 << 14
 #: Places to which blurred maps are rounded, so that equal pixels have equal ranks.
 PLACES = 10
 
@@ -53,66 +61,124 @@ class Agreement:
 
 
 def stacks(subs: DataFrame, p: Agreement) -> DataFrame:
-    """(image_key, level, sub_id, ord, kernel, px): every map with its pixels as an array of (y, x, n).
+    """(image_key, level, sub_id, ord, kernel, cells): every map as the cells y * w + x of its clicks.
 
-    Submissions without a click within bounds have an empty map.
+    Each row comes from one submission alone. With one level, submissions without a click
+    within bounds have an empty map; with more, those with fewer than ``min_clicks`` clicks
+    within bounds have none at a level.
     """
     kernel = F.col("kernel").cast("int") if "kernel" in subs.columns else F.lit(p.kernel)
-    rows = subs.select("image_key", "sub_id", F.col("ord").cast("long").alias("ord"), kernel.alias("kernel"), "clicks")
-    own = ["image_key", "sub_id", "ord", "kernel"]
-    px = F.collect_list(F.when(F.col("y").isNotNull(), F.struct("y", "x", "n"))).alias("px")
+    inside = lambda c: c["x"].between(0, p.w - 1) & c["y"].between(0, p.h - 1)
+    cells = lambda clicks: F.transform(F.filter(clicks, inside), lambda c: (c["y"] * p.w + c["x"]).cast("int"))
+    own = ["image_key", "sub_id", F.col("ord").cast("long").alias("ord"), kernel.alias("kernel")]
     if p.levels == 1:
-        inside = F.when(F.col("c.x").between(0, p.w - 1) & F.col("c.y").between(0, p.h - 1), F.col("c"))
-        cells = rows.select(*own, F.explode_outer("clicks").alias("c")).select(*own, inside.alias("c")).select(*own, "c.y", "c.x")
-        counts = cells.groupBy(*own, "y", "x").agg(F.least(F.count(F.lit(1)), F.lit(raster.MAX_COUNT)).alias("n"))
-        return counts.groupBy(*own).agg(px).withColumn("level", F.lit(0))
-    prefixes = raster.cumulative_maps(rows, raster.image_bins(rows, p.levels), p.h, p.w, p.min_clicks, average=False)
-    pixels = raster.align_levels(prefixes).withColumnRenamed("v", "n")
-    if p.metric != "auc":
-        pixels = pixels.where(F.col("level") == p.levels - 1)
-    return pixels.groupBy("image_key", "level", "sub_id").agg(px).join(rows.select(*own), ["image_key", "sub_id"])
+        return subs.select(*own, F.lit(0).alias("level"), cells(F.col("clicks")).alias("cells"))
+    rows = subs.join(raster.image_bins(subs, p.levels), "image_key").select(*own, "clicks", F.posexplode("bins").alias("level", "cut"))
+    prefix = F.slice("clicks", F.lit(1), F.greatest(F.lit(0), F.ceil("cut").cast("int")))
+    return rows.select("image_key", "sub_id", "ord", "kernel", "level", cells(prefix).alias("cells")).where(F.size("cells") >= max(1, p.min_clicks))
+
+
+def members(subs: DataFrame, p: Agreement) -> DataFrame:
+    """(image_key, level, sub_id, ord): the maps that take part, without their pixels.
+
+    All levels of an image are cut to the least number of maps of any, at least two; metrics
+    other than "auc" look at the last level only.
+    """
+    maps = stacks(subs, p).select("image_key", "level", "sub_id", "ord")
+    if p.levels == 1:
+        return maps
+    kept = raster.align_levels(maps)
+    return kept if p.metric == "auc" else kept.where(F.col("level") == p.levels - 1)
 
 
 def half_weights(maps: DataFrame, p: Agreement, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, image_key, level, iteration, half, sub_id, px, weight, size, kernel) of every map in a half.
+    """(by, image_key, level, chunk, iteration, half, sub_id, weight, n, size) of every map in a half.
 
     The maps of an image are put in the order of a hash. The first half, rounded down, is
     the test half, the rest the reference half; each gets as many redraws of its own maps as the
     first half has, and the test half is on demand redrawn to the number of all maps. The mean
     map is the sum of weights times maps over the size. Maps that no draw takes have weight 0.
+    Maps travel once for each ten iterations.
     """
-    keys = [*by, "image_key", "level", "iteration"]
+    keys = [*by, "image_key", "level", "chunk", "iteration"]
     text = lambda *more: F.concat_ws("|", F.lit(p.seed).cast("string"), F.col("image_key"), F.col("level").cast("string"), F.col("iteration").cast("string"), *more)
     draw = lambda k, tag, n: F.pmod(hashed_number(text(k.cast("string"), F.lit(tag))), F.greatest(n, F.lit(1)).cast("long"))
     own = Window.partitionBy(*keys)
-    rows = maps.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(p.iterations - 1))))
+    chunks = F.explode(F.sequence(F.lit(0), F.lit((p.iterations - 1) // CHUNK)))
+    rows = maps.select(*by, "image_key", "level", "sub_id", chunks.alias("chunk")).repartition(*by, "image_key", "level", "chunk")
+    first_of = F.col("chunk") * CHUNK
+    rows = rows.withColumn("iteration", F.explode(F.sequence(first_of, F.least(first_of + CHUNK, F.lit(p.iterations)) - 1)))
     rank = F.row_number().over(own.orderBy(F.md5(text(F.col("sub_id").cast("string"))), "sub_id")).cast("long") - 1
     rows = rows.withColumns({"r": rank, "n": F.count(F.lit(1)).over(own)}).withColumn("h", F.floor(F.col("n") / 2))
     r, n, h = F.col("r"), F.col("n"), F.col("h")
-    slot = lambda at, sub, w: F.struct(at.alias("rank"), sub.alias("map"), F.lit(w).alias("w"))
-    map_of, nobody = F.struct("sub_id", "px", "kernel"), F.lit(None).cast(rows.select(F.struct("sub_id", "px", "kernel")).dtypes[0][1])
+    nobody = F.lit(None).cast("long")
+    slot = lambda at, sub, w: F.struct(at.alias("rank"), sub.cast("long").alias("map"), F.lit(w).alias("w"))
     first, redrawn = draw(r, "test", h), draw(r, "again", 2 * h)
-    slots = [F.when((r < h) & F.lit(p.redraw_test), slot(r, map_of, 0)).otherwise(slot(r, map_of, 1)), F.when(r < h, slot(h + draw(r, "ref", n - h), nobody, 1))]
+    mine = F.col("sub_id")
+    slots = [F.when((r < h) & F.lit(p.redraw_test), slot(r, mine, 0)).otherwise(slot(r, mine, 1)), F.when(r < h, slot(h + draw(r, "ref", n - h), nobody, 1))]
     if p.redraw_test:
         slots.append(F.when(h > 0, slot(F.when(redrawn < h, redrawn).otherwise(draw(redrawn - h, "test", h)), nobody, 1)))
     else:
         slots.append(F.when(r < h, slot(first, nobody, 1)))
     drawn = rows.select(*keys, "n", "h", F.explode(F.array(*slots)).alias("x")).where("x is not null")
     # a place has one map and any number of redraws
-    found = drawn.groupBy(*keys, "x.rank").agg(F.first("x.map", ignorenulls=True).alias("map"), F.sum("x.w").alias("weight"), F.max("n").alias("n"), F.max("h").alias("h"))
+    found = drawn.groupBy(*keys, "x.rank").agg(F.first("x.map", ignorenulls=True).alias("sub_id"), F.sum("x.w").alias("weight"), F.max("n").alias("n"), F.max("h").alias("h"))
     test = F.col("rank") < F.col("h")
-    size = F.when(test & F.lit(not p.redraw_test), 2 * F.col("h")).otherwise(F.col("n"))
-    return found.select(*keys, F.when(test, "test").otherwise("ref").alias("half"), "map.sub_id", "map.px", "weight", size.alias("size"), "map.kernel")
+    return found.select(*keys, F.when(test, "test").otherwise("ref").alias("half"), "sub_id", "weight", "n", _size(p, test).alias("size"))
 
 
-def half_maps(maps: DataFrame, p: Agreement, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, image_key, level, iteration, half, y, x, total, size, kernel): summed clicks of each half by pixel.
+def _size(p: Agreement, test: Column) -> Column:
+    return F.when(test & F.lit(not p.redraw_test), 2 * F.floor(F.col("n") / 2)).otherwise(F.col("n"))
 
-    A half without clicks within bounds has a row without a place, so that it is known.
+
+def _codes(weights: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(by, image_key, level, chunk, sub_id, codes, n): a map's weights in a chunk's iterations.
+
+    A code is twice the weight, and one more in the reference half.
     """
-    keys = [*by, "image_key", "level", "iteration", "half"]
-    rows = half_weights(maps, p, by).select(*keys, "weight", "size", "kernel", F.explode_outer("px").alias("c"))
-    return rows.groupBy(*keys, "c.y", "c.x").agg(F.sum(F.col("weight") * F.coalesce("c.n", F.lit(0))).alias("total"), F.max("size").alias("size"), F.max("kernel").alias("kernel"))
+    code = (2 * F.col("weight") + F.when(F.col("half") == "ref", 1).otherwise(0)).cast("int")
+    codes = F.array_sort(F.collect_list(F.struct("iteration", code.alias("code"))))["code"]  # CHUNK at most
+    return weights.groupBy(*by, "image_key", "level", "chunk", "sub_id").agg(codes.alias("codes"), F.max("n").alias("n"))
+
+
+def lots_of(subs: DataFrame) -> DataFrame:
+    """(image_key, lots) of the images with over ``LOT`` submissions."""
+    counts = subs.groupBy("image_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LOT)
+    return counts.select("image_key", F.least(F.lit(LOTS), F.ceil(F.col("_n") / LOT).cast("int")).alias("lots"))
+
+
+class _Sums:
+    """Weights of all iterations and both halves, summed by cell."""
+
+    def __init__(self, columns: int):
+        self.cells = np.zeros(0, dtype=np.int64)
+        self.totals = np.zeros((0, columns), dtype=np.int64)
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, cells: np.ndarray, weights: np.ndarray) -> None:
+        if len(cells) > raster.MAX_COUNT:
+            cells, counts = np.unique(cells, return_counts=True)
+            cells = np.repeat(cells, np.minimum(counts, raster.MAX_COUNT))
+        self.held.append((cells, weights))
+        self.size += len(cells)
+        if self.size >= GATHER:
+            self.gather()
+
+    def gather(self) -> None:
+        if self.size:
+            cells = np.concatenate([c for c, _ in self.held])
+            weights = np.repeat(np.stack([w for _, w in self.held]), [len(c) for c, _ in self.held], axis=0)
+            order = np.argsort(cells, kind="stable")
+            own, starts = np.unique(cells[order], return_index=True)
+            sums = np.add.reduceat(weights[order], starts, axis=0)
+            every = np.union1d(self.cells, own)
+            if len(every) > len(self.cells):
+                grown = np.zeros((len(every), self.totals.shape[1]), dtype=np.int64)
+                grown[np.searchsorted(every, self.cells)] = self.totals
+                self.cells, self.totals = every, grown
+            self.totals[np.searchsorted(every, own)] += sums
+        self.held, self.size = [], 0
 
 
 def _cropped(m: np.ndarray, p: Agreement, wider: bool = False) -> np.ndarray:
@@ -121,91 +187,204 @@ def _cropped(m: np.ndarray, p: Agreement, wider: bool = False) -> np.ndarray:
     return m
 
 
-def _scored(pdf: pd.DataFrame, p: Agreement, move: Callable | None = None, wider: bool = False) -> Iterator[tuple[int, int, float]]:
-    """(level, iteration, score) of the halves in ``pdf``; ``move`` changes the test map before the blur."""
-    test = (pdf["half"] == "test").to_numpy()
-    codes, first, at = np.unique(np.stack([pdf["level"].to_numpy(), pdf["iteration"].to_numpy(), ~test], axis=1).astype(np.int64), axis=0, return_index=True, return_inverse=True)
-    at, on = at.ravel(), pdf["y"].notna().to_numpy()
-    y, x, total = pdf["y"].to_numpy()[on].astype(int), pdf["x"].to_numpy()[on].astype(int), pdf["total"].to_numpy()[on]
-    sizes, kernels = pdf["size"].to_numpy()[first], pdf["kernel"].to_numpy()[first].astype(int)
-    ready: dict[tuple[int, int, int], np.ndarray] = {}
-    for start in range(0, len(codes), 2 * CHUNK):
-        own = slice(start, start + 2 * CHUNK)
-        here = (at[on] >= start) & (at[on] < start + 2 * CHUNK)
-        maps = np.zeros((len(codes[own]), p.h, p.w))
-        maps[at[on][here] - start, y[here], x[here]] = total[here]
-        maps /= sizes[own][:, None, None]
-        for k in np.flatnonzero(codes[own][:, 2] == 0) if move else []:
-            maps[k] = move(maps[k])
-        for size in np.unique(kernels[own]):
-            some = np.flatnonzero(kernels[own] == size)
-            done = np.round(_cropped(dense.blur(maps[some], int(size)), p, wider), PLACES)
-            ready.update({tuple(codes[start + k].tolist()): m for k, m in zip(some, done, strict=True)})
-    for level, iteration in dict.fromkeys((lv, it) for lv, it, _ in sorted(ready)):
-        pair = [ready.get((level, iteration, k)) for k in (0, 1)]
-        yield level, iteration, float("nan") if any(m is None for m in pair) else score(p.metric, *pair)
-
-
-def _scores(halves: DataFrame, p: Agreement, by: tuple[str, ...]) -> DataFrame:
-    """(by, image_key, level, kind, iteration, score) from half maps with a kind."""
-    kinds = dict(halves.dtypes)
-    schema = ", ".join([*[f"{c} {kinds[c]}" for c in by], "image_key string, level int, kind string, iteration int, score double"])
+def _ready(p: Agreement, totals: np.ndarray, half: str, n: int, kernel: int, move: Callable | None = None, wider: bool = False) -> np.ndarray:
+    """Blurred mean maps, one an iteration, from summed ones (iterations, h * w)."""
+    maps = totals.reshape(-1, p.h, p.w) / (2 * (n // 2) if half == "test" and not p.redraw_test else n)
+    if move is not None and half == "test":
+        maps = np.stack([move(m) for m in maps])
+    return np.round(_cropped(dense.blur(maps, kernel), p, wider), PLACES)
+
+
+def _agree(p: Agreement, test: np.ndarray | None, ref: np.ndarray | None, iterations: int) -> list[float]:
+    if test is None or ref is None:
+        return [float("nan")] * iterations
+    return [score(p.metric, a, b) for a, b in zip(test, ref, strict=True)]
+
+
+def _in_chunk(p: Agreement, chunk: int) -> int:
+    return min(CHUNK, p.iterations - chunk * CHUNK)
+
+
+class _Open:
+    """The image and level whose rows are being read."""
+
+    def __init__(self, p: Agreement, image: str, level: int, kernel: int):
+        self.p, self.image, self.level, self.kernel = p, image, level, kernel
+        self.sums: dict[tuple, _Sums] = {}
+        self.n: dict[tuple, int] = {}
+
+    def add(self, by: tuple, n: int, chunks: list[tuple[int, np.ndarray]], cells: np.ndarray) -> None:
+        if by not in self.sums:
+            self.sums[by], self.n[by] = _Sums(2 * self.p.iterations), n
+        weights = np.zeros(2 * self.p.iterations, dtype=np.int64)
+        for chunk, codes in chunks:
+            at = 2 * (chunk * CHUNK + np.arange(len(codes))) + (codes & 1)
+            weights[at] = codes >> 1
+        self.sums[by].add(cells, weights)
+
+    def rows(self, by: tuple, lots: int, of: list[str] | None, asks: bool, kinds: tuple[str, ...]) -> Iterator[tuple]:
+        """Scores of the ceiling, and halves for where they are wanted."""
+        p, own, n = self.p, self.sums[by], self.n[by]
+        own.gather()
+        there = {"test": n >= 2, "ref": n >= 1}
+        for chunk in range(-(-p.iterations // CHUNK)):
+            size = _in_chunk(p, chunk)
+            part = {h: own.totals[:, 2 * chunk * CHUNK + k : 2 * (chunk * CHUNK + size) : 2] for k, h in enumerate(there)}
+            key = (*by, self.image, self.level)
+            sent = lambda image, kind, h: (*by, image, self.level, kind, chunk, h, own.cells.astype("<i4").tobytes(), np.ascontiguousarray(part[h], dtype="<i8").tobytes(), n, self.kernel, None)  # noqa: E731, B023
+            if "ceiling" in kinds and lots == 1:
+                maps = {}
+                for h in (h for h in there if there[h]):
+                    full = np.zeros((size, p.h * p.w))
+                    full[:, own.cells] = part[h].T
+                    maps[h] = _ready(p, full, h, n, self.kernel)
+                yield (*key, "ceiling", chunk, None, None, None, None, None, _agree(p, maps.get("test"), maps.get("ref"), size))
+            wanted = [("ceiling", self.image, h) for h in there] if "ceiling" in kinds and lots > 1 else []
+            if "floor" in kinds:
+                wanted += [("floor", self.image, "test")] * asks + [("floor", image, "ref") for image in of or []]
+            if not kinds:
+                wanted = [("", self.image, h) for h in there]
+            yield from (sent(image, kind, h) for kind, image, h in wanted if there[h])
+
+
+_META, _WEIGHTS, _PIXELS = 0, 1, 2
+
+
+def half_maps(subs: DataFrame, p: Agreement, by: dict[str, str] | None = None, maps: DataFrame | None = None, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """Summed maps of both halves of every image, or what the kinds of scores make of them.
+
+    Rows are (by, image_key, level, kind, chunk, half, cells, totals, n, kernel, scores): the
+    cells that were clicked and their sums in each of a chunk's iterations, packed as
+    32- and 64-bit integers. An image of many submissions has such a row for each lot. With
+    "ceiling" among ``kinds``, images in one lot have their scores in place of halves; with
+    "floor", a test half stays with its image and a reference half goes to the images whose
+    partner its image is. ``maps`` are the members that take part, which may be in several draws, told
+    apart by the columns ``by`` (name: type).
+    """
+    by = by or {}
+    maps = members(subs, p) if maps is None else maps
+    images = subs.select("image_key").distinct()
+    lots = lots_of(subs)
+    null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    own_lot = F.pmod(F.xxhash64("sub_id"), F.coalesce("lots", F.lit(1))).cast("int").alias("lot")
+    shared = ["image_key", own_lot, F.coalesce("lots", F.lit(1)).alias("lots"), "level", F.col("sub_id").cast("long").alias("sub_id")]
+    codes = _codes(half_weights(maps, p, tuple(by)), tuple(by)).join(lots, "image_key", "left")
+    rows = codes.select(*shared, F.lit(_WEIGHTS).alias("kind"), *by, "chunk", "codes", "n", null("array<int>", "cells"), null("int", "kernel"), null("array<string>", "of"))
+    nothing = [null(t, c) for c, t in by.items()] + [null("int", "chunk"), null("array<int>", "codes"), null("long", "n")]
+    clicked = stacks(subs, p)
+    if p.levels > 1 and p.metric != "auc":
+        clicked = clicked.where(F.col("level") == p.levels - 1)
+    rows = rows.unionByName(clicked.join(lots, "image_key", "left").select(*shared, F.lit(_PIXELS).alias("kind"), *nothing, "cells", "kernel", null("array<string>", "of")))
+    if "floor" in kinds:
+        partners = random_partner(images, p.seed)
+        # null among an image's askers: it asks itself; few images share a partner
+        both = partners.select("image_key", null("string", "of")).unionAll(partners.select(F.col("partner").alias("image_key"), F.col("image_key").alias("of")))
+        asked = both.groupBy("image_key").agg(F.transform(F.collect_list(F.struct("of")), lambda x: x["of"]).alias("of")).join(lots, "image_key", "left")
+        asked = asked.withColumn("lots", F.coalesce("lots", F.lit(1))).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
+        rows = rows.unionByName(asked.select("image_key", "lot", "lots", null("int", "level"), null("long", "sub_id"), F.lit(_META).alias("kind"), *nothing, null("array<int>", "cells"), null("int", "kernel"), "of"))
+
+    names = [*by, "image_key", "level", "kind", "chunk", "half", "cells", "totals", "n", "kernel", "scores"]
+    sql = ", ".join([*[f"{c} {t}" for c, t in by.items()], "image_key string, level int, kind string, chunk int, half string, cells binary, totals binary, n long, kernel int, scores array<double>"])
+    arrow = {"int": pa.int32(), "long": pa.int64(), "bigint": pa.int64(), "string": pa.string()}
+    kinds_of = [arrow[t] for t in by.values()] + [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.float64())]
+    schema = pa.schema(list(zip(names, kinds_of, strict=True)))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, of, asks, lots, waiting, meta = None, None, False, 1, [], None
+
+        def over() -> Iterator[pa.RecordBatch]:
+            for key in now.sums if now is not None else ():
+                for row in now.rows(key, lots, of, asks, kinds):
+                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
+
+        place = None
+        for batch in batches:
+            columns = {name: batch.column(name) for name in batch.schema.names}
+            listed = {c: (columns[c].values.to_numpy(zero_copy_only=False), columns[c].offsets.to_numpy()) for c in ("codes", "cells")}
+            part = lambda c, i: listed[c][0][listed[c][1][i] : listed[c][1][i + 1]]  # noqa: E731, B023
+            plain = {c: columns[c].to_pylist() for c in ("image_key", "lot", "lots", "level", "kind", "chunk", "n", "kernel", "of", *by)}
+            for i, kind in enumerate(plain["kind"]):
+                here = (plain["image_key"][i], plain["lot"][i], plain["level"][i])
+                if here != place:
+                    yield from over()
+                    now, waiting, place, lots = None, [], here, plain["lots"][i]
+                    if meta is None or meta[0] != here[:2]:
+                        meta, of, asks = None, None, False
+                if kind == _META:
+                    asked = plain["of"][i]
+                    meta, of, asks = (here[:2],), [x for x in asked if x is not None], None in asked
+                elif kind == _WEIGHTS:
+                    waiting.append((tuple(plain[c][i] for c in by), plain["n"][i], plain["chunk"][i], part("codes", i)))
+                elif waiting:
+                    now = now or _Open(p, here[0], here[2], plain["kernel"][i])
+                    groups: dict[tuple, list] = {}
+                    for key, n, chunk, codes in waiting:
+                        groups.setdefault((key, n), []).append((chunk, codes))
+                    for (key, n), chunks in groups.items():
+                        now.add(key, n, chunks, part("cells", i))
+                    waiting = []
+        yield from over()
+
+    dealt = rows.repartition("image_key", "lot").sortWithinPartitions("image_key", "lot", "level", "sub_id", "kind")
+    return dealt.mapInArrow(run, sql)
+
+
+def _added(p: Agreement, rows: pd.DataFrame, half: str, size: int, move: Callable | None = None, wider: bool = False) -> np.ndarray | None:
+    """Mean maps of a half from its rows, one a lot; None if it isn't there."""
+    own = rows[rows["half"] == half]
+    if own.empty:
+        return None
+    full = np.zeros((size, p.h * p.w))
+    for cells, totals in zip(own["cells"], own["totals"], strict=True):
+        at = np.frombuffer(cells, dtype="<i4")
+        full[:, at] += np.frombuffer(totals, dtype="<i8").reshape(len(at), size).T
+    return _ready(p, full, half, int(own["n"].iloc[0]), int(own["kernel"].iloc[0]), move, wider)
+
+
+def _scores(halves: DataFrame, p: Agreement, by: dict[str, str] | None = None) -> DataFrame:
+    """(by, image_key, level, kind, iteration, score) from scores and from halves that meet."""
+    by = by or {}
+    schema = ", ".join([*[f"{c} {t}" for c, t in by.items()], "image_key string, level int, kind string, iteration int, score double"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = list(_scored(pdf, p))
-        out = pd.DataFrame(found, columns=["level", "iteration", "score"])
-        for c in (*by, "image_key", "kind"):
+        chunk = int(pdf["chunk"].iloc[0])
+        size = _in_chunk(p, chunk)
+        known = pdf["scores"].dropna()
+        found = list(known.iloc[0]) if len(known) else _agree(p, _added(p, pdf, "test", size), _added(p, pdf, "ref", size), size)
+        out = pd.DataFrame({"iteration": np.arange(chunk * CHUNK, chunk * CHUNK + size), "score": found})
+        for c in (*by, "image_key", "level", "kind"):
             out[c] = pdf[c].iloc[0]
         return out[[*by, "image_key", "level", "kind", "iteration", "score"]]
 
-    chunk = F.floor(F.col("iteration") / CHUNK)
-    return halves.groupBy(*by, "image_key", "kind", "level", chunk.alias("chunk")).applyInPandas(run, schema)
-
-
-def _compared(halves: DataFrame, images: DataFrame, p: Agreement, kinds: tuple[str, ...]) -> DataFrame:
-    """Half maps with the kind and the image of every score that they take part in.
-
-    A ceiling takes both halves of an image, a floor an image's test half and the reference
-    half of its partner, level by level. Halves are made once and handed on from there.
-    """
-    key = F.col("image_key")
-    uses = [F.array(F.struct(F.lit("ceiling").alias("kind"), key.alias("image_key")))] if "ceiling" in kinds else []
-    if "floor" in kinds:
-        partners = random_partner(images, p.seed)
-        both = partners.select("image_key", F.lit(None).cast("string").alias("of")).unionAll(partners.select(F.col("partner").alias("image_key"), F.col("image_key").alias("of")))
-        asked = both.groupBy("image_key").agg(F.collect_list("of").alias("of"))  # few images share a partner
-        halves = halves.join(asked, "image_key", "left")
-        floor_of = lambda k: F.struct(F.lit("floor").alias("kind"), k.alias("image_key"))
-        none = F.array().cast("array<struct<kind:string,image_key:string>>")
-        uses.append(F.when(F.col("of").isNull(), none).when(F.col("half") == "test", F.array(floor_of(key))).otherwise(F.transform("of", floor_of)))
-    rest = [c for c in halves.columns if c not in ("image_key", "of")]
-    return halves.select(*rest, F.explode(F.concat(*uses)).alias("_use")).select(*rest, "_use.kind", "_use.image_key")
+    return halves.groupBy(*by, "image_key", "kind", "level", "chunk").applyInPandas(run, schema)
 
 
 def split_half(subs: DataFrame, p: Agreement) -> DataFrame:
     """(image_key, level, "ceiling", iteration, score): agreement of random halves of an image's maps."""
-    return _scores(_compared(half_maps(stacks(subs, p), p), subs, p, ("ceiling",)), p, ())
+    return _scores(half_maps(subs, p, kinds=("ceiling",)), p)
 
 
 def floor(subs: DataFrame, p: Agreement) -> DataFrame:
     """(image_key, level, "floor", iteration, score): test half against a half of another image, level by level."""
-    return _scores(_compared(half_maps(stacks(subs, p), p), subs, p, ("floor",)), p, ())
+    return _scores(half_maps(subs, p, kinds=("floor",)), p)
 
 
 def ceiling_floor(subs: DataFrame, p: Agreement) -> DataFrame:
     """Both of the above from the same halves."""
-    return _scores(_compared(half_maps(stacks(subs, p), p), subs, p, ("ceiling", "floor")), p, ())
+    return _scores(half_maps(subs, p, kinds=("ceiling", "floor")), p)
 
 
 def subject_sweep(subs: DataFrame, caps: list[int], p: Agreement) -> DataFrame:
     """(cap, image_key, level, kind, iteration, score) for every cap on subjects, ceiling and floor.
 
-    One job: an image's map takes part in every cap that its place in file order is within.
+    One job: an image's map takes part in every cap that its place in file order is within; its
+    clicks travel once for all caps.
     """
     rank = F.row_number().over(Window.partitionBy("image_key", "level").orderBy("ord", "sub_id"))
     every = F.explode(F.filter(F.array(*map(F.lit, caps)), lambda c: c >= F.col("_rank")))
-    capped = stacks(subs, p).withColumn("_rank", rank).withColumn("cap", every).drop("_rank")
-    return _scores(_compared(half_maps(capped, p, ("cap",)), subs, p, ("ceiling", "floor")), p, ("cap",))
+    capped = members(subs, p).withColumn("_rank", rank).withColumn("cap", every).drop("_rank")
+    by = {"cap": "int"}
+    return _scores(half_maps(subs, p, by, capped, ("ceiling", "floor")), p, by)
 
 
 _CONSTANCY = "image_key string, axis string, diff int, level int, kind string, iteration int, score double"
@@ -225,10 +404,10 @@ def _constancy(subs: DataFrame, pairs: DataFrame, meta: DataFrame, axis: str, p:
     ``transform(map, own, other)`` maps the test frame's mean map onto the target frame. What
     it needs of the two frames comes as one row a pair; it never travels with clicks.
     """
-    halves, lots, keys = half_maps(stacks(subs, p), p), frame_lots(pairs, p.seed), ["key", "diff", "kind"]
+    halves, lots, keys = half_maps(subs, p).drop("kind", "scores"), frame_lots(pairs, p.seed), ["key", "diff", "kind"]
     role = lambda half, key: lots.select(F.col(key).alias("image_key"), F.lit(half).alias("half"), *keys)
     roles = role("test", "key").unionAll(role("ref", "target_key"))
-    rows = halves.join(roles, ["image_key", "half"]).select(*keys, "level", "iteration", "half", "y", "x", "total", "size", "kernel")
+    rows = halves.join(roles, ["image_key", "half"]).select(*keys, "level", "chunk", "half", "cells", "totals", "n", "kernel")
     extra = [c for c in meta.columns if c != "key"]
     own, other = (meta.select(F.col("key").alias(k), F.struct(*extra).alias(n)) for k, n in (("key", "own"), ("target_key", "other")))
     moved = lots.where("kind = 'ceiling' and diff <> 0").join(own, "key").join(other, "target_key").select(*keys, "own", "other")
@@ -239,9 +418,13 @@ def _constancy(subs: DataFrame, pairs: DataFrame, meta: DataFrame, axis: str, p:
         if len(right):
             a, b = right["own"].iloc[0], right["other"].iloc[0]
             move = lambda m: transform(m, a, b)
-        both = set(left["half"]) if len(left) else set()
-        able = both == {"test", "ref"} and (move is not None or kind == "floor" or diff == 0)
-        found = list(_scored(left, p, move, wider=True)) if able else []
+        found = []
+        if move is not None or kind == "floor" or diff == 0:
+            for (level, chunk), part in left.groupby(["level", "chunk"]) if len(left) else ():
+                size = _in_chunk(p, chunk)
+                both = [_added(p, part, h, size, move, wider=True) for h in ("test", "ref")]
+                if all(m is not None for m in both):
+                    found += [(level, chunk * CHUNK + k, x) for k, x in enumerate(_agree(p, *both, size))]
         out = pd.DataFrame(found, columns=["level", "iteration", "score"])
         return out.assign(image_key=name, axis=axis, diff=diff, kind=kind)[["image_key", "axis", "diff", "level", "kind", "iteration", "score"]]
 

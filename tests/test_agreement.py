@@ -2,6 +2,7 @@
 
 import struct
 import zlib
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -40,8 +41,7 @@ def test_keys_with_odd_characters(images, spark):
 
 
 def test_weights_make_halves_of_the_stated_sizes(images):
-    maps = agreement.stacks(images("a/b.png", "a/c.png", n=7), P)
-    rows = agreement.half_weights(maps, P).collect()
+    rows = agreement.half_weights(agreement.members(images("a/b.png", "a/c.png", n=7), P), P).collect()
     for key in ("a/b.png", "a/c.png"):
         own = [r for r in rows if r.image_key == key and r.iteration == 1]
         test, ref = ([r for r in own if r.half == x] for x in ("test", "ref"))
@@ -54,7 +54,7 @@ def test_scores_against_dense_stacks(images):
     subs = images("a/b.png", "a/c.png")
     stack = {(r.image_key, r.sub_id): dense.stack_of([[c.x for c in r.clicks]], [[c.y for c in r.clicks]], 16, 16)[0] for r in subs.collect()}
     means = {}
-    for r in agreement.half_weights(agreement.stacks(subs, P), P).collect():
+    for r in agreement.half_weights(agreement.members(subs, P), P).collect():
         means[r.image_key, r.iteration, r.half] = means.get((r.image_key, r.iteration, r.half), 0) + r.weight / r["size"] * stack[r.image_key, r.sub_id].astype(float)
     for r in agreement.split_half(subs, P).collect():
         a, b = (np.round(dense.blur(means[r.image_key, r.iteration, x], 3), 10) for x in ("test", "ref"))
@@ -75,7 +75,47 @@ def test_depth_does_not_travel_with_clicks(images, spark):
     pairs = spark.createDataFrame([("q_00000.png", 1, "q_00001.png")], "key string, diff int, target_key string")
     found = agreement.rotation_constancy(images("q_00000.png", "q_00001.png"), pairs, cameras, P)
     left = plan_of(found).split("FlatMapCoGroupsInPandas", 1)[1]
-    assert not any("depth" in line and "total" in line for line in left.splitlines())
+    assert not any("depth" in line and ("totals" in line or "cells" in line) for line in left.splitlines())
+
+
+def exchanges(df):
+    return [line for line in plan_of(df).splitlines() if " Exchange " in line or ":- Exchange" in line or "+- Exchange" in line]
+
+
+def test_pixels_travel_once_whatever_the_iterations(images):
+    subs, plans = images("a/b.png", "a/c.png"), []
+    for iterations in (10, 100):
+        df = agreement.ceiling_floor(subs, replace(P, iterations=iterations))
+        text = df._jdf.queryExecution().optimizedPlan().toString()
+        plans.append(text)
+        # what is made of clicks is dealt out once, before any explode by iteration; draws have no clicks
+        branches = text.split("RepartitionByExpression")
+        assert sum("AS cells" in b and "transform(filter" in b for b in branches) == 1
+        draws = next(b for b in branches if "md5" in b)
+        assert "cells" not in draws.split("Union")[0].split("Window")[-1]
+    assert plans[0].count("RepartitionByExpression") == plans[1].count("RepartitionByExpression")
+
+
+@pytest.mark.parametrize("levels, metric", [(1, "spearman"), (4, "auc")])
+def test_lots_and_gathering_change_nothing(images, monkeypatch, levels, metric):
+    subs, p = images("a/b.png", "a/c.png", "a/d.png", n=9), replace(P, iterations=13, levels=levels, metric=metric)
+    run = lambda: {tuple(r)[:-1]: round(r.score, 9) for r in agreement.ceiling_floor(subs, p).collect()}
+    whole = run()
+    assert len(whole) == 2 * 3 * 13 * len({k[1] for k in whole})
+    monkeypatch.setattr(agreement, "LOT", 2)
+    assert run() == whole
+
+
+def test_sums_of_many_clicks():
+    rng = np.random.default_rng(0)
+    own, plain = agreement._Sums(6), np.zeros((50, 6), dtype=int)
+    for k in range(300):
+        cells, weights = rng.integers(0, 50, 400 if k % 50 == 0 else 90), rng.integers(0, 3, 6)
+        cells = np.where(cells < 40, 7, cells) if k % 50 == 0 else cells
+        own.add(cells, weights)
+        plain += np.minimum(np.bincount(cells, minlength=50), 255)[:, None] * weights
+    own.gather()
+    assert (own.totals == plain[own.cells]).all() and plain.sum() == own.totals.sum()
 
 
 def test_nothing_behind_the_camera_is_painted():
