@@ -29,24 +29,44 @@ def exclude_paths(subs: DataFrame, texts: str | list[str], col: str = "image_key
     return subs
 
 
-#: Paths of a listing that every key may be compared with.
-THETA_PATHS = 200_000
+#: Characters of the pieces by which keys are looked up in paths.
+GRAM = 6
+
+
+def _pieces(text: str, n: int):
+    """Array of all pieces of n characters."""
+    last = F.length(text) - n + 1
+    return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
+def contained(keys: DataFrame, paths: DataFrame) -> DataFrame:
+    """The distinct keys (image_key) that occur anywhere in a path (_path).
+
+    Paths are indexed by their pieces of ``GRAM`` characters. A key is looked up by the piece
+    of its own that fewest paths have, and the paths found are searched for the whole key; a key
+    with a piece that no path has is done at once. Shorter keys equal pieces of their length.
+    """
+    keys = keys.select("image_key").where("image_key is not null").distinct()
+    paths = paths.select("_path").where("_path is not null").distinct()
+    index = paths.select("_path", F.explode(F.array_distinct(_pieces("_path", GRAM))).alias("_gram"))
+    counts = index.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    long = keys.where(F.length("image_key") >= GRAM).select("image_key", F.explode(F.array_distinct(_pieces("image_key", GRAM))).alias("_gram"))
+    rarest = long.join(counts, "_gram", "left").groupBy("image_key").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_r"))
+    asked = rarest.where("_r.n > 0").select("image_key", F.col("_r.gram").alias("_gram"))
+    found = asked.join(index, "_gram").where(F.contains("_path", "image_key")).select("image_key")
+    pieces = F.array_distinct(F.concat(*[_pieces("_path", n) for n in range(1, GRAM)], F.array(F.lit(""))))
+    short = paths.select(F.explode(pieces).alias("image_key")).distinct()
+    return found.distinct().unionAll(keys.where(F.length("image_key") < GRAM).join(short, "image_key", "left_semi"))
 
 
 def restrict_to_listing(subs: DataFrame, listing: DataFrame, path_col: str = "path", theta: bool = False) -> DataFrame:
     """Submissions whose image key occurs in a listed path.
 
     The key is a path's last two parts, so this is an equi-join; ``theta`` looks for the
-    key anywhere in the path, which compares every key with every path and so takes
-    a listing of at most ``THETA_PATHS`` paths; a longer one is an error.
+    key anywhere in the path, by an index of the paths' pieces.
     """
     if theta:
-        paths = listing.select(F.col(path_col).alias("_path")).distinct()
-        if paths.limit(THETA_PATHS + 1).count() > THETA_PATHS:
-            raise ValueError(f"a listing of over {THETA_PATHS} paths is joined by its keys only (theta=False)")
-        keys = subs.select("image_key").distinct()
-        found = keys.join(F.broadcast(paths), F.contains("_path", "image_key"), "left_semi")
-        return subs.join(found, "image_key", "left_semi")
+        return subs.join(contained(subs, listing.select(F.col(path_col).alias("_path"))), "image_key", "left_semi")
     return subs.join(listing.select(image_key(F.col(path_col)).alias("image_key")), "image_key", "left_semi")
 
 

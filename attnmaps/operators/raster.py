@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attnmaps.functions.clicks import count_bins, kernel_size
-from attnmaps.functions.dense import blur
+from attnmaps.functions.dense import blur, disk_runs
+from attnmaps.sources.shared import settled
 
 MAX_COUNT = 255
 
@@ -130,13 +131,23 @@ def disk_offsets(sizes: DataFrame) -> DataFrame:
 
 
 def blur_sparse(maps: DataFrame, size: int, h: int, w: int) -> DataFrame:
-    """Two passes of the disk kernel on sparse rows, cut at the edges; for small maps."""
-    spark = maps.sparkSession
-    disk = F.broadcast(disk_offsets(spark.range(1).select(F.lit(size).alias("size"))))  # at most size * size rows
+    """Two passes of the disk kernel on sparse rows, cut at the edges.
+
+    A row of the disk is a run, so a pixel adds two steps to a row of the target, up where the
+    run begins and down behind its end, and a running sum along the row gives the values: a
+    pixel costs twice the disk's size, not its area. Cells in no run have no row.
+    """
+    runs = disk_runs(size)
+    weight = 1.0 / sum(2 * half + 1 for _, half in runs)
+    along = Window.partitionBy("image_key", "y").orderBy("x")  # at most w + 1 rows
+    so_far = along.rowsBetween(Window.unboundedPreceding, 0)
     for _ in range(2):
-        moved = maps.crossJoin(disk).select("image_key", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), (F.col("v") * F.col("weight")).alias("v"))
-        inside = moved.where((F.col("y") >= 0) & (F.col("y") < h) & (F.col("x") >= 0) & (F.col("x") < w))
-        maps = inside.groupBy("image_key", "y", "x").agg(F.sum("v").alias("v"))
+        spans = F.array(*[F.struct((F.col("y") + dy).alias("y"), F.greatest(F.col("x") - half, F.lit(0)).alias("x"), F.least(F.col("x") + half + 1, F.lit(w)).alias("end")) for dy, half in runs])
+        moved = maps.select("image_key", "v", F.inline(spans)).where((F.col("y") >= 0) & (F.col("y") < h) & (F.col("x") < F.col("end")))
+        turns = F.array(F.struct(F.col("x").alias("x"), F.col("v").alias("v"), F.lit(1).alias("on")), F.struct(F.col("end").alias("x"), (-F.col("v")).alias("v"), F.lit(-1).alias("on")))
+        steps = moved.select("image_key", "y", F.inline(turns)).groupBy("image_key", "y", "x").agg(F.sum("v").alias("v"), F.sum("on").alias("on"))
+        levels = steps.select("image_key", "y", "x", F.lead("x").over(along).alias("end"), F.sum("v").over(so_far).alias("v"), F.sum("on").over(so_far).alias("on"))
+        maps = levels.where("on > 0").select("image_key", "y", F.explode(F.sequence("x", F.col("end") - 1)).alias("x"), (F.col("v") * weight).alias("v"))
     return maps
 
 
@@ -231,18 +242,87 @@ def pair_distances(rasters: DataFrame) -> DataFrame:
     return joined.select("image_key", "a", "b", (F.col("qa") + F.col("qb") - 2 * F.coalesce("dot", F.lit(0))).alias("d2"))
 
 
+#: Squared thresholds up to which maps are looked up by two pixels at once.
+TWO_PIXELS = 64.0
+
+
+def distinct_maps(subs: DataFrame, h: int, w: int) -> DataFrame:
+    """(image_key, at, px, q): every different map of an image, its first place (ord, sub_id) and its squared norm.
+
+    ``px`` is the sorted array of (cell, n), n at most 255; clicks out of bounds don't count.
+    """
+    inside = lambda c: c["x"].between(0, w - 1) & c["y"].between(0, h - 1)
+    rows = subs.select("image_key", F.struct("ord", "sub_id").alias("at"), F.explode_outer(F.filter("clicks", inside)).alias("c")).repartition("image_key", "at")
+    counts = rows.groupBy("image_key", "at", (F.col("c.y") * w + F.col("c.x")).alias("cell")).agg(F.least(F.count(F.lit(1)), F.lit(MAX_COUNT)).cast("int").alias("n"))
+    maps = counts.groupBy("image_key", "at").agg(F.array_sort(F.collect_list(F.when(F.col("cell").isNotNull(), F.struct("cell", "n")))).alias("px"))
+    first = maps.groupBy("image_key", "px").agg(F.min("at").alias("at"))
+    return first.select("image_key", "at", "px", F.aggregate("px", F.lit(0).cast("long"), lambda a, p: a + p["n"] * p["n"]).alias("q"))
+
+
+def near_maps(maps: DataFrame, thresh: float) -> DataFrame:
+    """(image_key, a, b): the different maps of an image that share pixels and lie under thresh from each other, a before b.
+
+    If two maps share no pixel of one's rarest ones, these alone make up their distance. So a map
+    needs a look-up only by its rarest pixels, as many as have a squared norm of thresh squared. For
+    small thresholds it has one more such pixel and is looked up by two of them at a time; maps
+    too light for that are looked up by all pairs of theirs, and among themselves by single pixels.
+    """
+    limit = float(thresh) ** 2
+    pairs = limit <= TWO_PIXELS
+    cells = maps.select("image_key", "at", "q", F.explode("px").alias("p")).select("image_key", "at", "q", "p.cell", "p.n")
+    known = cells.groupBy("image_key", "cell").agg(F.count(F.lit(1)).alias("c"))
+    ranked = cells.join(known, ["image_key", "cell"]).groupBy("image_key", "at", "q").agg(F.array_sort(F.collect_list(F.struct("c", "cell", "n"))).alias("o"))
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("top"), F.lit(0).alias("m"))
+    bar = lambda a: a["sum"] - (a["top"] if pairs else F.lit(0)) >= limit
+    add = lambda a, x: F.struct((a["sum"] + x["n"] * x["n"]).cast("long").alias("sum"), F.greatest(a["top"], (x["n"] * x["n"]).cast("long")).alias("top"), (a["m"] + 1).alias("m"))
+    prefix = F.aggregate("o", start, lambda a, x: F.when(bar(a), a).otherwise(add(a, x)))
+    found = ranked.withColumn("a", prefix).select("image_key", "at", "q", bar(F.col("a")).alias("heavy"), F.transform(F.slice("o", F.lit(1), F.greatest(F.col("a.m"), F.lit(1))), lambda x: x["cell"].cast("long")).alias("k"))
+    single = F.transform("k", lambda c: -c - 1)
+    if pairs:
+        double = F.flatten(F.transform("k", lambda x, i: F.transform(F.filter("k", lambda y, j: j > i), lambda y: F.shiftleft(F.least(x, y), 32) + F.greatest(x, y))))
+        tokens = F.when(F.col("heavy"), double).otherwise(F.concat(double, single))
+    else:
+        tokens = single
+    listed = found.select("image_key", F.explode(tokens).alias("token"), "at", "q")
+    a, b = (listed.select("image_key", "token", F.col("at").alias(x), F.col("q").alias(f"q{x}")) for x in "ab")
+    apart = F.abs(F.sqrt("qa") - F.sqrt("qb")) < float(thresh)
+    candidates = a.join(b, ["image_key", "token"]).where((F.col("a") < F.col("b")) & apart).select("image_key", "a", "b").distinct()
+    with_pixels = lambda x: maps.select("image_key", F.col("at").alias(x), F.col("px").alias(f"p{x}"), F.col("q").alias(f"q{x}"))
+    met = candidates.join(with_pixels("a"), ["image_key", "a"]).join(with_pixels("b"), ["image_key", "b"])
+    other = F.map_from_entries("pb")
+    dot = F.aggregate("pa", F.lit(0).cast("long"), lambda s, p: s + p["n"] * F.coalesce(F.try_element_at(other, p["cell"]), F.lit(0)))
+    return met.where(F.col("qa") + F.col("qb") - 2 * dot < limit).select("image_key", "a", "b")
+
+
 def near_duplicate_maps(subs: DataFrame, thresh: float, h: int, w: int) -> DataFrame:
     """(image_key, sub_id): submissions left after greedy removal, in file order.
 
     A map goes if its squared distance to an earlier one that stays is under thresh
-    squared.
+    squared. Equal maps go first. The rest is decided in rounds, for all images at once: a map stays
+    if no earlier undecided map is near, and takes the later ones near it away. Very light maps
+    are near each other whatever their pixels; for these, the first of each norm speaks for all.
     """
-    from attnmaps.functions.dense import greedy_distinct, stack_of
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ord", "sub_id"])
-        kept = greedy_distinct(stack_of(pdf["xs"], pdf["ys"], h, w), thresh)
-        return pdf.iloc[kept][["image_key", "sub_id"]]
-
-    rows = subs.select("image_key", "sub_id", "ord", F.col("clicks.x").alias("xs"), F.col("clicks.y").alias("ys"))
-    return rows.groupBy("image_key").applyInPandas(run, "image_key string, sub_id long")
+    if thresh <= 0:
+        return subs.select("image_key", "sub_id")
+    limit = float(thresh) ** 2
+    maps = settled(distinct_maps(subs, h, w), "maps")
+    near = settled(near_maps(maps, thresh), "near-maps")
+    touched = near.select("image_key", F.explode(F.array("a", "b")).alias("at")).distinct()
+    places = maps.select("image_key", "at", "q")
+    open_ = settled(places.where(F.col("q") < limit).unionAll(places.where(F.col("q") >= limit).join(touched, ["image_key", "at"], "left_semi")), "open-maps")
+    kept = places.join(open_, ["image_key", "at"], "left_anti").select("image_key", "at")
+    after = lambda df: df.join(near.select("image_key", F.col("a").alias("at"), "b"), ["image_key", "at"]).select("image_key", F.col("b").alias("at"))
+
+    def light(df: DataFrame, of: DataFrame) -> DataFrame:
+        """Places of ``of`` behind a place of ``df`` that is near for their norms alone."""
+        first = df.where(F.col("q") < limit).groupBy("image_key", F.col("q").alias("_q")).agg(F.min("at").alias("_at"))  # norms under the limit
+        met = of.where(F.col("q") < limit).join(first, "image_key").where((F.col("q") + F.col("_q") < limit) & (F.col("_at") < F.col("at")))
+        return met.select("image_key", "at")
+
+    while open_.limit(1).count():
+        blocked = after(open_).unionAll(light(open_, open_)).distinct()
+        stay = settled(open_.join(blocked, ["image_key", "at"], "left_anti"), "kept-maps")
+        kept = kept.unionAll(stay.select("image_key", "at"))
+        gone = stay.select("image_key", "at").unionAll(after(stay)).unionAll(light(stay, open_)).distinct()
+        open_ = settled(open_.join(gone, ["image_key", "at"], "left_anti"), "open-maps")
+    return kept.select("image_key", F.col("at.sub_id").alias("sub_id"))

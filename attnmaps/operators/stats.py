@@ -178,18 +178,39 @@ def display_keys(counts: DataFrame, k: int = 10) -> DataFrame:
     return counts.orderBy(F.desc("n"), "image_key").limit(k)
 
 
-def balanced_resample(df: DataFrame, id_col: str, seed: int) -> DataFrame:
-    """Rows drawn with replacement by their label's weight.
+#: Hash buckets in which the rows of a label are numbered.
+BUCKETS = 256
 
-    Each row's multiplicity is Poisson with mean weight, from a seeded hash of its id,
-    so about as many rows come out as go in and any partitioning gives the same.
+
+def _long_hash(*parts: Column) -> Column:
+    """A number of 60 bits from the parts."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def balanced_resample(df: DataFrame, id_col: str, seed: int, n: int | None = None) -> DataFrame:
+    """Exactly n rows (by default as many as there are) drawn with replacement by their label's weight.
+
+    Every label has the same share of all weight, so a draw takes a label and one of its rows,
+    both by a hash of its number and the seed; rows are numbered within hash buckets, whose sizes
+    are added up. Any partitioning gives the same. Adds ``weight`` and ``draw``.
     """
-    u = hashed_number(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed)))).cast("double") / float(1 << 32)
-    # the least k whose cumulated probability passes u, up to 32
-    start = F.struct(F.lit(0).alias("k"), F.exp(-F.col("weight")).alias("p"), F.exp(-F.col("weight")).alias("sum"))
-    step = lambda a, i: F.when(F.col("_u") < a["sum"], a).otherwise(F.struct((a["k"] + 1).alias("k"), (a["p"] * F.col("weight") / i).alias("p"), (a["sum"] + a["p"] * F.col("weight") / i).alias("sum")))
-    drawn = class_balance(df).withColumn("_u", u).withColumn("_k", F.aggregate(F.sequence(F.lit(1), F.lit(32)), start, step, lambda a: a["k"]))
-    return drawn.where("_k > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_k")))).drop("_u", "_k")
+    spark = df.sparkSession
+    rows = class_balance(df).withColumn("_b", F.pmod(hashed_number(F.col(id_col).cast("string")), F.lit(BUCKETS)))
+    sizes = rows.groupBy("label", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    own = Window.partitionBy("label")  # at most BUCKETS rows
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(own.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("label", "_b").orderBy(id_col)) - 1
+    numbered = rows.withColumn("_i", place).join(F.broadcast(starts.select("label", "_b", "_start")), ["label", "_b"]).withColumn("_i", F.col("_i") + F.col("_start"))
+    labels = sizes.groupBy("label").agg(F.sum("_n").alias("_total")).withColumn("_l", F.row_number().over(Window.orderBy("label")) - 1)  # a row a label
+    labels = labels.withColumn("_labels", F.count(F.lit(1)).over(Window.partitionBy()))
+    known = {r["_l"]: r for r in labels.collect()}
+    if not known:
+        return numbered.drop("_b", "_i", "_start").withColumn("draw", F.lit(0).cast("long"))
+    draws = spark.range(df.count() if n is None else n).withColumnRenamed("id", "draw")
+    text = lambda tag: _long_hash(F.col("draw").cast("string"), F.lit(str(seed)), F.lit(tag))
+    drawn = draws.withColumn("_l", F.pmod(text("label"), F.lit(len(known))).cast("int")).join(F.broadcast(labels.select("_l", "label", "_total")), "_l")
+    drawn = drawn.select("draw", "label", F.pmod(text("row"), F.col("_total")).alias("_i"))
+    return numbered.join(drawn, ["label", "_i"]).drop("_b", "_i", "_start")
 
 
 def match_good_players(good: DataFrame, n: int, seed: int = 42) -> DataFrame:

@@ -35,6 +35,22 @@ def src1_submissions_csv(t):
     return digest(readers.read_submissions_csv(t.spark, path)).select("ord", "image_path", "user_id", "n", "sx", "sy")
 
 
+@query("""SELECT part, image_path, user_id, n, sx, sy FROM (
+  SELECT *, row_number() OVER (PARTITION BY image_key, user_id, image_path ORDER BY part, ord DESC) AS r FROM (SELECT sub.*, CASE WHEN ord % 40 = 0 THEN 0 WHEN ord % 4 = 1 THEN 1 ELSE 2 END AS part FROM sub WHERE n > 0))
+  JOIN (SELECT sub_id, sum(x * (pos + 1)) AS sx, sum(y * (pos + 1)) AS sy FROM clicks GROUP BY sub_id) USING (sub_id) WHERE r = 1""", *BOTH, extra=SUB)
+def src1_file_order(t):
+    """The first submission of a user and image in files without an index: a small file, a large one, and the largest."""
+    path = scratch(t.spark, "files")
+    part = F.when(F.col("ord") % 40 == 0, 0).when(F.col("ord") % 4 == 1, 1).otherwise(2)
+    rows = t.subs.where(F.size("clicks") > 0).withColumn("part", part)
+    text = F.concat(F.lit("["), F.array_join(F.transform("clicks", lambda c: F.concat(F.lit("("), c["x"].cast("string"), F.lit(", "), c["y"].cast("string"), F.lit(")"))), ", "), F.lit("]"))
+    dealt = rows.repartition("part").sortWithinPartitions("part", F.desc("ord")).select("part", "image_path", text.alias("clicks"), "user_id")
+    dealt.write.partitionBy("part").csv(path, header=True, quote='"', escape='"')
+    read = readers.read_submissions_csv(t.spark, path).withColumn("image_key", P.image_key(F.col("image_path")))
+    first = filters.dedupe_first(read).withColumn("part", F.regexp_extract("ord.file", "part=([0-9]+)/", 1).cast("int"))
+    return digest(first).select("part", "image_path", "user_id", "n", "sx", "sy")
+
+
 def digest(df, *keys):
     """Size of the clicks and sums of coordinates weighted by place."""
     total = lambda c: F.aggregate(F.zip_with(f"clicks.{c}", F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("clicks"))), lambda v, i: F.coalesce(v, F.lit(0)) * i), F.lit(0), lambda a, v: a + v).cast("long")
@@ -60,6 +76,40 @@ def src4_image_paths(t):
     return readers.image_paths(t.submissions, "c3", "dump/imgs/")
 
 
+def _write_images(t, path):
+    """Image headers as files: PNG, or JPEG with a long comment for every third image; sizes by number, some files cut short."""
+    rows = t.images.withColumns({"width": F.col("image_id") * 7 % 500 + 1, "height": F.col("image_id") * 11 % 300 + 1})
+
+    def run(batches):
+        import struct
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path)
+        for batch in batches:
+            for r in batch.to_pylist():
+                w, h = r["width"], r["height"]
+                data = b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 13) + b"IHDR" + struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)
+                if r["image_id"] % 3 == 0:
+                    data = b"\xff\xd8\xff\xfe" + struct.pack(">H", 40_002) + b" " * 40_000 + b"\xff\xc0" + struct.pack(">HBHHB", 17, 8, h, w, 3)
+                store.create_dir(f"{root}/{r['image_key'].rpartition('/')[0]}", recursive=True)
+                with store.open_output_stream(f"{root}/{r['image_key']}") as out:
+                    out.write(data[: 15 if r["image_id"] % 5 == 0 else len(data)])
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)])], names=["n"])
+
+    rows.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
+@query("""SELECT image_key, CAST(image_id * 7 % 500 + 1 AS INT) AS width, CAST(image_id * 11 % 300 + 1 AS INT) AS height FROM images
+  WHERE image_id % 5 <> 0 AND contains(image_key, 'c3/')""", "images")
+def src4_image_dimensions(t):
+    """Sizes from the headers of files; those cut short are left out, and so are images nobody asked for."""
+    path = scratch(t.spark, "images")
+    _write_images(t, path)
+    return readers.image_dimensions(t.spark, t.submissions, "c3/", "dump/imgs/", path)
+
+
 @query("SELECT frame_key AS image_key, scale, scale * 2 AS focal, image_id::DOUBLE AS shift FROM frames", "frames")
 def src5_camera_json(t):
     path = scratch(t.spark, "cameras")

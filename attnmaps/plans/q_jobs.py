@@ -133,6 +133,21 @@ def snk1_heatmaps(t):
     return t.spark.read.parquet(path).select("image_key", "name", "h", "w", F.size("data").alias("n"), "maps")
 
 
+@query("""SELECT 1 AS generation, image_key, maps FROM vi
+  UNION ALL SELECT 2, image_key, CASE WHEN split_part(image_key, '/', 1) IN ('c1', 'c3') THEN -maps ELSE maps END FROM vi""", *BOTH, extra=CLEAN)
+def snk1_replaced_heatmaps(t):
+    """Two generations of a store: all images, then those of two classes written again."""
+    path, rows = scratch(t.spark, "store"), cleaned(t)
+    rasters = raster.keep_valid(raster.rasterise(rows, SIDE, SIDE), TEST.min_clicks, TEST.min_subjects)
+    counts = rasters.groupBy("image_key").agg(F.countDistinct("sub_id").alias("maps"))
+    maps = jobs.heatmaps(rows, TEST)
+    first = sinks.replace_heatmaps(maps, path, counts)
+    again = maps.where(F.split_part("image_key", F.lit("/"), F.lit(1)).isin("c1", "c3"))
+    second = sinks.replace_heatmaps(again, path, counts.withColumn("maps", -F.col("maps")))
+    read = lambda g: sinks.read_heatmaps(t.spark, path, g).select(F.lit(g).alias("generation"), "image_key", "maps")
+    return read(first).unionAll(read(second))
+
+
 @query("SELECT image_key, 32 AS h FROM vi WHERE EXISTS (SELECT 1 FROM listing WHERE contains(path, image_key))", *BOTH, "listing", extra=CLEAN)
 def snk2_existing_only(t):
     return sinks.existing_only(jobs.heatmaps(cleaned(t), TEST), t.listing).select("image_key", "h")

@@ -167,12 +167,14 @@ def win6_click_prefix(t):
     return rows.select("sub_id", F.size("c").cast("long").alias("n"), total("x").alias("sx"), total("y").alias("sy"))
 
 
-@query("""SELECT sub_id, user_id, label, round(weight, 9) AS weight, copy FROM (
-  SELECT *, unnest(range(1, k + 1))::INT AS copy FROM (
-    SELECT sub_id, user_id, label, weight, len(list_filter(range(0, 32), lambda i: u >= list_sum(list_transform(range(0, i + 1), lambda j: exp(-weight) * pow(weight, j) / factorial(j::INT))))) AS k FROM (
-      SELECT sub_id, user_id, label, count(*) OVER () / (2.0 * count(*) OVER (PARTITION BY label)) AS weight, CAST('0x' || substr(md5(sub_id || '|7'), 1, 8) AS BIGINT) / 4294967296.0 AS u
-      FROM submissions JOIN players USING (user_id))))""", "submissions", "players")
+@query("""SELECT draw, label, sub_id, user_id, round(weight, 9) AS weight FROM (
+  SELECT draw, l.label, CAST('0x' || substr(md5(draw || '|7|row'), 1, 15) AS BIGINT) % total AS i FROM (
+    SELECT range AS draw, CAST('0x' || substr(md5(range || '|7|label'), 1, 15) AS BIGINT) % (SELECT count(DISTINCT label) FROM sp) AS l FROM range((SELECT count(*) FROM sp))) d
+  JOIN (SELECT label, count(*) AS total, row_number() OVER (ORDER BY label) - 1 AS l FROM sp GROUP BY label) l USING (l))
+  JOIN (SELECT *, row_number() OVER (PARTITION BY label ORDER BY CAST('0x' || substr(md5(CAST(sub_id AS VARCHAR)), 1, 8) AS BIGINT) % 256, sub_id) - 1 AS i, count(*) OVER () / (2.0 * count(*) OVER (PARTITION BY label)) AS weight FROM sp) USING (label, i)""",
+    "submissions", "players", extra="sp AS (SELECT sub_id, user_id, label FROM submissions JOIN players USING (user_id))")
 def smp1_balanced_resample(t):
+    """As many draws as there are rows, exactly."""
     rows = filters.filter_players(t.submissions, t.players).select("sub_id", "user_id", "label")
     return stats.balanced_resample(rows, "sub_id", seed=7).withColumn("weight", F.round("weight", 9))
 

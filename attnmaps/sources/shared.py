@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -21,3 +21,10 @@ def scratch(spark: SparkSession, name: str) -> str:
         folder = "file://" + tempfile.mkdtemp(prefix="spark-out-")
     folder = folder if "://" in folder or folder.startswith("file:") else "file://" + folder
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """Write the rows to the shared folder and go on from there (lineage ends)."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
