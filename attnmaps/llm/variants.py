@@ -192,12 +192,12 @@ def _search(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         theirs = [index.words[k][::turn] for k in b.tolist()]
         pairs = pd.DataFrame({"word": [words[k] for k in a.tolist()], "best": theirs})
         if side == ">":  # the other search has those with an equal first half
-            pairs = pairs[[x[: len(x) // 2] != y[: len(x) // 2] for x, y in zip(pairs["word"], pairs["best"], strict=True)]]
+            pairs = pairs[np.array([x[: len(x) // 2] != y[: len(x) // 2] for x, y in zip(pairs["word"], pairs["best"], strict=True)], dtype=bool)]
         found.append(pairs.merge(rows.rename(columns={"word": "best", "n": "best_n"})[["best", "best_n"]], on="best"))
     both = pd.concat(found) if found else pd.DataFrame({"word": [], "best": [], "best_n": []})
     best = both.sort_values(["word", "best_n", "best"], ascending=[True, False, True])
     out = best.groupby("word", sort=False).agg(n_near=("best", "size"), best_n=("best_n", "first"), best=("best", "first")).reset_index()
-    return out[["word", "n_near", "best_n", "best"]]
+    return out[["word", "n_near", "best_n", "best"]].astype({"word": object, "best": object})
 
 
 def near_words(words: DataFrame, shard: int = SHARD) -> DataFrame:
