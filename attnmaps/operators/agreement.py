@@ -27,6 +27,7 @@ from attnmaps.functions.metrics import score
 from attnmaps.functions.paths import hashed_number
 from attnmaps.operators import raster
 from attnmaps.operators.joins import random_partner
+from attnmaps.sources.shared import settled
 
 #: Iterations whose draws, and whose summed maps, are one row.
 CHUNK = 10
@@ -78,13 +79,13 @@ def stacks(subs: DataFrame, p: Agreement) -> DataFrame:
     return rows.select("image_key", "sub_id", "ord", "kernel", "level", cells(prefix).alias("cells")).where(F.size("cells") >= max(1, p.min_clicks))
 
 
-def members(subs: DataFrame, p: Agreement) -> DataFrame:
+def members(clicked: DataFrame, p: Agreement) -> DataFrame:
     """(image_key, level, sub_id, ord): the maps that take part, without their pixels.
 
-    All levels of an image are cut to the least number of maps of any, at least two; metrics
+    ``clicked`` are stacks. All levels of an image are cut to the least number of maps of any, at least two; metrics
     other than "auc" look at the last level only.
     """
-    maps = stacks(subs, p).select("image_key", "level", "sub_id", "ord")
+    maps = clicked.select("image_key", "level", "sub_id", "ord")
     if p.levels == 1:
         return maps
     kept = raster.align_levels(maps)
@@ -105,7 +106,7 @@ def half_weights(maps: DataFrame, p: Agreement, by: tuple[str, ...] = ()) -> Dat
     draw = lambda k, tag, n: F.pmod(hashed_number(text(k.cast("string"), F.lit(tag))), F.greatest(n, F.lit(1)).cast("long"))
     own = Window.partitionBy(*keys)
     chunks = F.explode(F.sequence(F.lit(0), F.lit((p.iterations - 1) // CHUNK)))
-    rows = maps.select(*by, "image_key", "level", "sub_id", chunks.alias("chunk")).repartition(*by, "image_key", "level", "chunk")
+    rows = maps.select(*by, "image_key", "level", "sub_id", chunks.alias("chunk")).repartition(*by, "image_key", "chunk")  # serves all that follows
     first_of = F.col("chunk") * CHUNK
     rows = rows.withColumn("iteration", F.explode(F.sequence(first_of, F.least(first_of + CHUNK, F.lit(p.iterations)) - 1)))
     rank = F.row_number().over(own.orderBy(F.md5(text(F.col("sub_id").cast("string"))), "sub_id")).cast("long") - 1
@@ -141,10 +142,13 @@ def _codes(weights: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return weights.groupBy(*by, "image_key", "level", "chunk", "sub_id").agg(codes.alias("codes"), F.max("n").alias("n"))
 
 
-def lots_of(subs: DataFrame) -> DataFrame:
-    """(image_key, lots) of the images with over ``LOT`` submissions."""
-    counts = subs.groupBy("image_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LOT)
-    return counts.select("image_key", F.least(F.lit(LOTS), F.ceil(F.col("_n") / LOT).cast("int")).alias("lots"))
+def with_lots(clicked: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Adds ``lots``, over one for images with over ``LOT`` maps; if there are none, without a join."""
+    counts = clicked.groupBy("image_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LOT)
+    lots = counts.select("image_key", F.least(F.lit(LOTS), F.ceil(F.col("_n") / LOT).cast("int")).alias("lots"))
+    if not lots.limit(1).count():
+        return lambda df: df.withColumn("lots", F.lit(1))
+    return lambda df: df.join(lots, "image_key", "left").withColumn("lots", F.coalesce("lots", F.lit(1)))
 
 
 class _Sums:
@@ -250,10 +254,10 @@ class _Open:
 _META, _WEIGHTS, _PIXELS = 0, 1, 2
 
 
-def half_maps(subs: DataFrame, p: Agreement, by: dict[str, str] | None = None, maps: DataFrame | None = None, kinds: tuple[str, ...] = ()) -> DataFrame:
+def half_maps(clicked: DataFrame, p: Agreement, by: dict[str, str] | None = None, maps: DataFrame | None = None, kinds: tuple[str, ...] = ()) -> DataFrame:
     """Summed maps of both halves of every image, or what the kinds of scores make of them.
 
-    Rows are (by, image_key, level, kind, chunk, half, cells, totals, n, kernel, scores): the
+    ``clicked`` are stacks, which are read several times. Rows are (by, image_key, level, kind, chunk, half, cells, totals, n, kernel, scores): the
     cells that were clicked and their sums in each of a chunk's iterations, packed as
     32- and 64-bit integers. An image of many submissions has such a row for each lot. With
     "ceiling" among ``kinds``, images in one lot have their scores in place of halves; with
@@ -262,25 +266,21 @@ def half_maps(subs: DataFrame, p: Agreement, by: dict[str, str] | None = None, m
     apart by the columns ``by`` (name: type).
     """
     by = by or {}
-    maps = members(subs, p) if maps is None else maps
-    images = subs.select("image_key").distinct()
-    lots = lots_of(subs)
+    maps = members(clicked, p) if maps is None else maps
+    lotted = with_lots(clicked)
     null = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    own_lot = F.pmod(F.xxhash64("sub_id"), F.coalesce("lots", F.lit(1))).cast("int").alias("lot")
-    shared = ["image_key", own_lot, F.coalesce("lots", F.lit(1)).alias("lots"), "level", F.col("sub_id").cast("long").alias("sub_id")]
-    codes = _codes(half_weights(maps, p, tuple(by)), tuple(by)).join(lots, "image_key", "left")
-    rows = codes.select(*shared, F.lit(_WEIGHTS).alias("kind"), *by, "chunk", "codes", "n", null("array<int>", "cells"), null("int", "kernel"), null("array<string>", "of"))
+    own_lot = F.pmod(F.xxhash64("sub_id"), "lots").cast("int").alias("lot")
+    shared = ["image_key", own_lot, "lots", "level", F.col("sub_id").cast("long").alias("sub_id")]
+    rows = lotted(_codes(half_weights(maps, p, tuple(by)), tuple(by))).select(*shared, F.lit(_WEIGHTS).alias("kind"), *by, "chunk", "codes", "n", null("array<int>", "cells"), null("int", "kernel"), null("array<string>", "of"))
     nothing = [null(t, c) for c, t in by.items()] + [null("int", "chunk"), null("array<int>", "codes"), null("long", "n")]
-    clicked = stacks(subs, p)
-    if p.levels > 1 and p.metric != "auc":
-        clicked = clicked.where(F.col("level") == p.levels - 1)
-    rows = rows.unionByName(clicked.join(lots, "image_key", "left").select(*shared, F.lit(_PIXELS).alias("kind"), *nothing, "cells", "kernel", null("array<string>", "of")))
+    wanted = clicked.where(F.col("level") == p.levels - 1) if p.levels > 1 and p.metric != "auc" else clicked
+    rows = rows.unionByName(lotted(wanted).select(*shared, F.lit(_PIXELS).alias("kind"), *nothing, "cells", "kernel", null("array<string>", "of")))
     if "floor" in kinds:
-        partners = random_partner(images, p.seed)
+        partners = random_partner(clicked, p.seed)
         # null among an image's askers: it asks itself; few images share a partner
         both = partners.select("image_key", null("string", "of")).unionAll(partners.select(F.col("partner").alias("image_key"), F.col("image_key").alias("of")))
-        asked = both.groupBy("image_key").agg(F.transform(F.collect_list(F.struct("of")), lambda x: x["of"]).alias("of")).join(lots, "image_key", "left")
-        asked = asked.withColumn("lots", F.coalesce("lots", F.lit(1))).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
+        asked = lotted(both.groupBy("image_key").agg(F.transform(F.collect_list(F.struct("of")), lambda x: x["of"]).alias("of")))
+        asked = asked.withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
         rows = rows.unionByName(asked.select("image_key", "lot", "lots", null("int", "level"), null("long", "sub_id"), F.lit(_META).alias("kind"), *nothing, null("array<int>", "cells"), null("int", "kernel"), "of"))
 
     names = [*by, "image_key", "level", "kind", "chunk", "half", "cells", "totals", "n", "kernel", "scores"]
@@ -359,19 +359,24 @@ def _scores(halves: DataFrame, p: Agreement, by: dict[str, str] | None = None) -
     return halves.groupBy(*by, "image_key", "kind", "level", "chunk").applyInPandas(run, schema)
 
 
+def _clicked(subs: DataFrame, p: Agreement) -> DataFrame:
+    """The stacks, written once to the shared folder: draws, partners and lots read their narrow columns from there."""
+    return settled(stacks(subs, p), "stacks")
+
+
 def split_half(subs: DataFrame, p: Agreement) -> DataFrame:
     """(image_key, level, "ceiling", iteration, score): agreement of random halves of an image's maps."""
-    return _scores(half_maps(subs, p, kinds=("ceiling",)), p)
+    return _scores(half_maps(_clicked(subs, p), p, kinds=("ceiling",)), p)
 
 
 def floor(subs: DataFrame, p: Agreement) -> DataFrame:
     """(image_key, level, "floor", iteration, score): test half against a half of another image, level by level."""
-    return _scores(half_maps(subs, p, kinds=("floor",)), p)
+    return _scores(half_maps(_clicked(subs, p), p, kinds=("floor",)), p)
 
 
 def ceiling_floor(subs: DataFrame, p: Agreement) -> DataFrame:
     """Both of the above from the same halves."""
-    return _scores(half_maps(subs, p, kinds=("ceiling", "floor")), p)
+    return _scores(half_maps(_clicked(subs, p), p, kinds=("ceiling", "floor")), p)
 
 
 def subject_sweep(subs: DataFrame, caps: list[int], p: Agreement) -> DataFrame:
@@ -382,9 +387,10 @@ def subject_sweep(subs: DataFrame, caps: list[int], p: Agreement) -> DataFrame:
     """
     rank = F.row_number().over(Window.partitionBy("image_key", "level").orderBy("ord", "sub_id"))
     every = F.explode(F.filter(F.array(*map(F.lit, caps)), lambda c: c >= F.col("_rank")))
-    capped = members(subs, p).withColumn("_rank", rank).withColumn("cap", every).drop("_rank")
+    clicked = _clicked(subs, p)
+    capped = members(clicked, p).withColumn("_rank", rank).withColumn("cap", every).drop("_rank")
     by = {"cap": "int"}
-    return _scores(half_maps(subs, p, by, capped, ("ceiling", "floor")), p, by)
+    return _scores(half_maps(clicked, p, by, capped, ("ceiling", "floor")), p, by)
 
 
 _CONSTANCY = "image_key string, axis string, diff int, level int, kind string, iteration int, score double"
@@ -404,7 +410,7 @@ def _constancy(subs: DataFrame, pairs: DataFrame, meta: DataFrame, axis: str, p:
     ``transform(map, own, other)`` maps the test frame's mean map onto the target frame. What
     it needs of the two frames comes as one row a pair; it never travels with clicks.
     """
-    halves, lots, keys = half_maps(subs, p).drop("kind", "scores"), frame_lots(pairs, p.seed), ["key", "diff", "kind"]
+    halves, lots, keys = half_maps(_clicked(subs, p), p).drop("kind", "scores"), frame_lots(pairs, p.seed), ["key", "diff", "kind"]
     role = lambda half, key: lots.select(F.col(key).alias("image_key"), F.lit(half).alias("half"), *keys)
     roles = role("test", "key").unionAll(role("ref", "target_key"))
     rows = halves.join(roles, ["image_key", "half"]).select(*keys, "level", "chunk", "half", "cells", "totals", "n", "kernel")

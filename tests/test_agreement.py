@@ -41,7 +41,7 @@ def test_keys_with_odd_characters(images, spark):
 
 
 def test_weights_make_halves_of_the_stated_sizes(images):
-    rows = agreement.half_weights(agreement.members(images("a/b.png", "a/c.png", n=7), P), P).collect()
+    rows = agreement.half_weights(agreement.members(agreement.stacks(images("a/b.png", "a/c.png", n=7), P), P), P).collect()
     for key in ("a/b.png", "a/c.png"):
         own = [r for r in rows if r.image_key == key and r.iteration == 1]
         test, ref = ([r for r in own if r.half == x] for x in ("test", "ref"))
@@ -54,7 +54,7 @@ def test_scores_against_dense_stacks(images):
     subs = images("a/b.png", "a/c.png")
     stack = {(r.image_key, r.sub_id): dense.stack_of([[c.x for c in r.clicks]], [[c.y for c in r.clicks]], 16, 16)[0] for r in subs.collect()}
     means = {}
-    for r in agreement.half_weights(agreement.members(subs, P), P).collect():
+    for r in agreement.half_weights(agreement.members(agreement.stacks(subs, P), P), P).collect():
         means[r.image_key, r.iteration, r.half] = means.get((r.image_key, r.iteration, r.half), 0) + r.weight / r["size"] * stack[r.image_key, r.sub_id].astype(float)
     for r in agreement.split_half(subs, P).collect():
         a, b = (np.round(dense.blur(means[r.image_key, r.iteration, x], 3), 10) for x in ("test", "ref"))
@@ -78,22 +78,19 @@ def test_depth_does_not_travel_with_clicks(images, spark):
     assert not any("depth" in line and ("totals" in line or "cells" in line) for line in left.splitlines())
 
 
-def exchanges(df):
-    return [line for line in plan_of(df).splitlines() if " Exchange " in line or ":- Exchange" in line or "+- Exchange" in line]
-
-
 def test_pixels_travel_once_whatever_the_iterations(images):
-    subs, plans = images("a/b.png", "a/c.png"), []
+    clicked, counts = agreement.stacks(images("a/b.png", "a/c.png"), P), []
     for iterations in (10, 100):
-        df = agreement.ceiling_floor(subs, replace(P, iterations=iterations))
-        text = df._jdf.queryExecution().optimizedPlan().toString()
-        plans.append(text)
-        # what is made of clicks is dealt out once, before any explode by iteration; draws have no clicks
-        branches = text.split("RepartitionByExpression")
-        assert sum("AS cells" in b and "transform(filter" in b for b in branches) == 1
-        draws = next(b for b in branches if "md5" in b)
-        assert "cells" not in draws.split("Union")[0].split("Window")[-1]
-    assert plans[0].count("RepartitionByExpression") == plans[1].count("RepartitionByExpression")
+        df = agreement.half_maps(clicked, replace(P, iterations=iterations), kinds=("ceiling", "floor"))
+        plan = df._jdf.queryExecution().executedPlan()
+        shuffles = [line for line in plan.toString().splitlines() if " Exchange hashpartitioning(" in line]
+        counts.append(len(shuffles))
+        # from the union up: one exchange, by image and lot; the draws' branch has no cells of its own
+        top, _, below = plan.toString().partition("Union")
+        assert top.count("Exchange hashpartitioning(image_key") == 1
+        branches = [b for b in below.split("\n") if "transform(filter(clicks" in b]
+        assert len(branches) == 1
+    assert counts[0] == counts[1]
 
 
 @pytest.mark.parametrize("levels, metric", [(1, "spearman"), (4, "auc")])
