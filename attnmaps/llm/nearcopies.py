@@ -8,8 +8,8 @@ the number of texts:
 1. texts whose SimHash fingerprints lie within three bits, by the pigeonring keys of
    :mod:`attnmaps.llm.simhash`, and texts that share a band of a MinHash sketch, each against
    the first texts of its bands, those that share the most bands with it;
-2. where these links leave a band's texts in several classes, all texts outside the largest class
-   against all of the band's, in blocks.
+2. where these links leave a band's texts in several classes, the texts of these classes by their
+   rarest shingles: similar texts have one in common among their first ones.
 
 Fingerprints alone would not do: texts of similarity 0.8 lie about 10 of 64 bits apart, often
 15, and keys for bounds that wide hold unlike texts too. The bands miss a pair of similarity s
@@ -35,11 +35,6 @@ BANDS, ROWS = 24, 5
 SEED = 42
 #: First texts that a text is compared with.
 FIRSTS = 3
-#: Texts, and bytes of text, that are held at once in the second round; more are cut in blocks.
-BLOCK = 2048
-BLOCK_BYTES = 8 << 20
-#: Texts that pass by in one task.
-PASSING = 256
 _STEP = 2048
 
 _DRAWN = np.random.default_rng(SEED)
@@ -157,66 +152,44 @@ def apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(ends[0], "u").join(ends[1], "v").where("root_u <> root_v").select("u", "v", "root_u", "root_v")
 
 
-def rest_links(left: DataFrame, classes: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
-    """(u, v): links between classes that ``left``, band pairs still apart, put together.
-
-    In every such group the texts outside its largest class are held, a block in each
-    task, and all texts of the group pass by in blocks of their own.
-    """
-    groups = connected_components(left.select(F.col("root_u").alias("u"), F.col("root_v").alias("v"))).select(F.col("node").alias("class"), F.col("root").alias("group"))
-    rows = classes.select(F.col("node").alias("fp"), F.col("root").alias("class")).join(groups, "class").join(texts, "fp").join(found.select("fp", "keys"), "fp")
-    rows = settle_table(rows.select("group", "class", "fp", "keys", F.col("text").cast("binary").alias("text")), "near-rest")
-    sizes = rows.groupBy("group", "class").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
-    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES))).cast("int")
-    top = sizes.groupBy("group").agg(F.max(F.struct("n", "bytes", "class")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
-    plan = top.select("group", F.col("top.class").alias("largest"), blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("held"), F.greatest(F.lit(1), F.ceil(F.col("n") / PASSING)).cast("int").alias("passing"))
-    rows = rows.join(plan, "group")
-    own = lambda n: F.expr(f"cast(pmod(xxhash64(fp), {n}) as int)")
-    every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
-    held = rows.where("class <> largest").select("group", own("held").alias("a"), every("passing").alias("b"), F.lit(0).alias("side"), "class", "fp", "keys", "text")
-    passing = rows.select("group", every("held").alias("a"), own("passing").alias("b"), F.lit(1).alias("side"), "class", "fp", "keys", "text")
+def ordered_sets(texts: DataFrame) -> DataFrame:
+    """(fp, class, n, ordered): every text's shingles as (count, token), those that fewest texts have first."""
 
     def run(batches):
-        task, asked, links = None, [], []
-        roots: dict[int, int] = {}
-
-        def top_of(x: int) -> int:
-            while roots.get(x, x) != x:
-                x = roots[x]
-            return x
-
-        def meet(own: int, fp: int, key: np.ndarray, text: bytes) -> None:
-            classes, fps, keys, sets = asked
-            mine = None
-            for k in np.flatnonzero((keys == key).any(axis=1)):
-                a, b = top_of(own), top_of(classes[k])
-                if a == b:
-                    continue
-                mine = shingles(text) if mine is None else mine
-                if similarity(mine, sets[k]) >= MIN_SIMILARITY:
-                    links.append((fp, fps[k]))
-                    roots[max(a, b)] = min(a, b)
-
         for batch in batches:
-            columns = [batch.column(i) for i in range(8)]
-            for group, a, b, side, own, fp, keys, text in zip(*columns, strict=True):
-                this = (group.as_py(), a.as_py(), b.as_py())
-                if this != task:
-                    task, asked, roots = this, [[], [], [], []], {}
-                values = keys.values.to_numpy()
-                if side.as_py() == 0:
-                    for held, x in zip(asked, (own.as_py(), fp.as_py(), values, shingles(text.as_py())), strict=True):
-                        held.append(x)
-                elif asked[0]:
-                    if isinstance(asked[2], list):
-                        asked[2] = np.stack(asked[2])
-                    meet(own.as_py(), fp.as_py(), values, text.as_py())
-            us, vs = zip(*links, strict=True) if links else ([], [])
-            links.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
-
-    dealt = held.unionAll(passing).repartition("group", "a", "b").sortWithinPartitions("group", "a", "b", "side")
-    return dealt.mapInArrow(run, "u long, v long")
+            sets = [shingles(x.as_py() or b"") for x in batch.column(2)]
+            flat = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
+            tokens = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)], dtype=np.int32), pa.array(flat.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), tokens], names=["fp", "class", "tokens"])
+
+    sets = texts.select("fp", "class", F.col("text").cast("binary")).mapInArrow(run, "fp long, class long, tokens array<long>")
+    rows = settle_table(sets, "near-sets").select("fp", "class", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
+    shared = rows.join(counts, "token").groupBy("fp", "class", "n").agg(F.array_sort(F.collect_list(F.struct("count", "token"))).alias("ordered"))
+    return shared
+
+
+def rest_pairs(left: DataFrame, classes: DataFrame, texts: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
+    """(u, v): pairs of texts in different classes, among all those that ``left`` puts together, that may be similar.
+
+    The shingles of a text are a ring without a common beginning, so they are put in one order for
+    all, the rarest first. Similar texts have a shingle in common among their first ones, as many
+    as may be missing and one more. At the first one in common, what comes behind it must
+    suffice for the overlap. Texts with enough shingles of their own, as where
+    they share boilerplate only, have no such first ones in common with any and cost no comparison.
+    """
+    some = left.select(F.explode(F.array("root_u", "root_v")).alias("class")).distinct()
+    rows = classes.select(F.col("node").alias("fp"), F.col("root").alias("class")).join(some, "class").join(texts, "fp")
+    own = F.col("n") - F.size("ordered")  # shingles that no other text has come first
+    first = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
+    heads = ordered_sets(rows).withColumn("own", own).where(own < first)
+    index = heads.select("fp", "class", "n", "own", F.posexplode(F.slice("ordered", F.lit(1), (first - F.col("own")).cast("int"))).alias("at", "x"))
+    index = index.select(F.col("x.token").alias("token"), "fp", "class", "n", (F.col("n") - F.col("own") - F.col("at")).alias("behind"))
+    a, b = (index.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("fp", "class", "n", "behind")]) for x in "uv")
+    enough = F.least("behind_u", "behind_v") * (1 + least) >= least * (F.col("n_u") + F.col("n_v")) - 1e-6
+    sizes = F.least("n_u", "n_v") >= least * F.greatest("n_u", "n_v") - 1e-9
+    met = a.join(b, "token").where((F.col("fp_u") < F.col("fp_v")) & (F.col("class_u") != F.col("class_v")) & enough & sizes)
+    return met.select(F.col("fp_u").alias("u"), F.col("fp_v").alias("v")).distinct()
 
 
 def near_classes(texts: DataFrame, found: DataFrame) -> DataFrame:
@@ -234,8 +207,8 @@ def near_classes(texts: DataFrame, found: DataFrame) -> DataFrame:
     left = settle(apart(bands, classes))
     if left.isEmpty():
         return classes
-    links = apart(rest_links(left, classes, found, known), classes).select(F.col("root_u").alias("u"), F.col("root_v").alias("v"))
-    return classes_of(classes, links)
+    links = verified(settle(rest_pairs(left, classes, known)), known)
+    return classes_of(classes, apart(links, classes).select(F.col("root_u").alias("u"), F.col("root_v").alias("v")))
 
 
 def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
