@@ -12,7 +12,8 @@ a fourth of its E equal ones, which form S + 1 runs. Unless a run has five token
 runs lack 4 (S + 1) - E tokens of four each: 4 at most, and with E = 13, S = 3 or fewer tokens
 3 at most. Then two neighbouring runs lack at most two between them, and one of the other
 masks lies on these. Shorter items have no such pair; their mask is the run of equal tokens
-that none of their overlaps lacks, as it is under a rule of other numbers.
+that none of their overlaps lacks, as it is under a rule of other numbers. Items of less than five tokens stand
+in texts of all kinds by chance; these are hit by documents that consist of them only.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attnmaps.llm.common import fresh
+from attnmaps.llm.common import fresh, settle
 
 #: An overlap counts with so many equal tokens, or with this share of a shorter item, and
 #: so many of its tokens equal.
@@ -35,6 +36,9 @@ MIN_SHARE = 0.8
 MIN_IDENTITY = 0.8
 #: Fixed masks, one for a long run and three for neighbouring runs that are cut by one token.
 SPACED = ("11111", "1101111", "1110111", "1111011")
+#: Shorter items must be the whole document; they have a seed of all their tokens.
+MIN_ITEM = 5
+WHOLE = "="
 #: Items of so many tokens or more are found by the fixed masks under the rule above.
 SPACED_TOKENS = 12
 #: The test items' seeds are broadcast up to this number; more are joined by a shuffle.
@@ -55,7 +59,14 @@ def token_hashes(text: str | None) -> np.ndarray:
 
 
 def seeds(hashes: np.ndarray, mask: str, number: int) -> np.ndarray:
-    """A hash of the counted positions of each window; shorter texts have none."""
+    """A hash of the counted positions of each window; shorter texts have none.
+
+    Under ``WHOLE`` a text of less than ``MIN_ITEM`` tokens has one seed of all of them.
+    """
+    if mask == WHOLE:
+        if not 0 < len(hashes) < MIN_ITEM:
+            return np.zeros(0, dtype=np.uint64)
+        return seeds(hashes, "1" * len(hashes), len(_ODD) // 2 + number)
     n = len(hashes) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
@@ -107,9 +118,11 @@ def seed_mask(n: int, min_equal: int = MIN_EQUAL, min_share: float = MIN_SHARE,
 
 
 def item_masks(n: int, masks: tuple[str, ...] | None, rule: tuple) -> tuple[str, ...]:
-    """The masks for an item of n tokens: given ones, the fixed ones, or a run."""
+    """The masks for an item of n tokens: given ones, the whole, the fixed ones, or a run."""
     if masks:
         return masks
+    if n < MIN_ITEM:
+        return (WHOLE,)
     return SPACED if n >= SPACED_TOKENS and rule == (MIN_EQUAL, MIN_SHARE, MIN_IDENTITY) else (seed_mask(n, *rule),)
 
 
@@ -239,27 +252,52 @@ def _text_key(text):
     return F.md5(text.cast("binary"))
 
 
+class _Text:
+    """A document's tokens, and its seeds under each mask in order, made when first asked for."""
+
+    def __init__(self, text: str, every: list[str]):
+        self.tokens, self.every, self.sorted = token_hashes(text), every, {}
+
+    def best(self, item: np.ndarray, masks: tuple[str, ...], rule: tuple) -> tuple[int, int, int] | None:
+        """(equal tokens, start, end) of the best overlap with an item, if any counts."""
+        found = []
+        for mask in masks:
+            number = self.every.index(mask)
+            if mask not in self.sorted:
+                own = seeds(self.tokens, mask, number)
+                order = np.argsort(own, kind="stable")
+                self.sorted[mask] = own[order], order
+            values, order = self.sorted[mask]
+            asked = seeds(item, mask, number)
+            first, last = (np.searchsorted(values, asked, side=x) for x in ("left", "right"))
+            found += [order[first[k] : last[k]] - k for k in np.flatnonzero(first < last)]
+        return best_overlap(self.tokens, item, _distinct(found), rule) if found else None
+
+
 def _by_shuffle(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] | None, rule: tuple) -> DataFrame:
     """(key, item_id, n_equal, start, end) by text, for test sets of any size.
 
-    Distinct seeds of the texts and of the items are joined; every pair of a text and
-    an item that share one is laid along once, by the code of the broadcast form.
+    Distinct seeds of the texts and of the items are joined; a seed that very many texts have is
+    split by the join. Every text that is hit then travels once, with the tokens of
+    the items that hit it behind it, and its own seeds are made once.
     """
 
-    def lengths(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([len(token_hashes(x.as_py())) for x in batch.column(0)], pa.int64())], names=["n"])
+            found = [token_hashes(x.as_py()) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.astype(">u8").tobytes() for x in found], pa.binary())], names=["item_key", "item_id", "item"])
 
-    sizes = [] if masks else items.select("text").mapInArrow(lengths, "n long").distinct().collect()  # at most a row for each length
+    tests = items.select(_text_key(F.concat_ws("\n", "item_id", "text")).alias("item_key"), "item_id", "text").mapInArrow(tokens, "item_key string, item_id long, item binary")
+    sizes = [] if masks else tests.select((F.octet_length("item") / 8).cast("int").alias("n")).distinct().collect()  # at most a row for each length
     every = sorted(set(masks or ()).union(*[item_masks(r["n"], masks, rule) for r in sizes]))
 
     def emit(whole: bool):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for own, text in zip(batch.column(0), batch.column(1), strict=True):
-                    tokens = token_hashes(text.as_py())
-                    found = [seeds(tokens, m, every.index(m)) for m in (every if whole else item_masks(len(tokens), masks, rule))]
-                    hashes = np.unique(np.concatenate(found)).astype(np.int64) if found else np.zeros(0, dtype=np.int64)
+                for own, data in zip(batch.column(0), batch.column(1), strict=True):
+                    found = token_hashes(data.as_py()) if whole else np.frombuffer(data.as_py(), dtype=">u8").astype(np.uint64)
+                    parts = [seeds(found, m, every.index(m)) for m in (every if whole else item_masks(len(found), masks, rule))]
+                    hashes = np.unique(np.concatenate(parts)).astype(np.int64) if parts else np.zeros(0, dtype=np.int64)
                     for at in range(0, len(hashes), 50_000):
                         part = hashes[at : at + 50_000]
                         yield pa.RecordBatch.from_arrays([pa.array([own.as_py()] * len(part), pa.string()), pa.array(part)], names=["key", "seed"])
@@ -267,17 +305,25 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] | None
         return run
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = None, None
         for batch in batches:
             rows = []
-            for key, text, item_id, item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows += [(key, item_id, *hit[1:]) for hit in SeedIndex([item], masks, rule).search(token_hashes(text))]
+            for own, text, item_id, item in zip(*(batch.column(c) for c in ("key", "text", "item_id", "item")), strict=True):
+                if text.is_valid:
+                    held, key = _Text(text.as_py(), every), own.as_py()
+                elif own.as_py() == key:
+                    asked = np.frombuffer(item.as_py(), dtype=">u8").astype(np.uint64)
+                    best = held.best(asked, item_masks(len(asked), masks, rule), rule)
+                    rows += [(key, item_id.as_py(), *best)] if best else []
             yield _record(rows, pa.string(), "key")
 
     texts = docs.select(_text_key(F.col("text")).alias("key"), "text").dropDuplicates(["key"])
-    tests = items.select(_text_key(F.concat_ws("\n", "item_id", "text")).alias("item_key"), "item_id", F.col("text").alias("item"))
     theirs = tests.select("item_key", "item").mapInArrow(emit(False), "key string, seed long").withColumnRenamed("key", "item_key")
-    pairs = texts.mapInArrow(emit(True), "key string, seed long").join(theirs, "seed").select("key", "item_key").distinct()
-    laid = pairs.join(texts, "key").join(tests, "item_key").select("key", "text", "item_id", "item").mapInArrow(verify, f"key string, {_FOUND}")
+    pairs = settle(texts.mapInArrow(emit(True), "key string, seed long").join(theirs, "seed").select("key", "item_key").distinct())
+    asked = pairs.join(tests, "item_key").select("key", F.lit(1).alias("side"), F.lit(None).cast("string").alias("text"), "item_id", "item")
+    hit = texts.join(pairs.select("key").distinct(), "key", "left_semi")
+    rows = hit.select("key", F.lit(0).alias("side"), "text", F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("binary").alias("item")).unionAll(asked)
+    laid = rows.repartition("key").sortWithinPartitions("key", "side").mapInArrow(verify, f"key string, {_FOUND}")
     best = F.min(F.struct((-F.col("n_equal")).alias("n"), "start", "end")).alias("x")
     return laid.groupBy("key", "item_id").agg(best).select("key", "item_id", (-F.col("x.n")).alias("n_equal"), "x.start", "x.end")
 
@@ -296,7 +342,8 @@ def overlaps(
     """(id, item_id, n_equal, start, end): every row of docs and test item that overlap.
 
     ``start`` and ``end`` count the document's tokens. Null or empty texts and items
-    overlap with nothing. Without ``masks`` every overlap under the rule is found; given ones
+    overlap with nothing, and items of less than ``MIN_ITEM`` tokens only with documents
+    that are the same tokens. Without ``masks`` every overlap under the rule is found; given ones
     find what agrees under them, and nothing of items shorter than these. Rows that repeat an
     id or have none are judged by their own texts, a row of the result each. Items that
     share an id, or have none, are one item, of which the best overlap counts.

@@ -26,6 +26,8 @@ def most_equal(doc, item):
 
 
 def leaks(doc, item):
+    if len(item) < 5:
+        return bool(item) and doc == item
     return bool(item) and most_equal(doc, item) >= min(13, 0.8 * len(item))
 
 
@@ -39,7 +41,9 @@ def plain_leaks(text, items):
     known, whole = set(doc), np.array(doc, dtype=object)
     for item in items:
         least = min(13, 0.8 * len(item))
-        if not item or sum(x in known for x in item) < least:
+        if 0 < len(item) < 5 and doc == item:
+            return True
+        if len(item) < 5 or sum(x in known for x in item) < least:
             continue
         own = np.array(item, dtype=object)
         for shift in range(1 - len(item), len(doc)):
@@ -91,7 +95,7 @@ def test_rows_of_one_id_and_of_none(spark, limit):
     assert worst == {1: (2, 5, 20), None: (2, 5, 14)}
 
 
-@pytest.mark.parametrize("n, gone, equal", [(18, (8, 9), 16), (27, (12, 13, 14), 24), (16, (7, 8), 14), (5, (2,), 4), (7, (3,), 6), (15, (3, 7, 11), 12), (2, (), 2)])
+@pytest.mark.parametrize("n, gone, equal", [(18, (8, 9), 16), (27, (12, 13, 14), 24), (16, (7, 8), 14), (5, (2,), 4), (7, (3,), 6), (15, (3, 7, 11), 12)])
 @pytest.mark.parametrize("limit", [decontam.BROADCAST_SEEDS, 0])
 def test_clustered_substitutions(spark, n, gone, equal, limit):
     item = [f"t{k}" for k in range(n)]
@@ -116,3 +120,22 @@ def test_random_substitutions_against_the_rule(spark, limit):
     rows = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], DOC)
     found = decontam.overlaps(rows, spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)], ITEM), broadcast_seeds=limit)
     assert {(r.id, r.item_id) for r in found.collect()} == want and len(want) > 60
+
+
+@pytest.mark.parametrize("limit", [decontam.BROADCAST_SEEDS, 0])
+def test_items_of_few_words_are_no_passages(spark, limit):
+    items = spark.createDataFrame([(1, "yes"), (2, "The house"), (3, "one two three four"), (4, "a b c d e")], ITEM)
+    rows = [(1, "Yes, it was a long day"), (2, "we went into the house"), (3, "yes!"), (4, "the House"), (5, "house the"), (6, "one two three four five"), (7, "x a b c d e y"), (8, "yes yes"), (9, "One two, three four")]
+    docs = spark.createDataFrame(rows, DOC)
+    found = {(r.id, r.item_id, r.n_equal, r.start, r.end) for r in decontam.overlaps(docs, items, broadcast_seeds=limit).collect()}
+    assert found == {(3, 1, 1, 0, 1), (4, 2, 2, 0, 2), (7, 4, 5, 1, 6), (9, 3, 4, 0, 4)}
+    assert {r.doc_id for r in decontam.keep_clean(docs, items, broadcast_seeds=limit).collect()} == {1, 2, 5, 6, 8}
+
+
+def test_a_seed_in_every_document(spark):
+    """Every document begins with five tokens of many items; few overlap, and no task has them all."""
+    rows = [(k, "all rights reserved by the " + (" ".join(f"t{k % 7}x{j}" for j in range(14)) if k % 100 == 0 else f"owner {k} of this page")) for k in range(4000)]
+    items = [(i, "all rights reserved by the " + " ".join(f"t{i}x{j}" for j in range(14))) for i in range(7)]
+    docs, tests = spark.createDataFrame(rows, DOC).repartition(4), spark.createDataFrame(items, ITEM)
+    wide, narrow = (sorted(tuple(r) for r in decontam.overlaps(docs, tests, broadcast_seeds=n).collect()) for n in (0, decontam.BROADCAST_SEEDS))
+    assert wide == narrow and {r[0] for r in wide} == set(range(0, 4000, 100))

@@ -74,3 +74,38 @@ def test_very_many_addresses(spark, model):
 def test_redaction_of_overlapping_spans(spark):
     df = spark.createDataFrame([("0123456789", [("b", 2, 6), ("a", 4, 8), ("c", 8, 9)]), ("xyz", []), ("😀ab", [("k", 0, 2)])], "t string, s array<struct<kind:string,start:int,end:int>>")
     assert [r[0] for r in df.select(pii.redact(F.col("t"), F.col("s"))).collect()] == ["01<b><c>9", "xyz", "<k>b"]
+
+
+def test_trees_as_a_column_against_the_model(spark, model):
+    """Probabilities of the expression equal those of the fitted model on the same features."""
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate([*PERSONAL, *CLEAN])], DOC)
+    found = rows.where("text is not null").select(F.explode(pii.candidates(F.col("text"))).alias("c"))
+    names = [f"f{i}" for i in range(pii.FEATURES)]
+    flat = found.select(model.probability(F.col("c")).alias("own"), *[f"c.{x}" for x in names])
+    scored = model.model.transform(VectorAssembler(inputCols=names, outputCol="features").transform(flat)).collect()
+    assert len(scored) > 20 and all(abs(r.own - r.probability[1]) < 1e-9 for r in scored) and len({round(r.own, 6) for r in scored}) > 5
+
+
+def test_sample_of_few_distinct_texts(spark):
+    """Copies don't shrink the sample, and a generator without a threshold is reported."""
+    docs = queries.table(spark, SF, "documents").where("length(text) > 500").limit(5).select("text")
+    many = docs.crossJoin(spark.range(4000)).select("text")
+    assert {tuple(r) for r in pii.training_rows(many, "text", 2000).collect()} == {tuple(r) for r in pii.training_rows(docs, "text", 2000).collect()} != set()
+    with pytest.warns(UserWarning, match="no threshold"):
+        pii.train(docs.limit(1))
+
+
+LEFT_OUT = {"email": 1, "number": 9, "account": 25, "secret": 30}
+
+
+def test_forms_left_out_of_training(spark):
+    """One form of every kind that training never saw, all four at once; figures of each form are in the README."""
+    docs = queries.table(spark, SF, "documents")
+    own = pii.train(docs, without=tuple(LEFT_OUT.values()))
+    rows = pii.planted(docs, "text", "anew").where("fold = 4").where(F.col("form").isin(*LEFT_OUT.values()))
+    hit = F.exists(own.chosen(pii.candidates(F.col("text"))), lambda c: (c["start"] < F.col("end")) & (F.col("start") < c["end"]))
+    recall = {r.kind: r.share for r in rows.groupBy("kind").agg(F.avg(hit.cast("int")).alias("share")).collect()}
+    print("recall of forms left out", recall)
+    assert set(recall) == set(LEFT_OUT) and sum(x >= 0.5 for x in recall.values()) >= 2
