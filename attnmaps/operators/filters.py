@@ -104,13 +104,18 @@ def limit_clicks(subs: DataFrame, min_clicks: int, max_clicks: int, mode: str =
 
 
 def min_subjects(subs: DataFrame, n: int) -> DataFrame:
-    """Images with at least n submissions; counted where the rows of an image already meet."""
-    own = Window.partitionBy("image_key")
-    return subs.withColumn("_n", F.count(F.lit(1)).over(own)).where(F.col("_n") >= n).drop("_n")
+    """Images with at least n submissions, counted in two stages; the rows of an image needn't meet in a task."""
+    if n <= 1:
+        return subs.where(F.col("image_key").isNotNull())
+    counts = subs.groupBy("image_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= n)
+    return subs.join(counts.select("image_key"), "image_key", "left_semi")
 
 
 def max_subjects(subs: DataFrame, n: int) -> DataFrame:
-    """The first n submissions of each image; all if n is 0 or less."""
+    """The first n submissions of each image; all if n is 0 or less.
+
+    Spark keeps n rows of an image in each task before they meet.
+    """
     if n <= 0:
         return subs
     own = Window.partitionBy("image_key").orderBy("ord", "sub_id")
@@ -120,8 +125,7 @@ def max_subjects(subs: DataFrame, n: int) -> DataFrame:
 def dedupe_first(subs: DataFrame, key: str | None = "image_key") -> DataFrame:
     """The earliest submission of each user and image path, by time, else by file order.
 
-    The image key is a function of the path; with it in front, one partitioning by key
-    serves this and all steps by image.
+    The rows of one user meet, never those of an image, and each task sends its earliest.
     """
     if "user_id" not in subs.columns:
         warnings.warn("no user_id: duplicates can't be told", stacklevel=2)

@@ -6,10 +6,10 @@ dense; the dense form exists for one image at a time, inside a helper.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +42,22 @@ def rasterise_decay(subs: DataFrame, h: int, w: int, tau: float = 0.5, mode: str
     return pixels(subs, h, w).groupBy("image_key", "sub_id", "y", "x").agg(F.sum(weight).alias("v")).where("v > 0")
 
 
+def counted_cells(subs: DataFrame, h: int, w: int) -> DataFrame:
+    """(image_key, sub_id, cells, clicks): each submission's cells y * w + x with their n, and the sum of n.
+
+    A submission's row is all that is needed. Counts end at 255, so only longer lists are
+    counted cell by cell; in others a cell may stand several times.
+    """
+    inside = lambda c: c["x"].between(0, w - 1) & c["y"].between(0, h - 1)
+    cells = F.transform(F.filter("clicks", inside), lambda c: (c["y"] * w + c["x"]).cast("int"))
+    pair = lambda c, n: F.struct(c.alias("cell"), n.cast("int").alias("n"))
+    rows = subs.select("image_key", "sub_id", cells.alias("_cells"))
+    once = F.transform("_cells", lambda c: pair(c, F.lit(1)))
+    capped = F.transform(F.array_distinct("_cells"), lambda c: pair(c, F.least(F.lit(MAX_COUNT), F.size(F.filter("_cells", lambda d: d == c)))))
+    rows = rows.select("image_key", "sub_id", F.when(F.size("_cells") <= MAX_COUNT, once).otherwise(capped).alias("cells"))
+    return rows.withColumn("clicks", F.aggregate("cells", F.lit(0), lambda a, x: a + x["n"]))
+
+
 def valid_maps(rasters: DataFrame, min_clicks: int) -> DataFrame:
     """(image_key, sub_id): submissions with at least so many clicks within bounds."""
     return rasters.groupBy("image_key", "sub_id").agg(F.sum("n").alias("clicks")).where(F.col("clicks") >= min_clicks).select("image_key", "sub_id")
@@ -57,9 +73,8 @@ def keep_valid(rasters: DataFrame, min_clicks: int, min_subjects: int = 0) -> Da
     own = Window.partitionBy("image_key", "sub_id")
     rows = rasters.withColumn("_s", F.sum("n").over(own)).where(F.col("_s") >= min_clicks).drop("_s")
     if min_subjects:
-        image = Window.partitionBy("image_key")
-        rows = rows.withColumn("_m", _first_of("image_key", "sub_id"))
-        rows = rows.withColumn("_m", F.sum("_m").over(image)).where(F.col("_m") >= min_subjects).drop("_m")
+        counts = rows.select("image_key", "sub_id").distinct().groupBy("image_key").agg(F.count(F.lit(1)).alias("_m"))
+        rows = rows.join(counts.where(F.col("_m") >= min_subjects).select("image_key"), "image_key", "left_semi")
     return rows
 
 
@@ -151,22 +166,32 @@ def blur_sparse(maps: DataFrame, size: int, h: int, w: int) -> DataFrame:
     return maps
 
 
-def dense_by_image(maps: DataFrame, helper: Callable[[np.ndarray, pd.Series], np.ndarray], schema: str, extra: list[str]) -> DataFrame:
+def dense_by_image(maps: DataFrame, helper: Callable[[np.ndarray, dict], np.ndarray], schema: str, extra: list[str]) -> DataFrame:
     """Apply a numpy helper to every image's dense map; ``extra`` holds per-image columns.
 
     ``maps`` has rows (image_key, y, x, v, h, w), maybe a level, and the extra columns.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        dense = np.zeros((int(first["h"]), int(first["w"])))
-        dense[pdf["y"].to_numpy(), pdf["x"].to_numpy()] = pdf["v"]
-        out = helper(dense, first)
-        row = {"image_key": [first["image_key"]], "level": [first["level"]], "h": [out.shape[0]], "w": [out.shape[1]], "data": [out.ravel().astype(np.float32)]}
-        return pd.DataFrame(row)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [n for n in batch.schema.names if n != "px"]
+            px = batch.column("px")
+            y, x, v = (px.values.field(c).to_numpy(zero_copy_only=False) for c in ("y", "x", "v"))
+            starts = px.offsets.to_numpy()
+            for i, row in enumerate(batch.select(names).to_pylist()):
+                own = slice(starts[i], starts[i + 1])
+                dense = np.zeros((row["h"], row["w"]))
+                dense[y[own], x[own]] = v[own]
+                out = helper(dense, row)
+                values = pa.array(out.ravel().astype(np.float32))
+                columns = [pa.array([row["image_key"]]), pa.array([row["level"]], pa.int32()), pa.array([out.shape[0]], pa.int32()), pa.array([out.shape[1]], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)]
+                yield pa.RecordBatch.from_arrays(columns, names=["image_key", "level", "h", "w", "data"])
 
     level = F.col("level") if "level" in maps.columns else F.lit(0)
-    return maps.select("image_key", level.cast("int").alias("level"), "y", "x", "v", "h", "w", *extra).groupBy("image_key", "level").applyInPandas(run, schema)
+    rows = maps.withColumn("level", level.cast("int"))
+    one = [F.first(c).alias(c) for c in dict.fromkeys(["h", "w", *extra])]
+    images = rows.groupBy("image_key", "level").agg(F.collect_list(F.struct("y", "x", F.col("v").cast("double").alias("v"))).alias("px"), *one)  # h * w pixels at most
+    return images.mapInArrow(run, schema)
 
 
 HEATMAP = "image_key string, level int, h int, w int, data array<float>"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from attnmaps.functions.clicks import kernel_size
 from attnmaps.functions.paths import image_key
 from attnmaps.operators import agreement, filters, raster, stats
+from attnmaps.sources.shared import settled
 
 
 @dataclass(frozen=True)
@@ -33,15 +34,17 @@ class Prepare:
 
 
 def clean(subs: DataFrame, p: Prepare, classes: DataFrame | None = None) -> DataFrame:
-    """Submissions after all filters, clustered by image key.
+    """Submissions after all filters.
 
     Deduplication comes before the click limits, so a short first submission hides a
-    later one. One exchange by image key serves it, the counts and what follows.
+    later one. No step gathers the rows of an image: a user's rows of an image meet, and
+    images are counted in two stages. Where images are counted, what is left is written to the shared
+    folder first, so that counting reads one column of it.
     """
     rows = filters.filter_catch(subs, p.catch_threshold)
     if not p.mobile:
         rows = filters.filter_mobile(rows)
-    rows = rows.withColumn("image_key", image_key(F.col("image_path"))).repartition("image_key")
+    rows = rows.withColumn("image_key", image_key(F.col("image_path")))
     if not p.duplicates:
         rows = filters.dedupe_first(rows)
     if p.include:
@@ -50,13 +53,24 @@ def clean(subs: DataFrame, p: Prepare, classes: DataFrame | None = None) -> Data
     rows = filters.limit_clicks(filters.drop_trivial(rows), p.min_clicks, p.max_clicks, p.clicks_mode)
     if classes is not None:
         rows = filters.filter_classes(rows, classes)
+    if p.min_subjects > 1:
+        rows = settled(rows, "clean")
     return filters.max_subjects(filters.min_subjects(rows, p.min_subjects), p.max_subjects)
 
 
 def mean_maps(cleaned: DataFrame, p: Prepare, h: int, w: int) -> DataFrame:
-    """(image_key, y, x, v): mean raster of the valid submissions of each image."""
-    rasters = raster.rasterise(cleaned, h, w)
-    return raster.mean_map(raster.keep_valid(rasters, p.min_clicks, p.min_subjects if p.recheck else 0))
+    """(image_key, y, x, v): mean raster of the valid submissions of each image.
+
+    Cells are counted within a submission's row and summed in two stages, so a task of an image
+    of very many submissions sends its pixels once.
+    """
+    rows = raster.counted_cells(cleaned, h, w).where(F.col("clicks") >= max(1, p.min_clicks))
+    counts = rows.groupBy("image_key").agg(F.count(F.lit(1)).alias("maps"))
+    if p.recheck:
+        counts = counts.where(F.col("maps") >= p.min_subjects)
+    sums = rows.select("image_key", F.inline("cells")).groupBy("image_key", "cell").agg(F.sum("n").alias("v"))
+    cell = F.col("cell")
+    return sums.join(counts, "image_key").select("image_key", F.floor(cell / w).cast("int").alias("y"), (cell % w).cast("int").alias("x"), (F.col("v") / F.col("maps")).alias("v"))
 
 
 def heatmaps(cleaned: DataFrame, p: Prepare) -> DataFrame:

@@ -117,12 +117,35 @@ def test_participant_filter_debug(subs, spark):
     assert ids(players.participant_filter(rows, verdicts, debug=True)) == [2]
 
 
-def test_heatmaps_have_one_exchange_by_image(spark):
+def test_no_step_gathers_the_rows_of_an_image(spark):
     t = Inputs(spark, "/root/testdata/sf0.001")
-    wide = t.spark.createDataFrame(t.subs.limit(50).toPandas().drop(columns=["image_key"], errors="ignore"), schema=t.subs.schema)
-    plan = jobs.heatmaps(jobs.clean(wide, jobs.Prepare(image_shape=(32, 32))), jobs.Prepare(image_shape=(32, 32)))
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    assert text.count("Exchange hashpartitioning") == 1
+    p = jobs.Prepare(image_shape=(32, 32))
+    text = jobs.clean(t.subs, p)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in text and "windowspecdefinition(image_key#" in text
+    assert all("user_id" in line for line in text.splitlines() if "windowspecdefinition(image_key" in line or "Exchange hashpartitioning(image_key" in line)
+    wide = jobs.mean_maps(jobs.clean(t.subs, jobs.Prepare(image_shape=(32, 32), min_subjects=5)), p, 32, 32)
+    text = wide._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in text and text.count("partial_sum(n") == 1  # pixels are summed before they travel
+
+
+def test_hot_image_is_many_tasks(spark):
+    """An image with nearly all rows: its rows are spread by user, and pixels are combined in every task."""
+    rows = [sub(k, 3, image="a/hot.png" if k % 10 else "a/b.png", user=k % 700, clicks=[(k % 5, 1), (2, k % 3), (7, 7)]) for k in range(4000)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    cleaned = jobs.clean(df, jobs.Prepare(image_shape=(8, 8), min_subjects=2))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r[0] for r in filters.dedupe_first(df).groupBy(F.spark_partition_id()).count().select("count").collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 4 and max(sizes) < 0.4 * sum(sizes)
+    means = {(r.image_key, r.y, r.x): r.v for r in jobs.mean_maps(cleaned, jobs.Prepare(image_shape=(8, 8)), 8, 8).collect()}
+    first = {}
+    for r in sorted(df.collect(), key=lambda r: (r.ts is None, r.ts, r.ord)):
+        first.setdefault((r.image_path, r.user_id), r)
+    own = [r for (path, _), r in first.items() if path.endswith("hot.png")]
+    for y, x in ((1, 0), (7, 7), (0, 2)):
+        assert means["a/hot.png", y, x] == pytest.approx(sum((c.y, c.x) == (y, x) for r in own for c in r.clicks) / len(own))
 
 
 def test_image_key(spark):
