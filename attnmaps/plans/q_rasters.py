@@ -199,15 +199,25 @@ def ras17_pair_distances(t):
 
 
 def halves(t):
-    """(image_key, a, b): dense mean maps of even and odd submissions of each image."""
+    """(image_key, a, b): dense mean maps of even and odd submissions of each image, from pixels summed by Spark."""
+    rows = raster.counted_cells(cleaned(t), SIDE, SIDE).withColumn("odd", F.col("sub_id") % 2 == 1)
+    counts = rows.groupBy("image_key").agg(F.count_if(~F.col("odd")).alias("ca"), F.count_if("odd").alias("cb"))
+    part = lambda on, name: F.coalesce(F.sum(F.when(on, F.col("n"))), F.lit(0)).alias(name)
+    sums = rows.select("image_key", "odd", F.inline("cells")).groupBy("image_key", "cell").agg(part(~F.col("odd"), "sa"), part(F.col("odd"), "sb"))
+    px = sums.groupBy("image_key").agg(F.collect_list("cell").alias("cells"), F.collect_list("sa").alias("sa"), F.collect_list("sb").alias("sb"))  # a row a pixel
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        stack, even = dense.stack_of(pdf["xs"], pdf["ys"], SIDE, SIDE), (pdf["sub_id"] % 2 == 0).to_numpy()
-        mean = lambda m: (m.sum(0, dtype=np.float64) / max(1, len(m))).ravel()
-        return pd.DataFrame({"image_key": [pdf["image_key"].iloc[0]], "a": [mean(stack[even])], "b": [mean(stack[~even])]})
+    def run(frames):
+        def dense_of(cells, values, n):
+            out = np.zeros(SIDE * SIDE)
+            if cells is not None:
+                out[np.asarray(cells, dtype=int)] = values
+            return out / max(1, n)
+
+        for pdf in frames:
+            own = {name: [dense_of(*x) for x in zip(pdf["cells"], pdf[f"s{name}"], pdf[f"c{name}"], strict=True)] for name in "ab"}
+            yield pd.DataFrame({"image_key": pdf["image_key"], **own})
 
-    rows = cleaned(t).select("image_key", "sub_id", F.col("clicks.x").alias("xs"), F.col("clicks.y").alias("ys"))
-    return rows.groupBy("image_key").applyInPandas(run, "image_key string, a array<double>, b array<double>")
+    return counts.join(px, "image_key", "left").mapInPandas(run, "image_key string, a array<double>, b array<double>")
 
 
 def scored(t, name):
@@ -275,7 +285,30 @@ def met7_rank_cosine(t):
     return scored(t, "rank_cosine")
 
 
-@query()
+def _sinkhorn(rounds=10):
+    """The tables of the transport plan's factors u and v after so many rounds; the kernel acts on rows and columns in turn."""
+    both = lambda name, of, k1="k", k2="k": (
+        f"{name}x AS (SELECT image_key, y, i AS x, sum(v * {k1}) AS v FROM {of} JOIN kr ON j = x GROUP BY ALL),\n"
+        f"{name} AS (SELECT image_key, i AS y, x, sum(v * {k2}) AS v FROM {name}x JOIN kr ON j = y GROUP BY ALL)"
+    )
+    tables, last = [], "v0"
+    for r in range(rounds):
+        for name, mass, of in (("u", "a", last), ("v", "b", f"u{r + 1}")):
+            tables.append(both(f"m{name}{r}", of))
+            tables.append(f"{name}{r + 1} AS MATERIALIZED (SELECT image_key, y, x, {mass} / m.v AS v FROM ms JOIN m{name}{r} m USING (image_key, y, x))")
+        last = f"v{r + 1}"
+    return ",\n".join([*tables, both("cx", last, "k * c", "k"), both("cy", last, "k", "k * c")])
+
+
+TRANSPORT = f"""{HALVES},
+kr AS MATERIALIZED (SELECT i, j, power((i - j) / {SIDE - 1}.0, 2) AS c, exp(-power((i - j) / {SIDE - 1}.0, 2) / 0.2) AS k FROM range({SIDE}) r(i), range({SIDE}) s(j)),
+mz AS (SELECT image_key, i // {SIDE} AS y, i % {SIDE} AS x, greatest((a - avg(a) OVER w) / (stddev_pop(a) OVER w + 1e-8), 0) + 1e-12 AS a, greatest((b - avg(b) OVER w) / (stddev_pop(b) OVER w + 1e-8), 0) + 1e-12 AS b FROM ha WINDOW w AS (PARTITION BY image_key)),
+ms AS MATERIALIZED (SELECT image_key, y, x, a / sum(a) OVER w AS a, b / sum(b) OVER w AS b FROM mz WINDOW w AS (PARTITION BY image_key)),
+v0 AS MATERIALIZED (SELECT image_key, y, x, 1.0::DOUBLE AS v FROM ms),
+{_sinkhorn()}"""
+
+
+@query("SELECT image_key, round(sum(u10.v * (cx.v + cy.v)), 6) AS score FROM u10 JOIN cx USING (image_key, y, x) JOIN cy USING (image_key, y, x) GROUP BY image_key", *BOTH, extra=TRANSPORT)
 def met8_emd(t):
     return scored(t, "emd")
 
