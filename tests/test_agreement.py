@@ -136,6 +136,20 @@ def test_nearest_of_many_near_equal_references(spark, tmp_path, scale):
     assert joins.nearest_reference(queries, refs.limit(0), f"file://{tmp_path}/none").count() == 0
 
 
+def test_clusters_far_off_are_not_read(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 16)) * 50
+    known, asked = (np.concatenate([c + rng.normal(size=(n, 16)) for c in centres]) for n in (60, 12))
+    known[5] = known[17]  # a tie
+    make = lambda m: spark.createDataFrame([(int(k), v.tolist()) for k, v in enumerate(m)], "id long, embedding array<double>")
+    counter = spark.sparkContext.accumulator(0)
+    found = {r.id: (r.ref_id, r.distance) for r in joins.nearest_reference(make(asked).repartition(3), make(known), f"file://{tmp_path}/refs", counter=counter).collect()}
+    for k, v in enumerate(asked):
+        distances = np.sqrt(((known - v) ** 2).sum(1))
+        assert found[k] == (int(distances.argmin()), float(distances.min()))
+    assert len(found) == 480 and 0 < counter.value < 4 * joins.PIVOTS
+
+
 def test_subjects_are_counted_without_sets(images):
     rows = raster.keep_valid(raster.rasterise(images("a/b.png"), 16, 16), 1, 3)
     assert "collect_set" not in plan_of(rows) and rows.select("sub_id").distinct().count() == 8
