@@ -153,7 +153,7 @@ def apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def ordered_sets(texts: DataFrame) -> DataFrame:
-    """(fp, class, n, ordered): every text's shingles as (count, token), those that fewest texts have first."""
+    """(fp, class, n, ordered): every text's shingles that others have as (count, token), the rarest first."""
 
     def run(batches):
         for batch in batches:
@@ -163,10 +163,11 @@ def ordered_sets(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), tokens], names=["fp", "class", "tokens"])
 
     sets = texts.select("fp", "class", F.col("text").cast("binary")).mapInArrow(run, "fp long, class long, tokens array<long>")
-    rows = settle_table(sets, "near-sets").select("fp", "class", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    sets = settle_table(sets, "near-sets")
+    rows = sets.select("fp", F.explode("tokens").alias("token"))  # narrow: most tokens have one text only
     counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
-    shared = rows.join(counts, "token").groupBy("fp", "class", "n").agg(F.array_sort(F.collect_list(F.struct("count", "token"))).alias("ordered"))
-    return shared
+    shared = rows.join(counts, "token").groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("count", "token"))).alias("ordered"))
+    return sets.select("fp", "class", F.size("tokens").alias("n")).join(shared, "fp")
 
 
 def rest_pairs(left: DataFrame, classes: DataFrame, texts: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:

@@ -13,8 +13,11 @@ import numpy as np
 
 #: Ids leave the encoder in this form.
 ID_TYPE = np.dtype("<u4")
-#: Entries after which a worker's cache starts anew (about 200 bytes each).
-CACHE_ENTRIES = 1_000_000
+#: Bytes that a worker's two caches take, at about so many an entry, and the entries of each; a
+#: full one starts anew.
+CACHE_BYTES, ENTRY_BYTES = 96 << 20, 220
+WORD_ENTRIES = CACHE_BYTES * 3 // 4 // ENTRY_BYTES
+PIECE_ENTRIES = CACHE_BYTES // 4 // ENTRY_BYTES
 
 
 def _byte_letters() -> list[str]:
@@ -69,7 +72,7 @@ class PieceEncoder(dict):
     def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            if len(self.pieces) >= CACHE_ENTRIES:
+            if len(self.pieces) >= PIECE_ENTRIES:
                 self.pieces.clear()
             ids = self._ids(piece)
             if len(piece) <= 64:
@@ -87,7 +90,7 @@ class PieceEncoder(dict):
 
     def _own(self, part: str, ids: bytes) -> bytes:
         if len(part) <= 64:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= WORD_ENTRIES:
                 self.clear()
             self[part] = ids
         return ids
