@@ -42,14 +42,15 @@ def rasterise_decay(subs: DataFrame, h: int, w: int, tau: float = 0.5, mode: str
     return pixels(subs, h, w).groupBy("image_key", "sub_id", "y", "x").agg(F.sum(weight).alias("v")).where("v > 0")
 
 
-def counted_cells(subs: DataFrame, h: int, w: int) -> DataFrame:
+def counted_cells(subs: DataFrame, h: int | Column, w: int | Column) -> DataFrame:
     """(image_key, sub_id, cells, clicks): each submission's cells y * w + x with their n, and the sum of n.
 
     A submission's row is all that is needed. Counts end at 255, so only longer lists are
     counted cell by cell; in others a cell may stand several times.
     """
-    inside = lambda c: c["x"].between(0, w - 1) & c["y"].between(0, h - 1)
-    cells = F.transform(F.filter("clicks", inside), lambda c: (c["y"] * w + c["x"]).cast("int"))
+    wide, high = (F.lit(n) if isinstance(n, int) else n for n in (w, h))
+    inside = lambda c: c["x"].between(F.lit(0), wide - 1) & c["y"].between(F.lit(0), high - 1)
+    cells = F.transform(F.filter("clicks", inside), lambda c: (c["y"] * wide + c["x"]).cast("int"))
     pair = lambda c, n: F.struct(c.alias("cell"), n.cast("int").alias("n"))
     rows = subs.select("image_key", "sub_id", cells.alias("_cells"))
     once = F.transform("_cells", lambda c: pair(c, F.lit(1)))

@@ -117,6 +117,15 @@ mv AS (SELECT key, diff, kind, level, iteration, half, CAST(ty AS INT) AS y, CAS
 #: Test maps moved to the side by a fifth of the difference of two frames' numbers.
 SHIFTED = f"""mv AS (SELECT key, diff, kind, level, iteration, half, y, CAST(round(x + 0.2 * s) AS INT) AS x, v FROM ft WHERE s IS NOT NULL AND round(x + 0.2 * s) BETWEEN 0 AND {SIDE - 1})"""
 
+#: Test maps seen by a camera a fifth of the frames' difference further, where the left half is two and a half times as
+#: deep and moves less far: rounded places, the nearest point of a cell, and nothing behind the target's surface.
+DEPTHS = f"""pj AS (SELECT key, diff, kind, level, iteration, half, y, x, v, CAST(round_even(x + s * 0.1 * CASE WHEN x < {SIDE // 2} THEN 0.8 ELSE 2 END, 0) AS INT) AS tx, CASE WHEN x < {SIDE // 2} THEN 25 ELSE 10 END AS z
+  FROM (SELECT l.*, g.y, g.x, coalesce(ft.v, 0) AS v FROM (SELECT DISTINCT key, diff, kind, s, level, iteration, half FROM ft WHERE s IS NOT NULL) l
+    CROSS JOIN (SELECT y, x FROM range({SIDE}) r(y), range({SIDE}) s(x)) g LEFT JOIN ft USING (key, diff, kind, level, iteration, half, y, x))),
+fr2 AS (SELECT *, row_number() OVER (PARTITION BY key, diff, kind, level, iteration, half, y, tx ORDER BY z, x DESC) AS rn FROM pj
+  WHERE tx BETWEEN 0 AND {SIDE - 1} AND z <= 1.1 * CASE WHEN tx < {SIDE // 2} THEN 25 ELSE 10 END),
+mv AS (SELECT key, diff, kind, level, iteration, half, y, tx AS x, v FROM fr2 WHERE rn = 1 AND v <> 0)"""
+
 
 def frame_job(pairs: str, ratio: str, moved: str, seed: int, iterations: int) -> str:
     """The tables of constancy: pairs (key, diff, target_key) and fr (frame_key, scale, frame)."""

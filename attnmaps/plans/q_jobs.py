@@ -121,6 +121,48 @@ def w3_scale_constancy(t):
     return _rounded(summary, "mean_ceiling", "mean_floor").withColumn("ratio", F.round("ratio", 4))
 
 
+W3_ROTATION = f"{CLEAN},\n{own.frame_job(own.ROTATION_PAIRS, 'b.frame - a.frame', own.DEPTHS, 3, 2)}"
+
+
+@query("""SELECT 'rotation' AS axis, diff, round(c, 5) AS mean_ceiling, round(f, 5) AS mean_floor, round(c / nullif(f, 0), 4) AS ratio FROM (SELECT diff, avg(score) FILTER (kind = 'ceiling') AS c, avg(score) FILTER (kind = 'floor') AS f
+  FROM (SELECT key, diff, kind, avg(score) AS score FROM sr GROUP BY ALL) GROUP BY diff)""", *BOTH, "frames", extra=W3_ROTATION)
+def w3_rotation_constancy(t):
+    """Cameras that shift to the side before a surface of two depths, of which the near half hides parts of the far one."""
+    pairs = joins.frame_pairs(t.frames, "rotation")[0]
+    row = lambda *xs: F.array(*[F.lit(float(x)) if not hasattr(x, "alias") else x for x in xs])
+    shift = (F.col("image_id") % 24).cast("double") / 10
+    depth = F.transform(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)), lambda i: F.when(i % SIDE < SIDE // 2, 25.0).otherwise(10.0))
+    cameras = t.frames.select(
+        F.col("frame_key").alias("key"), F.array(row(1, 0, 0, shift), row(0, 1, 0, 0), row(0, 0, 1, 0), row(0, 0, 0, 1)).alias("w2c"),
+        F.array(row(20, 0, 16), row(0, 20, 16), row(0, 0, 1)).alias("k"), depth.alias("depth"),
+    )
+    summary = jobs.rotation_constancy(_framed(t), pairs, cameras, replace(SMALL, iterations=2))[1]
+    return _rounded(summary, "mean_ceiling", "mean_floor").withColumn("ratio", F.round("ratio", 4))
+
+
+WHOLE = f"""{SUB},
+dd AS (SELECT *, row_number() OVER (PARTITION BY image_key, user_id, image_path ORDER BY ts NULLS LAST, ord) AS rn FROM sub WHERE user_catch_trial >= 0.95 AND NOT is_mobile),
+cl AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY image_key) AS subjects FROM dd
+  WHERE rn = 1 AND n > 1 AND split_part(image_key, '/', 1) IN (SELECT category FROM classes) AND sub_id % 3 <> 0) WHERE subjects >= 5),
+sz AS (SELECT image_key, coalesce(height, 32) AS h, coalesce(width, 32) AS w FROM (SELECT DISTINCT image_key FROM cl) LEFT JOIN dims USING (image_key)),
+px AS (SELECT c.*, image_key FROM clicks c JOIN cl USING (sub_id) JOIN sz USING (image_key) WHERE pos < 6 AND x >= 0 AND x < w AND y >= 0 AND y < h),
+vi AS (SELECT image_key, count(DISTINCT sub_id) AS maps FROM px GROUP BY image_key HAVING count(DISTINCT sub_id) >= 5),
+mm AS (SELECT image_key, y, x, count(*) / any_value(maps) AS v FROM px JOIN vi USING (image_key) GROUP BY image_key, y, x),
+io AS (SELECT image_key, count(*) FILTER (a AND b) / count(*) FILTER (a OR b) AS iou
+  FROM (SELECT k.image_key, coalesce(m.v > bar, false) AS a, g.x BETWEEN x0 AND x1 AND g.y BETWEEN y0 AND y1 AS b
+    FROM masks JOIN (SELECT image_key, max(v) * 0.5 AS bar FROM mm GROUP BY image_key) k ON split_part(k.image_key, '.', 1) = mask_key
+    CROSS JOIN (SELECT x, y FROM range(48) r(x), range(48) s(y)) g LEFT JOIN mm m ON m.image_key = k.image_key AND m.x = g.x AND m.y = g.y) GROUP BY image_key)"""
+
+
+@query("SELECT image_key, h, w, h * w AS n, maps FROM vi JOIN sz USING (image_key) JOIN io USING (image_key) WHERE iou < 0.05", *BOTH, "classes", "dims", "masks", extra=WHOLE)
+def w1_prepare(t):
+    """The whole job: classes, participants, canvases and blur of the images' own sizes, masks."""
+    verdicts = t.submissions.select("sub_id", F.when(F.col("sub_id") % 3 != 0, 1).otherwise(0).alias("good"))
+    masks = t.masks.select("mask_key", F.explode(F.sequence("y0", "y1")).alias("y"), "x0", "x1").select("mask_key", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
+    heat, counts = jobs.prepare(t.subs, TEST, t.classes, verdicts, t.dims, masks, 0.05)
+    return heat.join(counts, "image_key").select("image_key", "h", "w", F.size("data").alias("n"), "maps")
+
+
 # --- sinks -----------------------------------------------------------------------------
 
 
