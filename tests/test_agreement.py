@@ -5,6 +5,7 @@ import zlib
 from dataclasses import replace
 
 import numpy as np
+import plain
 import pytest
 from pyspark.sql import functions as F
 from test_operators import SCHEMA, sub
@@ -52,7 +53,7 @@ def test_weights_make_halves_of_the_stated_sizes(images):
 def test_scores_against_dense_stacks(images):
     """Weights times dense maps, blurred and scored by the plain definition."""
     subs = images("a/b.png", "a/c.png")
-    stack = {(r.image_key, r.sub_id): dense.stack_of([[c.x for c in r.clicks]], [[c.y for c in r.clicks]], 16, 16)[0] for r in subs.collect()}
+    stack = {(r.image_key, r.sub_id): plain.stack_of([[c.x for c in r.clicks]], [[c.y for c in r.clicks]], 16, 16)[0] for r in subs.collect()}
     means = {}
     for r in agreement.half_weights(agreement.members(agreement.stacks(subs, P), P), P).collect():
         means[r.image_key, r.iteration, r.half] = means.get((r.image_key, r.iteration, r.half), 0) + r.weight / r["size"] * stack[r.image_key, r.sub_id].astype(float)

@@ -1,6 +1,7 @@
 """Numpy helpers against direct definitions and properties."""
 
 import numpy as np
+import plain
 import pytest
 
 from attnmaps.functions import dense, metrics
@@ -85,9 +86,9 @@ def test_average_ranks_and_precision():
 def test_greedy_distinct_keeps_the_first():
     a = np.zeros((4, 2, 2))
     a[1, 0, 0], a[2, 0, 0], a[3, 0, 0] = 1, 2, 9
-    assert dense.greedy_distinct(a, 1.5) == [0, 2, 3]
+    assert plain.greedy_distinct(a, 1.5) == [0, 2, 3]
 
 
 def test_rasters_leave_out_of_bounds_and_saturate():
-    stack = dense.stack_of([[-1, 4, 0, 1], [2] * 300], [[0, 0, 4, 1], [3] * 300], 4, 4)
+    stack = plain.stack_of([[-1, 4, 0, 1], [2] * 300], [[0, 0, 4, 1], [3] * 300], 4, 4)
     assert stack[0].sum() == 1 and stack[1, 3, 2] == 255

@@ -1,6 +1,7 @@
 """The whole prepare job on hand-made cases."""
 
 import numpy as np
+import plain
 from test_operators import SCHEMA, sub
 
 from attnmaps.functions import dense
@@ -21,7 +22,7 @@ def test_own_sizes_classes_participants_and_masks(spark):
     assert sorted(found) == ["a/plain.png", "a/wide.png"] and {r.image_key: r.maps for r in counts.collect()} == {"a/plain.png": 5, "a/wide.png": 6}
     for key, h, w, size in (("a/wide.png", 12, 24, 3), ("a/plain.png", 16, 16, 3)):
         own = [r for r in rows if r[3] == key and r[0] % 3]
-        stack = dense.stack_of([[c[0] for c in r[8]] for r in own], [[c[1] for c in r[8]] for r in own], h, w)
+        stack = plain.stack_of([[c[0] for c in r[8]] for r in own], [[c[1] for c in r[8]] for r in own], h, w)
         stack = stack[stack.sum((1, 2)) > 0]  # a submission beyond the canvas has no map
         r = found[key]
         assert (r.h, r.w) == (h, w) and np.allclose(np.array(r.data).reshape(h, w), dense.blur(stack.mean(0), size), atol=1e-6)

@@ -4,6 +4,7 @@ import random
 import struct
 
 import numpy as np
+import plain
 import pytest
 from pyspark.sql import functions as F
 from test_operators import SCHEMA, sub
@@ -32,8 +33,8 @@ def test_greedy_removal(spark, thresh, side, clicks):
     expected = set()
     for key in ("a/b.png", "a/c.png"):
         own = sorted((r for r in df.collect() if r.image_path.endswith(key)), key=lambda r: (r.ord, r.sub_id))
-        stack = dense.stack_of([[c.x for c in r.clicks] for r in own], [[c.y for c in r.clicks] for r in own], side, side)
-        expected |= {(key, own[k].sub_id) for k in dense.greedy_distinct(stack, thresh)}
+        stack = plain.stack_of([[c.x for c in r.clicks] for r in own], [[c.y for c in r.clicks] for r in own], side, side)
+        expected |= {(key, own[k].sub_id) for k in plain.greedy_distinct(stack, thresh)}
     assert found == expected
 
 
