@@ -147,6 +147,46 @@ def test_packing_edges(spark):
     assert packing.pack_documents(rows.limit(0), PATH, 0).count() == 0
 
 
+def packed_sizes(spark, sizes, partitions):
+    """Sequences of 50 tokens at most from documents of so many tokens, with the end id, dealt out in order."""
+    rows = spark.sparkContext.parallelize([(i, " a" * (n - 1)) for i, n in enumerate(sizes)], partitions)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return check_packed(packing.pack_documents(docs, PATH, 0, capacity=50).collect(), {i: plain(" a" * (n - 1)) for i, n in enumerate(sizes)}, 0)
+
+
+def test_packing_into_nearly_full_bins(spark):
+    """The last token of a bin is room for a document of one token in another partition."""
+    assert packed_sizes(spark, [49] * 4 + [1], 5) == 4
+    nearly = spark.createDataFrame([(0, " a" * 2044), (1, " a" * 2)], "doc_id long, text string").repartitionByRange(2, "doc_id")
+    assert check_packed(packing.pack_documents(nearly, PATH, 0).collect(), {0: plain(" a" * 2044), 1: plain(" a" * 2)}, 0) == 1
+
+
+def test_packing_with_all_hosts_in_one_run(spark, monkeypatch):
+    """A run has the only hosts, more than 64, and all other runs of the partition a light bin each."""
+    monkeypatch.setattr(packing, "RUN", 100)
+    monkeypatch.setattr(packing, "CAPACITY", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        assert packed_sizes(spark, [30] * 100 + [99 * 50 + 20] * 80, 1) == 100 + 80 * 99
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_packing_leaves_no_host_behind(spark):
+    """As many sequences as a tree in which all bins go on."""
+    sizes = [30 + k % 21 for k in range(1500)] + [5 + 7 * k % 19 for k in range(27)]
+    rng = np.random.default_rng(5)
+    sizes = [sizes[k] for k in rng.permutation(len(sizes))]
+    for partitions in (9, 70):
+        ends = [len(sizes) * k // partitions for k in range(partitions + 1)]
+        fills = [sizes[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        pack = lambda items: [50 - r for r in packing.best_fit(items, 50)[2]]
+        fills = [pack(x) for x in fills]
+        while len(fills) > 1:
+            fills = [pack(sum(fills[k : k + packing.FAN_IN], [])) for k in range(0, len(fills), packing.FAN_IN)]
+        assert packed_sizes(spark, sizes, partitions) <= len(fills[0])
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=80))
 def test_best_fit(sizes):
