@@ -97,6 +97,22 @@ def test_sample_of_few_distinct_texts(spark):
         pii.train(docs.limit(1))
 
 
+def test_every_text_trains(spark):
+    """However few texts are to carry each form, every distinct text carries one of each kind."""
+    docs = queries.table(spark, SF, "documents").where("length(text) > 0")
+    n = docs.select("text").distinct().count()
+    assert n > 500
+    counts = pii.training_rows(docs, "text", 10).groupBy("kind").agg(F.sum("weight").alias("n")).collect()
+    assert {r.kind for r in counts} == set(pii.GENERATORS) and all(r.n >= 0.5 * n for r in counts)
+    for train_docs, each in ((10, 1), (n // 2, None), (n, None)):
+        rows = pii.planted(docs, "text", train_docs=train_docs)
+        per_kind = {r.kind: r.n for r in rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+        forms = {k: sum(of == k for of, _, _ in pii.planted_forms()) for k in pii.GENERATORS}
+        assert per_kind == {k: n * (each or -(-m * min(n, train_docs) // n)) for k, m in forms.items()}
+    shown = pii.planted(docs, "text", train_docs=10).agg(F.count_distinct("form"), F.count_if(F.expr("substring(text, start + 1, end - start) is null or end <= start"))).first()
+    assert tuple(shown) == (len(pii.planted_forms()), 0)
+
+
 LEFT_OUT = {"email": 1, "number": 9, "account": 25, "secret": 30}
 
 
