@@ -44,7 +44,9 @@ def src1_file_order(t):
     part = F.when(F.col("ord") % 40 == 0, 0).when(F.col("ord") % 4 == 1, 1).otherwise(2)
     rows = t.subs.where(F.size("clicks") > 0).withColumn("part", part)
     text = F.concat(F.lit("["), F.array_join(F.transform("clicks", lambda c: F.concat(F.lit("("), c["x"].cast("string"), F.lit(", "), c["y"].cast("string"), F.lit(")"))), ", "), F.lit("]"))
-    dealt = rows.repartition("part").sortWithinPartitions("part", F.desc("ord")).select("part", "image_path", text.alias("clicks"), "user_id")
+    # each part as many files as its rows fill tasks; tasks number them in file order
+    order = ["part", F.desc("ord")]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("part", "image_path", text.alias("clicks"), "user_id")
     dealt.write.partitionBy("part").csv(path, header=True, quote='"', escape='"')
     read = readers.read_submissions_csv(t.spark, path).withColumn("image_key", P.image_key(F.col("image_path")))
     first = filters.dedupe_first(read).withColumn("part", F.regexp_extract("ord.file", "part=([0-9]+)/", 1).cast("int"))

@@ -174,3 +174,20 @@ def test_top_k_needs_no_full_sort(spark):
 def test_running_total_stops_with_ties(spark):
     counts = spark.createDataFrame([("a", 30), ("b", 20), ("c", 20), ("d", 5)], "image_key string, n long")
     assert sorted(r.image_key for r in stats.most_clicked_until(counts, 40).collect()) == ["a", "b", "c"]
+
+
+def test_file_order_over_many_files(spark, tmp_path, monkeypatch):
+    """A part is written by several tasks, as its rows ask for, and the first of each user stays the same."""
+    from attnmaps.plans import q_filters
+    from attnmaps.plans.base import QUERIES
+
+    paths = [f"file://{tmp_path}/{k}" for k in range(2)]
+    monkeypatch.setattr(q_filters, "scratch", lambda spark, name: paths.pop(0))
+    run = lambda: sorted(map(tuple, QUERIES["src1_file_order"](spark, "/root/testdata/sf0.001").collect()))
+    whole = run()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert run() == whole != []
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "1").glob("part=2/*.csv"))) > 1
