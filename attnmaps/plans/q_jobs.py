@@ -12,7 +12,7 @@ from attnmaps.plans import jobs
 from attnmaps.plans.base import CLEAN, KERNEL, SIDE, SUB, query
 from attnmaps.plans.q_filters import BOTH, TEST
 from attnmaps.plans.q_rasters import LEVELS, cleaned
-from attnmaps.sources.shared import scratch
+from attnmaps.sources.shared import scratch, settled
 
 SMALL = agreement.Agreement(h=SIDE, w=SIDE, kernel=KERNEL, iterations=4, crop=own.CROP, short_side=SIDE, seed=3)
 #: Ten levels, compared by area.
@@ -98,7 +98,8 @@ def job7_participant_filter(t):
 
 @query()
 def job8_player_classifier(t):
-    labelled = filters.filter_players(filters.drop_trivial(t.subs), t.players)
+    # read for the class weights, the fit and the predictions
+    labelled = settled(filters.filter_players(filters.drop_trivial(t.subs), t.players).select("sub_id", "user_id", "label", "clicks"), "labelled")
     model = players.train_player_classifier(labelled, 4, 8)
     return players.predict_players(labelled, model, 4, 8).select("sub_id", "user_id", "label", "good")
 

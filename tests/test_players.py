@@ -35,3 +35,11 @@ def test_predictions(spark):
     clear = [(r.sub_id, m) for r, m in zip(rows, margin) if abs(m) > 0.02]
     assert len(found) == len(rows) and len(clear) > 0.5 * len(rows)
     assert np.mean([found[i] == (m > 0) for i, m in clear]) > 0.99
+
+
+def test_clicks_are_put_together_once(spark):
+    """The labelled rows are written once: the predictions' plan reads neither orders nor their lines."""
+    from attnmaps.plans.registry import QUERIES
+
+    plan = QUERIES["job8_player_classifier"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "labelled-" in plan and "lineitem" not in plan and "l_orderkey" not in plan
