@@ -36,7 +36,6 @@ class RankCodec(PieceEncoder):
         import regex
         from tokenizers import models
 
-        dict.__init__(self)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         with open(path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
@@ -47,7 +46,8 @@ class RankCodec(PieceEncoder):
         self.model = models.BPE(vocab={shown(x): k for x, k in ranks.items()}, merges=merges, ignore_merges=True)
         self.letters = dict(enumerate(letters))
         self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.by_piece, self.added, self.pieces = True, [], {}
+        self.by_piece, self.added = True, []
+        self.forget()
         self.bytes_of = {k: x for x, k in ranks.items()}
         self.sizes = np.zeros(max(ranks.values(), default=0) + 1, dtype=np.int64)
         for x, k in ranks.items():
@@ -124,10 +124,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                    text = text.as_py() or ""
-                    ids = own.encode(text)
-                    yield (key.as_py(), ids, *(own.spans(text.encode(), np.frombuffer(ids, dtype=ID_TYPE)) if spans else ()))
+                for key, text, ids in zip(batch.column(0), batch.column(1), own.encode_all(batch.column(1)), strict=True):
+                    yield (key.as_py(), ids, *(own.spans((text.as_py() or "").encode(), np.frombuffer(ids, dtype=ID_TYPE)) if spans else ()))
 
         yield from _batches(rows(), pa.schema(fields), lambda r: len(r[1]) * (5 if spans else 1))
 

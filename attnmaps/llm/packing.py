@@ -98,8 +98,8 @@ def local_pieces(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _PIECES.split(", ")])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = own.encode(text.as_py()) + end
+            for doc_id, found in zip(batch.column(0).to_pylist(), own.encode_all(batch.column(1)), strict=True):
+                ids = found + end
                 for k, (start, length) in enumerate(cuts(len(ids) // 4, capacity)):
                     held.append((doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
                     if len(held) >= RUN:

@@ -161,10 +161,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in FILES.split(", ")])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = own.encode(text.as_py()) + end
-                doc_ids.append(doc_id), ids.append(found)
-                total += len(found) // 4
+            for doc_id, found in zip(batch.column(0).to_pylist(), own.encode_all(batch.column(1)), strict=True):
+                doc_ids.append(doc_id), ids.append(found + end)
+                total += len(found) // 4 + 1
                 if total >= FILE_IDS or len(doc_ids) >= FILE_DOCS:
                     yield close()
         if doc_ids:

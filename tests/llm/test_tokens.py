@@ -2,16 +2,19 @@
 
 import zlib
 from collections import defaultdict
+from itertools import product
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from attnmaps.llm import packing, queries, token_store
+from attnmaps.llm import packing, queries, token_store, tokens
 from attnmaps.llm.tokens import ID_TYPE, PieceEncoder
 
 SF = "/root/testdata/sf0.001"
@@ -36,6 +39,33 @@ def test_hard_texts(text):
     assert OWN.encode(text) == plain(text).tobytes()
 
 
+COLUMN = [None, "", " ", "a", "b c, d.", "the cat;\nthe cat", "x  y", "p <|endoftext|> q", "q\t r", "é漢 ÿ\xff é漢", " lead", "end ", "w" * 200 + " " + "v" * 200, "the cat; the cat, the"] * 3
+
+
+@pytest.mark.parametrize(("cache", "chunk", "lot"), [(16 << 20, 4 << 20, 20_000), (0, 1, 1), (200, 30, 2), (1 << 20, 64, 3)])
+def test_columns_of_texts(cache, chunk, lot, monkeypatch):
+    """Hard texts among others, however words are cut in chunks and lots and whatever the cache holds."""
+    for name, value in (("CACHE_BYTES", cache), ("CHUNK_BYTES", chunk), ("LOT_WORDS", lot)):
+        monkeypatch.setattr(tokens, name, value)
+    own = PieceEncoder(PATH)
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(["cut off", *COLUMN], kind).slice(1)
+        assert list(own.encode_all(column)) == [plain(x).tobytes() for x in COLUMN]
+    assert list(own.encode_all(column.slice(0, 0))) == []
+
+
+def test_a_piece_of_a_column_is_encoded_once(monkeypatch):
+    """A full cache doesn't make words that recur in a column go to the tokenizer again."""
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 0)
+    own, seen = PieceEncoder(PATH), []
+    model = own.model
+    own.model = SimpleNamespace(tokenize=lambda x: seen.append(x) or model.tokenize(x))
+    words = ["".join(x) for x in product("abcdefgh", repeat=3)]
+    texts = ["- " + " ".join(words[k:] + [f"{x}," for x in words[:k]]) for k in range(40)]
+    assert list(own.encode_all(pa.array(texts))) == [plain(x).tobytes() for x in texts]
+    assert len(seen) == len(words) + 2  # the words, a comma and a dash
+
+
 def test_another_kind_of_tokenizer():
     path = public_tokenizers.path("word_bpe_49k.json")
     other = Tokenizer.from_file(path)
