@@ -16,10 +16,22 @@ from attnmaps.llm.common import new_folder
 
 TOKENIZER = "byte_bpe_50k.json"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Rows travel to Python workers and back in batches of so many bytes (or one larger row), and not by 10,000 texts.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes, unless it has a bound of its own.
+
+    A batch exists several times at once, in the executor's memory outside its heap and in the worker.
+    """
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, BATCH_BYTES)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter or with too narrow a margin go."""
+    bound_batches(spark)
     dictionaries = langid.train(docs.where(~langid.held_out()))
     return langid.keep_identified(docs.select(COLUMNS), dictionaries)
 
@@ -33,17 +45,20 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id."""
+    bound_batches(spark)
     return nearcopies.keep_first(docs.select(COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap with a test item go."""
+    bound_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontam.keep_clean(docs.select(COLUMNS), benchmark)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 ids."""
+    bound_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), end_id=0)
 
 

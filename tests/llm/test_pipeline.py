@@ -3,6 +3,8 @@
 import itertools
 import re
 
+import pyarrow as pa
+from pyspark.sql import functions as F
 from test_nearcopies import plain_groups
 from test_overlap_rule import plain_leaks, plain_tokens
 from test_tokens import check_packed, plain
@@ -70,3 +72,26 @@ def test_stages_on_nulls_and_no_rows(spark):
     assert sorted((r.doc_id or -1, r.length) for r in pack(spark, odd, SF).collect())[:2] == [(-1, 1), (-1, 15)] and pack(spark, odd, SF).count() == 6
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_batches_of_stages_are_bounded_by_bytes(spark):
+    """Thousands of texts don't go to a worker at once; a bound that the session has stays."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], names=["n"])
+
+    docs, key = queries.table(spark, SF, "documents").limit(20), corpus_pipeline.BATCH
+    wide = spark.range(0, 4000, 1, 1).select(F.expr("repeat('some text ', 400)").alias("text"))
+    before = spark.conf.get(key, None)
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(key)
+            stage(spark, docs, SF)
+            if name != "line_dedup":  # no Python there
+                assert wide.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] < 6 << 20, name
+        spark.conf.set(key, "1m")
+        corpus_pipeline.pack(spark, docs, SF)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
